@@ -146,3 +146,13 @@ def hash_unit(idcol, salt: int = 0) -> Column:
     Knuth multiplicative hash; DuckDB computes the same with ``((id + salt) * 2654435761) % 4294967296``.
     """
     return F.pmod((c(idcol) + F.lit(salt)) * F.lit(2654435761), F.lit(4294967296))
+
+
+def scalars(df, **aggs) -> dict:
+    """Several one-row aggregates as columns usable on any row, from ONE scalar subquery.
+
+    ``scalars(df, m=F.avg("x"), s=F.stddev_samp("x"))["m"]``. The struct subquery is planned once
+    and reused wherever a field is referenced (no join, no driver round trip).
+    """
+    sub = df.agg(F.struct(*[v.alias(k) for k, v in aggs.items()]).alias("_s")).scalar()
+    return {k: sub[k] for k in aggs}

@@ -118,3 +118,67 @@ def causal_features(enriched: DataFrame, spike_threshold: float = 1.2) -> DataFr
           .withColumn("is_outlier", flag((F.col("funding_ratio") > 10) | (F.col("avg_reward_price") > 1000)
                                          | (F.col("backers_count") > 10000))))
     return df.drop("_med_price", "_med_goal")
+
+
+def success_tier(ratio) -> "F.Column":
+    """Viral ≥ 3, strong_success ≥ 1.5, success ≥ 1, partial ≥ 0.5, else failed."""
+    r = F.col(ratio) if isinstance(ratio, str) else ratio
+    return (F.when(r >= 3.0, F.lit("viral")).when(r >= 1.5, F.lit("strong_success"))
+            .when(r >= 1.0, F.lit("success")).when(r >= 0.5, F.lit("partial")).otherwise(F.lit("failed")))
+
+
+def length_bucket(days) -> "F.Column":
+    """Null → medium, < 30 short, ≤ 45 medium, else long."""
+    d = F.col(days) if isinstance(days, str) else days
+    return (F.when(d.isNull(), F.lit("medium")).when(d < 30, F.lit("short"))
+            .when(d <= 45, F.lit("medium")).otherwise(F.lit("long")))
+
+
+def category_saturation(df: DataFrame, key: str = "category", ts: str = "launch_date") -> DataFrame:
+    """Share of the year's campaigns that fall in this row's category.
+
+    Two small count tables (category×year, year) joined back; null keys get null (T4)."""
+    with_year = df.withColumn("year", F.year(ts))
+    cy = with_year.groupBy(key, "year").agg(F.count(F.lit(1)).alias("_cy"))
+    yt = with_year.groupBy("year").agg(F.count(F.lit(1)).alias("_yt"))
+    share = cy.join(yt, "year").select(key, "year", (F.col("_cy") / F.col("_yt")).alias("category_saturation"))
+    return with_year.join(share, [key, "year"], "left")
+
+
+def notebook_features(enriched: DataFrame) -> DataFrame:
+    """The research-notebook variant of the causal features (clipped ratio, category trend
+    spike, z-score experience composite, saturation, early success, separate outlier flags)."""
+    from pricelens.functions.exprs import clip, guard_greatest, scalars, try_div
+
+    df = enriched
+    ratio = clip(safe_div("pledged_amount", "funding_goal"), 0.0, 20.0)
+    df = (df.withColumn("funding_ratio", ratio)
+          .withColumn("success_binary", flag(F.col("status") == "successful"))
+          .withColumn("backers_per_day", safe_div("backers_count", "campaign_duration_days"))
+          .withColumn("overfunding_ratio", guard_greatest(F.col("funding_ratio") - 1.0, 0.0))
+          .withColumn("log_avg_price", F.log1p("avg_reward_price"))
+          .withColumn("campaign_length_category", length_bucket("campaign_duration_days"))
+          .withColumn("is_weekend_launch", flag(F.col("day_of_week") >= 5)))
+    meds = group_medians(df, {"_med_price": "avg_reward_price", "_med_goal": "funding_goal",
+                              "_med_trend": "trend_index"}, ["category"])
+    df = df.join(meds, "category", "left")
+    st = scalars(df, md=F.avg("description_length"), sd=F.stddev_samp("description_length"),
+                 mu=F.avg("update_frequency"), su=F.stddev_samp("update_frequency"),
+                 mc=F.avg("concurrent_campaigns"))
+    md, sd, mu, su, mc = (st[x] for x in ("md", "sd", "mu", "su", "mc"))
+    bpd_med = exact_percentiles(df, "backers_per_day", [0.5], names=["m"]).select("m").scalar()
+    df = (df.withColumn("price_positioning", safe_div("avg_reward_price", "_med_price"))
+          .withColumn("price_ambition", safe_div("avg_reward_price", F.col("funding_goal") / 100))
+          .withColumn("goal_ambition", safe_div("funding_goal", "_med_goal"))
+          .withColumn("holiday_proximity", F.col("is_holiday_week"))
+          .withColumn("trend_spike", flag(F.col("trend_index") > F.col("_med_trend") * 1.2))
+          .withColumn("competition_intensity", try_div("concurrent_campaigns", mc))
+          .withColumn("creator_experience_proxy",
+                      (try_div(F.col("description_length") - md, sd) + try_div(F.col("update_frequency") - mu, su)) / 2)
+          .withColumn("demand_censored", flag(F.col("funding_ratio") > 3.0))
+          .withColumn("early_success", flag((F.col("funding_ratio") >= 1.0)
+                                            & (F.col("backers_per_day") > bpd_med * 1.5)))
+          .withColumn("is_outlier_funding", flag(F.col("funding_ratio") > 10))
+          .withColumn("is_outlier_price", flag(F.col("avg_reward_price") > 1000)))
+    df = category_saturation(df)
+    return df.drop("_med_price", "_med_goal", "_med_trend")

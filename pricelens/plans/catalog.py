@@ -1,6 +1,6 @@
 """Imports every query module so the registry is complete."""
 
-from pricelens.plans import q_ingest, q_slice  # noqa: F401
+from pricelens.plans import q_features, q_ingest, q_slice  # noqa: F401
 from pricelens.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

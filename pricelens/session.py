@@ -26,7 +26,8 @@ def get_spark(master: str | None = None, app: str = "pricelens", shuffle_partiti
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    for k, v in (extra or {}).items():
+    extra = {"spark.driver.memory": "8g", **(extra or {})}
+    for k, v in extra.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     configure(spark)
