@@ -77,8 +77,9 @@ def exact_percentiles(df: DataFrame, value, probs: Sequence[float], group_cols:
         F.first("_pos").alias("_pos"), F.first("_rlo").alias("_rlo"), F.first("_rhi").alias("_rhi"),
         F.max(F.when(inside("_rlo"), F.col("_v"))).alias("_vlo"),
         F.max(F.when(inside("_rhi"), F.col("_v"))).alias("_vhi"))
+    # lo + (hi - lo)·frac: exact when the two neighbours are equal (edges reused as bin bounds)
     q = F.when(F.col("_rlo") == F.col("_rhi"), F.col("_vlo")).otherwise(
-        (F.col("_rhi") - F.col("_pos")) * F.col("_vlo") + (F.col("_pos") - F.col("_rlo")) * F.col("_vhi"))
+        F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_pos") - F.col("_rlo")))
     picked = picked.select(*keys, "_i", q.alias("_q"))
     out = picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(names[i])
                                       for i in range(k)])
