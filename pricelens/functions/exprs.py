@@ -54,7 +54,7 @@ def clip(x, lo, hi) -> Column:
 def round_to(x, digits: int) -> Column:
     """Round through an explicit scale so Spark and DuckDB agree bit-for-bit: round(x·10^d)/10^d."""
     scale = float(10 ** digits)
-    return F.round(c(x) * F.lit(scale)) / F.lit(scale)
+    return F.round(c(x) * F.lit(scale)) / F.lit(scale) + F.lit(0.0)  # + 0.0: no negative zero
 
 
 def r6(x) -> Column:

@@ -1,6 +1,6 @@
 """Imports every query module so the registry is complete."""
 
-from pricelens.plans import q_agg, q_features, q_ingest, q_model, q_slice, q_window  # noqa: F401
+from pricelens.plans import q_agg, q_features, q_ingest, q_ml, q_model, q_scenario, q_slice, q_window  # noqa: F401
 from pricelens.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

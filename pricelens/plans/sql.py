@@ -17,7 +17,8 @@ def nz(x: str) -> str:
 
 
 def r6(x: str) -> str:
-    return f"(round(({x}) * 1000000.0::DOUBLE) / 1000000.0::DOUBLE)"
+    # + 0.0 turns -0.0 into 0.0, as Spark's rounding does
+    return f"(round(({x}) * 1000000.0::DOUBLE) / 1000000.0::DOUBLE + 0.0::DOUBLE)"
 
 
 ENRICHED_CTE = f"""
