@@ -48,10 +48,16 @@ def exact_percentiles(df: DataFrame, value, probs: Sequence[float], group_cols:
         F.min("_x").alias("_min"), F.max("_x").alias("_max"),
         F.percentile_approx("_x", lo_p + hi_p, accuracy).alias("_apx"))
     k = len(probs)
+    # Groups of at most `accuracy` rows take the whole group as the band (bounded by accuracy);
+    # above that the ±margin/accuracy bracket exceeds the sketch error plus the one-rank gap between
+    # the sketch's ceil(p·n) rank and the interpolation ranks floor/ceil((n-1)·p).
+    small = F.col("_n") <= accuracy
     sketch = sketch.select(
         *keys, "_n",
-        F.array(*[(F.col("_min") if lo_p[i] <= 0.0 else F.col("_apx")[i]) for i in range(k)]).alias("_lo"),
-        F.array(*[(F.col("_max") if hi_p[i] >= 1.0 else F.col("_apx")[k + i]) for i in range(k)]).alias("_hi"))
+        F.array(*[(F.col("_min") if lo_p[i] <= 0.0 else F.when(small, F.col("_min")).otherwise(F.col("_apx")[i]))
+                  for i in range(k)]).alias("_lo"),
+        F.array(*[(F.col("_max") if hi_p[i] >= 1.0 else F.when(small, F.col("_max")).otherwise(F.col("_apx")[k + i]))
+                  for i in range(k)]).alias("_hi"))
 
     tagged = base.join(sketch.select(*keys, "_lo", "_hi"), keys)
     tags = F.array(*[
