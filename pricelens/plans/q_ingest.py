@@ -364,3 +364,29 @@ def s15_epoch(spark, sf_dir):
         F.unix_seconds(F.col("launch_date").cast("timestamp")).cast("string"))
     df = camp.select("project_id", txt.alias("launched_at"))
     return df.withColumn("launch_ts", ingest.epoch_to_timestamp("launched_at"))
+
+
+# --- S1 / S2 / S3 / S5: file scans ---------------------------------------------------------------
+
+@query("s1_s5_csv_scan")
+def s1_s5_csv_scan(spark, sf_dir):
+    """The raw dump written as header CSV files — UTF-8 in one folder, Latin-1 snapshots in a
+    sub-folder — then read back recursively in one scan with the encoding fallback: accented names
+    must come back intact (no U+FFFD) and every row exactly once."""
+    from pricelens.session import scratch_path
+    camp = campaigns(spark, sf_dir)
+    raw = derived.raw_dump(camp).withColumn(
+        "Name ", F.when(F.pmod(F.col("ID"), F.lit(5)) == 0, F.concat(F.col("Name "), F.lit("é")))
+        .otherwise(F.col("Name ")))
+    base = scratch_path(spark, f"csv-{spark.sparkContext.applicationId}")
+    utf = raw.where(F.pmod(F.col("ID"), F.lit(2)) == 0)
+    lat = raw.where(F.pmod(F.col("ID"), F.lit(2)) == 1)
+    utf.repartition(3).write.mode("overwrite").option("header", True).csv(f"{base}/dump")
+    lat.repartition(2).write.mode("overwrite").option("header", True).option("encoding", "ISO-8859-1").csv(
+        f"{base}/dump/snapshots")
+    back = ingest.normalise_columns(ingest.read_csv_with_fallback(spark, f"{base}/dump", recursive=True,
+                                                                  glob="*.csv"))
+    return back.agg(F.countDistinct("_source_file").alias("files"), F.count(F.lit(1)).alias("rows"),
+                    F.countDistinct("id").alias("distinct_ids"),
+                    F.count_if(F.col("name").endswith("é")).alias("accented_names"),
+                    F.count_if(F.col("name").contains("�")).alias("replacement_chars"))

@@ -45,7 +45,7 @@ def read_csv_with_fallback(spark, path: str, recursive: bool = False, glob: str
     bad_cond = reduce(lambda a, b: a | b, [F.col(x).contains("�") for x in text_cols], F.lit(False))
     bad_files = utf.where(bad_cond).select("_source_file").distinct()
     good = utf.join(bad_files, "_source_file", "left_anti")
-    bad_paths = [r[0] for r in bad_files.limit(10000).collect()]  # file names only, bounded by file count
+    bad_paths = [r[0] for r in bad_files.collect()]  # file names only: metadata, one row per bad file
     if not bad_paths:
         return good
     latin = spark.read.option("header", True).option("encoding", "ISO-8859-1").option(

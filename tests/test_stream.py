@@ -17,3 +17,9 @@ def test_activity_stream_equals_batch(spark, sf_dir):
     s = q_stream.r3_activity(spark, sf_dir)
     b = q_stream.r3_activity_batch(spark, sf_dir)
     assert s.exceptAll(b).count() == 0 and b.exceptAll(s).count() == 0
+
+
+def test_csv_scan_restores_latin1_files(spark, sf_dir):
+    import __spark_entry__ as E
+    r = E.queries()["s1_s5_csv_scan"](spark, sf_dir).first()
+    assert r["replacement_chars"] == 0 and r["rows"] == r["distinct_ids"] > 0 and r["accented_names"] > 0
