@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelens.functions.exprs import r6
+from pricelens.operators.joins import join_small
 from pricelens.operators.quantiles import exact_percentiles
 
 
@@ -103,7 +104,7 @@ def histogram(df: DataFrame, x: str, bins: int, name: str, lo: float | None = No
 def box_stats(df: DataFrame, x: str, group: str) -> DataFrame:
     """Quartiles, IQR, 1.5·IQR whiskers (most extreme data inside the fences), outlier count."""
     q = exact_percentiles(df, x, [0.25, 0.5, 0.75], [group], names=["q1", "median", "q3"])
-    j = df.select(group, F.col(x).cast("double").alias("_x")).join(q, group)
+    j = join_small(df.select(group, F.col(x).cast("double").alias("_x")), q, group, "inner")
     lo_f = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi_f = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     out = j.groupBy(group, "n", "q1", "median", "q3").agg(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pricelens.functions.exprs import (array_mean, flag, holiday_flag, positive_tiers, safe_div,
                                        weekday)
+from pricelens.operators.joins import join_small
 from pricelens.operators.quantiles import exact_percentiles
 
 DAY_SECONDS = 86400
@@ -96,7 +97,7 @@ def causal_features(enriched: DataFrame, spike_threshold: float = 1.2) -> DataFr
     df = enriched
     cat_med = group_medians(df, {"_med_price": "avg_reward_price", "_med_goal": "funding_goal"},
                             ["category"])
-    df = df.join(cat_med, "category", "left")
+    df = join_small(df, cat_med, "category", "left")
     glob = exact_percentiles(df, "trend_index", [0.5], names=["m"])
     med_trend = glob.select("m").scalar()
     mean_comp = df.select(F.avg("concurrent_campaigns")).scalar()
@@ -142,7 +143,7 @@ def category_saturation(df: DataFrame, key: str = "category", ts: str = "launch_
     cy = with_year.groupBy(key, "year").agg(F.count(F.lit(1)).alias("_cy"))
     yt = with_year.groupBy("year").agg(F.count(F.lit(1)).alias("_yt"))
     share = cy.join(yt, "year").select(key, "year", (F.col("_cy") / F.col("_yt")).alias("category_saturation"))
-    return with_year.join(share, [key, "year"], "left")
+    return join_small(with_year, share, [key, "year"], "left")
 
 
 def notebook_features(enriched: DataFrame) -> DataFrame:
@@ -161,7 +162,7 @@ def notebook_features(enriched: DataFrame) -> DataFrame:
           .withColumn("is_weekend_launch", flag(F.col("day_of_week") >= 5)))
     meds = group_medians(df, {"_med_price": "avg_reward_price", "_med_goal": "funding_goal",
                               "_med_trend": "trend_index"}, ["category"])
-    df = df.join(meds, "category", "left")
+    df = join_small(df, meds, "category", "left")
     st = scalars(df, md=F.avg("description_length"), sd=F.stddev_samp("description_length"),
                  mu=F.avg("update_frequency"), su=F.stddev_samp("update_frequency"),
                  mc=F.avg("concurrent_campaigns"))

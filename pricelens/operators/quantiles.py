@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pricelens.operators.joins import join_small
+
 DEFAULT_ACCURACY = 20000
 DEFAULT_MARGIN = 4
 
@@ -59,7 +61,8 @@ def exact_percentiles(df: DataFrame, value, probs: Sequence[float], group_cols:
         F.array(*[(F.col("_max") if hi_p[i] >= 1.0 else F.when(small, F.col("_max")).otherwise(F.col("_apx")[k + i]))
                   for i in range(k)]).alias("_hi"))
 
-    tagged = base.join(sketch.select(*keys, "_lo", "_hi"), keys)
+    # one sketch row per group: broadcast after a size check, so a hot group is never shuffled
+    tagged = join_small(base, sketch.select(*keys, "_lo", "_hi"), keys, "inner")
     tags = F.array(*[
         F.when(F.col("_x") < F.col("_lo")[i], F.struct(F.lit(i).alias("i"), F.lit(None).cast("double").alias("v")))
          .when(F.col("_x") <= F.col("_hi")[i], F.struct(F.lit(i).alias("i"), F.col("_x").alias("v")))
@@ -104,5 +107,5 @@ def with_group_quantile(df: DataFrame, value: str, prob: float, group_cols: Sequ
     """
     qt = exact_percentiles(df, value, [prob], group_cols, names=[name], **kw).drop("n")
     if group_cols:
-        return df.join(qt, list(group_cols), "left")
+        return join_small(df, qt, list(group_cols), "left")
     return df.withColumn(name, qt.select(name).scalar())

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pricelens.functions.exprs import clip, flag, r6, round_to, safe_div, try_div, year_holiday_flag
 from pricelens.operators import features as fe
+from pricelens.operators.joins import join_small
 from pricelens.operators.quantiles import exact_percentiles
 from pricelens.plans.common import campaigns, enriched, features
 from pricelens.plans.registry import query
@@ -73,7 +74,7 @@ def p8_group_median_impute(spark, sf_dir):
     t = camp.select("project_id", "category", F.when(F.pmod("project_id", F.lit(7)) == 0, F.lit(None))
                     .otherwise(F.col("trend_index")).cast("int").alias("trend_index_raw"))
     m = exact_percentiles(t, "trend_index_raw", [0.5], ["category"], names=["m"]).drop("n")
-    return (t.join(m, "category", "left")
+    return (join_small(t, m, "category", "left")
             .select("project_id", "category", "trend_index_raw",
                     F.coalesce(F.col("trend_index_raw").cast("double"), F.col("m")).alias("trend_index")))
 

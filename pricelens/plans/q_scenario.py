@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pricelens.functions.exprs import r6, round_to
 from pricelens.operators import scenario as sc
 from pricelens.operators.features import group_medians
+from pricelens.operators.joins import join_small
 from pricelens.operators.quantiles import exact_percentiles
 from pricelens.plans.common import features
 from pricelens.plans.registry import query
@@ -58,7 +59,7 @@ def scored(spark, sf_dir):
     cm = group_medians(f, {"cat_median_goal": "funding_goal", "cat_median_price": "avg_reward_price",
                            "cat_median_duration": "campaign_duration_days", "cat_median_trend": "trend_index"},
                        ["category"])
-    f = f.join(cm, "category", "left")
+    f = join_small(f, cm, "category", "left")
     return (f.withColumn("amb_global", F.col("funding_goal") / med_goal)
             .withColumn("amb_cat", F.when(F.col("cat_median_goal") > 0, F.col("funding_goal") / F.col("cat_median_goal"))
                         .otherwise(F.lit(1.0)))

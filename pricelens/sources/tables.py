@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricelens.functions.exprs import round_to
+from pricelens.operators.joins import join_small
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
@@ -84,14 +85,14 @@ def campaign_view(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("launch_month", F.date_trunc("month", F.col("launch_date")).cast("date")))
 
     # Trend index: orders per (segment, month) scaled by the busiest (segment, month). The count
-    # table is bounded by segments x months; AQE broadcasts it back when it is small enough and
-    # falls back to a shuffle join otherwise.
+    # table has segments × months rows; it is counted and broadcast back (no shuffle of the
+    # campaign rows onto a few hundred keys), with a shuffle join beyond the size limit.
     per_month = camp.groupBy("category", "launch_month").agg(F.count(F.lit(1)).alias("_n"))
     per_month = per_month.withColumn("_mx", F.max("_n").over(Window.partitionBy()))
     per_month = per_month.select(
         "category", "launch_month",
         F.floor(F.lit(100) * F.col("_n") / F.col("_mx")).cast("int").alias("trend_index"))
-    camp = camp.join(per_month, ["category", "launch_month"], "left").drop("launch_month")
+    camp = join_small(camp, per_month, ["category", "launch_month"], "left").drop("launch_month")
     return camp.select(*CAMPAIGN_COLUMNS)
 
 
