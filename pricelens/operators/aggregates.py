@@ -117,12 +117,20 @@ def box_stats(df: DataFrame, x: str, group: str) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str], upper_only: bool = False) -> DataFrame:
-    """Pairwise-complete Pearson r for every pair in ONE aggregation, stacked to long form."""
-    pairs = [(a, b) for i, a in enumerate(cols) for j, b in enumerate(cols) if (j > i if upper_only else True)]
-    aggs = [F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{k}") for k, (a, b) in enumerate(pairs)]
-    row = df.agg(*aggs)
+    """Pairwise-complete Pearson r in ONE aggregation over the unique pairs (i ≤ j), stacked
+    to long form; the full matrix mirrors them (r is symmetric) unless ``upper_only``."""
+    uniq = [(a, b) for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
+    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{k}")
+                   for k, (a, b) in enumerate(uniq)])
+    out = []
+    for k, (a, b) in enumerate(uniq):
+        if a == b and upper_only:
+            continue
+        out.append((a, b, k))
+        if a != b and not upper_only:
+            out.append((b, a, k))
     stack = "stack({}, {}) as (var_a, var_b, r)".format(
-        len(pairs), ", ".join(f"'{a}', '{b}', c{k}" for k, (a, b) in enumerate(pairs)))
+        len(out), ", ".join(f"'{a}', '{b}', c{k}" for a, b, k in out))
     return row.select(F.expr(stack)).select("var_a", "var_b", r6("r").alias("r"))
 
 

@@ -1,8 +1,8 @@
 """Shared Spark inputs for the registered queries.
 
-The campaign, enriched and feature tables are *stage tables*: written once per Spark application
-as Parquet under the shared checkpoint folder (``spark.checkpoint.dir``) and read back, the way the
-batch pipeline hands stages over. That cuts lineage (a lost executor re-reads Parquet instead of
+The campaign, enriched and feature tables are *stage tables*: written once as Parquet under the
+shared checkpoint folder (``spark.checkpoint.dir``) and read back, the way the batch pipeline hands
+stages over. That cuts lineage (a lost executor re-reads Parquet instead of
 re-running the joins) and lets every later query prune columns and push filters into the scan.
 """
 
@@ -15,18 +15,57 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pricelens.operators.features import causal_features, enrich
 from pricelens.session import configure, scratch_path
-from pricelens.sources.tables import campaign_view
+from pricelens.sources.tables import TABLES, campaign_view
 
 _STAGED: dict[tuple, DataFrame] = {}
+_CODE_TAG: str | None = None
+
+
+def _code_tag() -> str:
+    """Hash of this package's source: a code change invalidates every stage table."""
+    global _CODE_TAG
+    if _CODE_TAG is None:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        h = hashlib.sha1()
+        for d, _, files in sorted(os.walk(root)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    with open(os.path.join(d, f), "rb") as fh:
+                        h.update(fh.read())
+        _CODE_TAG = h.hexdigest()[:12]
+    return _CODE_TAG
+
+
+def _hadoop_fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _input_tag(spark: SparkSession, sf_dir: str) -> str:
+    """Fingerprint of the input tables (path, length, modification time) through the Hadoop FS."""
+    h = hashlib.sha1(sf_dir.rstrip("/").encode())
+    for name in TABLES:
+        p, fs = _hadoop_fs(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
+        if fs.exists(p):
+            for st in fs.listStatus(p):
+                h.update(f"{st.getPath().getName()}|{st.getLen()}|{st.getModificationTime()}".encode())
+    return h.hexdigest()[:12]
 
 
 def staged(spark: SparkSession, sf_dir: str, level: str, build) -> DataFrame:
+    """Build a stage table once and read it back. Tables are keyed by the inputs' fingerprint and
+    the code version, so a later session (or process) on the same inputs reuses a complete one
+    (marked by _SUCCESS); PRICELENS_STAGE_REUSE=0 scopes them to this application instead."""
     app = spark.sparkContext.applicationId
+    reuse = os.environ.get("PRICELENS_STAGE_REUSE", "1") != "0"
     key = (app, os.path.abspath(sf_dir), level)
     if key not in _STAGED:
-        tag = hashlib.sha1(f"{app}|{os.path.abspath(sf_dir)}".encode()).hexdigest()[:12]
-        path = scratch_path(spark, f"{level}-{tag}")
-        build().write.mode("overwrite").parquet(path)
+        scope = _input_tag(spark, sf_dir) + "-" + _code_tag() + ("" if reuse else "-" + app)
+        path = scratch_path(spark, f"{level}-{scope}")
+        marker, fs = _hadoop_fs(spark, f"{path}/_SUCCESS")
+        if not (reuse and fs.exists(marker)):
+            build().write.mode("overwrite").parquet(path)
         _STAGED[key] = spark.read.parquet(path)
     return _STAGED[key]
 
