@@ -8,7 +8,7 @@ from pricelens.functions.exprs import clip, flag, r6, round_to, safe_div, try_di
 from pricelens.operators import features as fe
 from pricelens.operators.joins import join_small
 from pricelens.operators.quantiles import exact_percentiles
-from pricelens.plans.common import campaigns, enriched, features
+from pricelens.plans.common import campaigns, enriched, features, staged
 from pricelens.plans.registry import query
 from pricelens.plans.sql import nz, with_views
 from pricelens.plans.sql import r6 as s6
@@ -46,7 +46,8 @@ notebook AS (
 
 
 def _nb(spark, sf_dir):
-    return fe.notebook_features(enriched(spark, sf_dir))
+    """The notebook-variant feature table, staged (P20, W2, W4 read it)."""
+    return staged(spark, sf_dir, "notebook", lambda: fe.notebook_features(enriched(spark, sf_dir)))
 
 
 # --- P7 / P8: imputation ---------------------------------------------------------------------------

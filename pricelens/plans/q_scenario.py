@@ -9,7 +9,7 @@ from pricelens.operators import scenario as sc
 from pricelens.operators.features import group_medians
 from pricelens.operators.joins import join_small
 from pricelens.operators.quantiles import exact_percentiles
-from pricelens.plans.common import features
+from pricelens.plans.common import features, staged
 from pricelens.plans.registry import query
 from pricelens.plans.sql import r6 as s6
 from pricelens.plans.sql import with_views
@@ -52,7 +52,12 @@ def _sql(body):
 
 
 def scored(spark, sf_dir):
-    """Features + global/category medians needed by the scenario forms (one pass each)."""
+    """Features + global/category medians needed by the scenario forms — a stage table shared by
+    every scenario query."""
+    return staged(spark, sf_dir, "scored", lambda: _scored(spark, sf_dir))
+
+
+def _scored(spark, sf_dir):
     f = features(spark, sf_dir)
     med_goal = exact_percentiles(f, "funding_goal", [0.5], names=["m"]).select("m").scalar()
     conc = exact_percentiles(f, "concurrent_campaigns", [0.5], names=["m"]).select("m").scalar()

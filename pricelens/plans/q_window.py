@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pricelens.functions.exprs import r6, safe_div
 from pricelens.operators import ranking as rk
 from pricelens.operators.quantiles import exact_percentiles
-from pricelens.plans.common import campaigns, features
+from pricelens.plans.common import campaigns, features, staged
 from pricelens.plans.registry import query
 from pricelens.plans.sql import nz, with_views
 from pricelens.plans.sql import r6 as s6
@@ -36,7 +36,8 @@ _PAIR_DBL = ["goal_1", "goal_2", "price_1", "price_2", "outcome_1", "outcome_2",
 
 
 def pairs_df(spark, sf_dir):
-    return rk.matched_pairs(features(spark, sf_dir))
+    """Matched pairs as a stage table (the sort behind them is the expensive part; V1 reuses it)."""
+    return staged(spark, sf_dir, "pairs", lambda: rk.matched_pairs(features(spark, sf_dir)))
 
 
 @query("w5_matched_pairs", with_views(
