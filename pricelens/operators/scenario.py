@@ -121,10 +121,15 @@ def demand_curve(model: ScoringModel, values: dict, price: Column, multipliers=P
 
 def integer_price_grid(model: ScoringModel, values: dict, price: Column, goal: Column) -> dict:
     """C4: integer prices max(10, int(0.3p)) … int(2.5p) (exclusive), step max(1, span // 30);
-    argmax of expected funding (ratio floored at 0 × goal), first wins."""
+    argmax of expected funding (ratio floored at 0 × goal), first wins.
+
+    The predictor is linear in price. With a price coefficient ≤ 0 and goal ≥ 0 the expected
+    funding is non-increasing along the grid (IEEE × and + are monotone), so the first grid point
+    is exactly the first maximum: O(1) per row. Otherwise every grid point is evaluated."""
     lo = F.greatest(F.lit(10), (price * 0.3).cast("int"))
     hi = (price * 2.5).cast("int")
     step = F.greatest(F.lit(1), F.floor((hi - lo) / 30).cast("int"))
+    size = F.when(hi > lo, F.floor((hi - 1 - lo) / step).cast("int") + 1).otherwise(F.lit(0))
     grid = F.when(hi > lo, F.sequence(lo, hi - 1, step)).otherwise(F.array().cast("array<int>"))
 
     def funding(p):
@@ -133,10 +138,15 @@ def integer_price_grid(model: ScoringModel, values: dict, price: Column, goal: C
         return F.greatest(F.lit(0.0), model.predict(v)) * goal
 
     exp = F.transform(grid, funding)
-    best = F.array_max(exp)
-    idx = F.array_position(exp, best)
-    return {"grid_size": F.size(grid), "optimal_int_price": F.when(F.size(grid) > 0, F.element_at(grid, idx.cast("int"))),
-            "optimal_expected_funding": best}
+    best_scan = F.array_max(exp)
+    opt_scan = F.when(F.size(grid) > 0, F.element_at(grid, F.array_position(exp, best_scan).cast("int")))
+    if float(model.coefs.get("avg_reward_price", 0.0)) <= 0.0:
+        monotone = goal >= 0
+        opt = F.when(size == 0, F.lit(None).cast("int")).when(monotone, lo).otherwise(opt_scan)
+        best = F.when(size == 0, F.lit(None).cast("double")).when(monotone, funding(lo)).otherwise(best_scan)
+    else:
+        opt, best = opt_scan, best_scan
+    return {"grid_size": size, "optimal_int_price": opt, "optimal_expected_funding": best}
 
 
 def goal_curve(model: ScoringModel, values: dict, goal: Column, cat_median_goal: Column,
