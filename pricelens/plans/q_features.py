@@ -304,3 +304,75 @@ def causal_feature_table(spark, sf_dir):
         "funding_ratio", "success_binary", "backers_per_day", "price_positioning", "price_ambition",
         "goal_ambition", "is_weekend_launch", "holiday_proximity", "trend_spike", "competition_intensity",
         "creator_experience_proxy", "demand_censored", "is_outlier"]])
+
+
+# --- P3 / P6 / P9 / P23: completeness filters and feature selection ---------------------------------
+
+_CATEGORY_LIST = ["BUILDING", "MACHINERY", "FURNITURE"]
+
+
+@query("p3_p9_filters", with_views(f"""
+, _p AS (SELECT *, CASE WHEN project_id % 9 = 0 THEN NULL ELSE avg_reward_price END AS price_or_null FROM features)
+SELECT 'all' AS step, count(*) AS n FROM _p
+UNION ALL SELECT 'complete_required', count(*) FROM _p WHERE price_or_null IS NOT NULL AND funding_ratio IS NOT NULL
+UNION ALL SELECT 'year_2021_2024', count(*) FROM _p WHERE year(launch_date) BETWEEN 2021 AND 2024
+UNION ALL SELECT 'category_list', count(*) FROM _p WHERE category IN ({", ".join(f"'{c}'" for c in _CATEGORY_LIST)})
+UNION ALL SELECT 'null_price_as_int_zero', count_if(coalesce(CAST(trunc(price_or_null) AS INTEGER), 0) = 0) FROM _p""",
+    level="features"))
+def p3_p9_filters(spark, sf_dir):
+    """P3 complete-case drop, P9 year-range and category-list filters, P6 null → 0 as int."""
+    f = features(spark, sf_dir).withColumn(
+        "price_or_null", F.when(F.pmod("project_id", F.lit(9)) == 0, F.lit(None)).otherwise(F.col("avg_reward_price")))
+    steps = [
+        ("all", f),
+        ("complete_required", f.na.drop(subset=["price_or_null", "funding_ratio"])),
+        ("year_2021_2024", f.where(F.year("launch_date").between(2021, 2024))),
+        ("category_list", f.where(F.col("category").isin(_CATEGORY_LIST))),
+    ]
+    out = None
+    for name, d in steps:
+        part = d.agg(F.lit(name).alias("step"), F.count(F.lit(1)).alias("n"))
+        out = part if out is None else out.unionByName(part)
+    p6 = f.agg(F.lit("null_price_as_int_zero").alias("step"),
+               F.count_if(F.coalesce(F.col("price_or_null").cast("int"), F.lit(0)) == 0).alias("n"))
+    return out.unionByName(p6)
+
+
+def select_features(df, wanted, target, text_prefix="nlp_dim_"):
+    """The configured features that exist, plus every text dimension by prefix, then the
+    complete-case rows (plan-time column check + ``na.drop``)."""
+    cols = [c for c in wanted if c in df.columns] + sorted(c for c in df.columns if c.startswith(text_prefix))
+    return df.select(*cols, target).na.drop(), cols
+
+
+@query("p23_feature_selection")
+def p23_feature_selection(spark, sf_dir):
+    """Selected feature list (with text dims when present) and the complete-case row count."""
+    from pricelens.plans.q_model import FEATURES, TARGET
+    f = features(spark, sf_dir)
+    sel, cols = select_features(f.withColumn("missing_feature_example", F.lit(None)), FEATURES + ["not_a_column"],
+                                TARGET)
+    return sel.agg(F.count(F.lit(1)).alias("complete_rows")).withColumn("features", F.lit(",".join(cols)))
+
+
+# --- F2 / F8: formatting and labels -------------------------------------------------------------------
+
+# Weekday names, Monday first.
+WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+
+
+@query("f2_f8_format", with_views("""
+SELECT project_id,
+       '$' || format('{:,.2f}', round(funding_goal * 100.0::DOUBLE) / 100.0::DOUBLE) AS goal_text,
+       format('{:.1f}', round(success_binary * 100.0::DOUBLE * 10.0::DOUBLE) / 10.0::DOUBLE) || '%' AS success_text,
+       CASE day_of_week """ + " ".join(f"WHEN {i} THEN '{d}'" for i, d in enumerate(WEEKDAYS)) + """ END AS weekday_name
+FROM features""", level="features"))
+def f2_f8_format(spark, sf_dir):
+    """F2 currency `$x,xxx.xx` and percent text (values rounded to the shown digits first, so
+    the half-even formatting never meets a tie), F8 weekday names."""
+    f = features(spark, sf_dir)
+    goal = F.round(F.col("funding_goal") * 100.0) / 100.0
+    pct = F.round(F.col("success_binary") * 100.0 * 10.0) / 10.0
+    name = F.element_at(F.array(*[F.lit(d) for d in WEEKDAYS]), (F.col("day_of_week") + 1).cast("int"))
+    return f.select("project_id", F.concat(F.lit("$"), F.format_number(goal, 2)).alias("goal_text"),
+                    F.concat(F.format_number(pct, 1), F.lit("%")).alias("success_text"), name.alias("weekday_name"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pricelens.functions.exprs import r6
@@ -62,8 +63,16 @@ def ols_table(spark, f, y=TARGET, xs=FEATURES):
 
 @query("m2_ols")
 def m2_ols(spark, sf_dir):
-    """Multi-feature OLS from the Gram (rows-only; unit-tested against NumPy lstsq)."""
-    return ols_table(spark, features(spark, sf_dir))[0]
+    """Multi-feature OLS from the Gram (rows-only; unit-tested against NumPy lstsq), with the
+    coefficient ranking by absolute standardised size and a sign label (K1, M16)."""
+    t = ols_table(spark, features(spark, sf_dir))[0]
+    ranked = t.where(F.col("std_coef").isNotNull()).orderBy(F.abs("std_coef").desc(), "term")
+    w = F.row_number().over(Window.orderBy(F.abs("std_coef").desc(), "term"))  # ≤ #features rows
+    ranked = ranked.withColumn("importance_rank", w).withColumn(
+        "direction", F.when(F.col("coef") > 0, F.lit("increases")).otherwise(F.lit("decreases")))
+    rest = t.where(F.col("std_coef").isNull()).withColumn("importance_rank", F.lit(None).cast("int")).withColumn(
+        "direction", F.lit(None).cast("string"))
+    return ranked.unionByName(rest)
 
 
 @query("m2_ols_single", _fsql(f"""
