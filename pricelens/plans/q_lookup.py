@@ -129,3 +129,18 @@ def s22_model_persist(spark, sf_dir):
     b = again.transform(f).select("project_id", F.col("prediction").alias("p2"))
     j = a.join(b, "project_id")
     return j.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("p1") - F.col("p2"))).alias("max_abs_diff"))
+
+
+@query("s21_result_sinks")
+def s21_result_sinks(spark, sf_dir):
+    """Per-campaign effects and the validation summary written as CSV to the shared folder and
+    read back (test, metric, value, status / category, effect rows)."""
+    from pricelens.plans.q_model import quartile_slopes
+    from pricelens.plans.q_validate import v15_summary
+    base = scratch_path(spark, f"results-{spark.sparkContext.applicationId}")
+    v15_summary(spark, sf_dir).write.mode("overwrite").option("header", True).csv(f"{base}/validation_results")
+    quartile_slopes(features(spark, sf_dir)).write.mode("overwrite").option("header", True).csv(f"{base}/effects")
+    v = spark.read.option("header", True).csv(f"{base}/validation_results")
+    e = spark.read.option("header", True).csv(f"{base}/effects")
+    return (v.agg(F.lit("validation_results").alias("sink"), F.count(F.lit(1)).alias("rows"))
+            .unionByName(e.agg(F.lit("effects").alias("sink"), F.count(F.lit(1)).alias("rows"))))

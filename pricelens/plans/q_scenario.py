@@ -273,3 +273,16 @@ def c9_advice(spark, sf_dir):
     a = sc.advice(ratio, d["optimal_price"], F.col("avg_reward_price"), F.col("campaign_duration_days"),
                   sc1["confidence_low"], sc1["confidence_high"], F.col("amb_global"))
     return s.select("project_id", *[v.alias(k) for k, v in a.items()])
+
+
+@query("a3_effect_by_category", _sql(f"""
+SELECT category, count(*) AS n, {s6(f'avg({_K7!r}::DOUBLE * avg_reward_price)')} AS mean_effect,
+       {s6(f'stddev_samp({_K7!r}::DOUBLE * avg_reward_price)')} AS sd_effect
+FROM _sc GROUP BY category"""))
+def a3_effect_by_category(spark, sf_dir):
+    """A3: group mean and sample sd of the per-campaign causal effect (C7's +10 % price), sorted
+    by the mean."""
+    s = scored(spark, sf_dir).withColumn("_eff", F.lit(_K7) * F.col("avg_reward_price"))
+    return (s.groupBy("category").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("_eff")).alias("mean_effect"),
+                                      r6(F.stddev_samp("_eff")).alias("sd_effect"))
+            .orderBy("mean_effect", "category"))
