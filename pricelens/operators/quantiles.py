@@ -61,8 +61,14 @@ def exact_percentiles(df: DataFrame, value, probs: Sequence[float], group_cols:
         F.array(*[(F.col("_max") if hi_p[i] >= 1.0 else F.when(small, F.col("_max")).otherwise(F.col("_apx")[k + i]))
                   for i in range(k)]).alias("_hi"))
 
-    # one sketch row per group: broadcast after a size check, so a hot group is never shuffled
-    tagged = join_small(base, sketch.select(*keys, "_lo", "_hi"), keys, "inner")
+    if group_cols:
+        # one sketch row per group: broadcast after a size check, so a hot group is never shuffled
+        tagged = join_small(base, sketch.select(*keys, "_lo", "_hi"), keys, "inner")
+    else:
+        # global: the one-row bracket travels as a scalar subquery (no join, nothing to fold into
+        # a cross product)
+        sk = sketch.select(F.struct("_lo", "_hi", "_n").alias("s")).scalar()
+        tagged = base.withColumn("_lo", sk["_lo"]).withColumn("_hi", sk["_hi"])
     tags = F.array(*[
         F.when(F.col("_x") < F.col("_lo")[i], F.struct(F.lit(i).alias("i"), F.lit(None).cast("double").alias("v")))
          .when(F.col("_x") <= F.col("_hi")[i], F.struct(F.lit(i).alias("i"), F.col("_x").alias("v")))
@@ -74,8 +80,9 @@ def exact_percentiles(df: DataFrame, value, probs: Sequence[float], group_cols:
     w = Window.partitionBy(*keys, "_i").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     prob_arr = F.array(*[F.lit(p) for p in probs])
-    ranked = (counts.withColumn("_cum", F.sum("_c").over(w))
-              .join(sketch.select(*keys, "_n"), keys)
+    ranked = counts.withColumn("_cum", F.sum("_c").over(w))
+    ranked = (ranked.join(sketch.select(*keys, "_n"), keys) if group_cols else ranked.withColumn("_n", sk["_n"]))
+    ranked = (ranked
               .withColumn("_pos", (F.col("_n") - 1).cast("double") * prob_arr[F.col("_i")])
               .withColumn("_rlo", F.floor("_pos"))
               .withColumn("_rhi", F.ceil("_pos"))
@@ -92,9 +99,10 @@ def exact_percentiles(df: DataFrame, value, probs: Sequence[float], group_cols:
     picked = picked.select(*keys, "_i", q.alias("_q"))
     out = picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(names[i])
                                       for i in range(k)])
-    out = out.join(sketch.select(*keys, F.col("_n").alias("n")), keys)
-    if not group_cols:
-        out = out.drop("_g")
+    if group_cols:
+        out = out.join(sketch.select(*keys, F.col("_n").alias("n")), keys)
+    else:
+        out = out.withColumn("n", sk["_n"]).drop("_g")
     return out.select(*group_cols, "n", *names)
 
 

@@ -83,8 +83,7 @@ def a6_categories(spark, sf_dir):
     f = features(spark, sf_dir)
     top = f.where(F.col("category").isNotNull()).select("category").distinct().orderBy("category").limit(50)
     defaults = spark.createDataFrame([(x,) for x in DEFAULT_CATEGORIES], "category string")
-    fallback = (defaults.withColumn("_k", F.lit(1))
-                .join(top.select(F.lit(1).alias("_k")).limit(1), "_k", "left_anti").drop("_k"))
+    fallback = defaults.where(~top.exists())  # uncorrelated EXISTS: a filter, not a join
     return top.unionByName(fallback)
 
 
