@@ -51,3 +51,15 @@ SELECT window_start, event_type, n,
 def r3_activity_batch(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return inc.scale_activity(inc.activity_counts(ev))
+
+
+@query("s19_resumable_ingest")
+def s19_resumable_ingest(spark, sf_dir):
+    """Resumable ingestion up to a target of half the campaigns; the resumed run adds nothing more."""
+    p = inc.stream_paths(spark, "s19")
+    camp = campaigns(spark, sf_dir).drop("reward_tiers")
+    camp.repartition(6).write.mode("overwrite").parquet(p["source"])
+    target = camp.count() // 2
+    first = inc.ingest_until(spark, p["source"], p["sink"], p["checkpoint"], camp.schema, "project_id", target)
+    second = inc.ingest_until(spark, p["source"], p["sink"], p["checkpoint"], camp.schema, "project_id", target)
+    return spark.createDataFrame([(1, first, target), (2, second, target)], "run int, rows_in_sink long, target long")

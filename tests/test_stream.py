@@ -23,3 +23,8 @@ def test_csv_scan_restores_latin1_files(spark, sf_dir):
     import __spark_entry__ as E
     r = E.queries()["s1_s5_csv_scan"](spark, sf_dir).first()
     assert r["replacement_chars"] == 0 and r["rows"] == r["distinct_ids"] > 0 and r["accented_names"] > 0
+
+
+def test_resumable_ingest_stops_at_target(spark, sf_dir):
+    rows = [tuple(r) for r in q_stream.s19_resumable_ingest(spark, sf_dir).orderBy("run").collect()]
+    assert rows[0][1] == rows[0][2] == rows[1][1] > 0
