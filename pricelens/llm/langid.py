@@ -179,12 +179,12 @@ class Tagger:
 
     def label(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Marginal probabilities (words, languages) of each list of lower-cased words."""
-        if self._ready is None:
-            self._load()
-        memo, chain = self._ready
         k, sizes = len(self.langs), np.array([len(t) for t in texts], np.int64)
         if not sizes.sum() or not k:
             return [np.zeros((0, k)) for _ in texts]
+        if self._ready is None:
+            self._load()
+        memo, chain = self._ready
         emission = np.frombuffer(b"".join([memo[w] for t in texts for w in t]), "<f4").reshape(-1, k).astype(float)
         first = np.zeros(len(emission), bool)
         ends = np.cumsum(sizes)
