@@ -224,7 +224,7 @@ def _split(round_no: int):
         for batch in batches:
             keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             bits = np.unpackbits(fps.astype(">i8").view(np.uint8).reshape(-1, 8), axis=1)[:, order]
-            seg = np.packbits(bits, axis=1).view(">u2").astype(np.uint64)
+            seg = np.ascontiguousarray(np.packbits(bits, axis=1)).view(">u2").astype(np.uint64)
             for j in range(4):
                 mixed = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + seg[:, j] * np.uint64(4) + np.uint64(j)) * np.uint64(0xD6E8FEB86659FD93)
                 yield pa.RecordBatch.from_arrays([pa.array((mixed ^ (mixed >> np.uint64(32))).view(np.int64)), pa.array(fps)], ["key", "fp"])
@@ -258,7 +258,8 @@ def _clusters(marked: DataFrame, max_bits: int) -> DataFrame:
     linked = per.join(roots.withColumnRenamed("v", "fp"), "fp")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     joined = linked.select("fp", "root").join(least, "root").select("fp", "least")
-    return per.join(joined, "fp", "left").select("fp", F.coalesce("least", "first").alias("first"))
+    # A table of its own, so that the join with the documents is one that Spark can split at a hot fingerprint.
+    return common.staged(per.join(joined, "fp", "left").select("fp", F.coalesce("least", "first").alias("first")), "clusters")
 
 
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, max_bits: int = MAX_BITS, seed: int = SEED) -> DataFrame:
