@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelens.llm import common
-from pricelens.llm.bpe import Memo, WordSplitter
+from pricelens.llm.bpe import MEMO, WordSplitter
 
 MAGIC = b"DAC8"
 BLOCK = 512
@@ -108,16 +108,49 @@ class DacFile:
 
 
 class _Encoder:
-    """Ids of whole texts through the tokenizers library, asked once per distinct word."""
+    """Ids of whole texts through the tokenizers library, asked once per distinct word: the words of a block that
+    are not known yet go through one call, joined by blanks, and come apart again at word-end tokens."""
 
     def __init__(self, path: str):
         self.splitter = WordSplitter(path)
-        library = self.splitter.library
-        self.memo = Memo(lambda w: np.array(library.encode(w, add_special_tokens=False).ids, "<u4").tobytes())
+        self.library = self.splitter.library
+        vocab = self.library.get_vocab(with_added_tokens=True)
+        self.is_end = np.zeros(max(vocab.values()) + 1, bool)
+        self.is_end[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.special = {t: np.array([i], "<u4").tobytes() for t, i in self.splitter.special.items()}
+        self.known, self.older = dict(self.special), {}
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.known) + len(words) > MEMO:
+            self.older, self.known = self.known, dict(self.special)
+        fresh = []
+        for w in words:
+            if (raw := self.older.get(w)) is not None:
+                self.known[w] = raw
+            elif w not in self.known:
+                fresh.append(w)
+        if not fresh:
+            return
+        ids = np.array(self.library.encode(" ".join(fresh), add_special_tokens=False).ids, "<u4")
+        ends = (4 * (np.nonzero(self.is_end[ids])[0] + 1)).tolist()
+        raw = ids.tobytes()
+        if len(ends) != len(fresh):
+            raise ValueError("the file's word ends do not separate words")
+        self.known.update(zip(fresh, [raw[a:b] for a, b in zip([0, *ends], ends)]))
 
     def raw(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        return b"".join([x for block in self.splitter.blocks(text) for x in map(self.memo.__getitem__, self.splitter.words(block))])
+        out = []
+        for block in self.splitter.blocks(text):
+            words = self.splitter.words(block)
+            known = self.known
+            missing = [w for w in set(words) if w not in known]
+            if missing:
+                self._learn(missing)
+                if self.known is not known:  # a new generation: have all of the block's words in it
+                    self._learn(list(set(words)))
+            out.append(b"".join(map(self.known.__getitem__, words)))
+        return b"".join(out)
 
 
 _ENCODERS: dict[str, _Encoder] = {}
