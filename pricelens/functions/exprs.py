@@ -143,9 +143,11 @@ def array_mean(arr) -> Column:
 def hash_unit(idcol, salt: int = 0) -> Column:
     """Deterministic pseudo-random integer in [0, 2^32) from an integer id.
 
-    Knuth multiplicative hash; DuckDB computes the same with ``((id + salt) * 2654435761) % 4294967296``.
+    Knuth multiplicative hash of the low 31 bits, so the product of any non-negative id stays inside BIGINT;
+    DuckDB computes the same with ``(((id + salt) % 2147483648) * 2654435761) % 4294967296``.
     """
-    return F.pmod((c(idcol) + F.lit(salt)) * F.lit(2654435761), F.lit(4294967296))
+    low = F.pmod(c(idcol) + F.lit(salt), F.lit(2147483648))
+    return F.pmod(low * F.lit(2654435761), F.lit(4294967296))
 
 
 def scalars(df, **aggs) -> dict:

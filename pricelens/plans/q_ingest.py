@@ -114,11 +114,11 @@ def p2_validity(spark, sf_dir):
 
 @query("p24_hash_impute", with_views("""
 SELECT project_id,
-       CAST(length(coalesce(name, 'Unknown Project')) * (10 + ((project_id + 1) * 2654435761) % 4294967296 % 40) AS INTEGER) AS description_length,
-       CAST(((project_id + 2) * 2654435761) % 4294967296 % 15 AS INTEGER) AS num_updates,
+       CAST(length(coalesce(name, 'Unknown Project')) * (10 + (((project_id + 1) % 2147483648) * 2654435761) % 4294967296 % 40) AS INTEGER) AS description_length,
+       CAST((((project_id + 2) % 2147483648) * 2654435761) % 4294967296 % 15 AS INTEGER) AS num_updates,
        CAST(trunc(coalesce(CAST(backers_count AS DOUBLE), 0.0::DOUBLE)
-            * (0.02::DOUBLE + 0.06::DOUBLE * (((project_id + 3) * 2654435761) % 4294967296) / 4294967296.0::DOUBLE)) AS INTEGER) AS num_comments,
-       CAST(20 + ((project_id + 4) * 2654435761) % 4294967296 % 60 AS INTEGER) AS trend_index_fill
+            * (0.02::DOUBLE + 0.06::DOUBLE * ((((project_id + 3) % 2147483648) * 2654435761) % 4294967296) / 4294967296.0::DOUBLE)) AS INTEGER) AS num_comments,
+       CAST(20 + (((project_id + 4) % 2147483648) * 2654435761) % 4294967296 % 60 AS INTEGER) AS trend_index_fill
 FROM _valid""", derived.RAW_SQL, _HARMONISED_SQL))
 def p24_hash_impute(spark, sf_dir):
     h = ingest.harmonise(derived.raw_dump(campaigns(spark, sf_dir)))

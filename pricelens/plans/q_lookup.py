@@ -81,7 +81,7 @@ _KNN_COLS = ["funding_goal", "avg_reward_price", "campaign_duration_days"]
 
 @query("j10_similar", with_views(f"""
 , _q AS (SELECT project_id AS query_id, {', '.join(f'coalesce(CAST({c} AS DOUBLE), 0.0::DOUBLE) AS q_{c}' for c in _KNN_COLS)}
-         FROM features ORDER BY ((project_id + 42) * 2654435761) % 4294967296, project_id LIMIT 20),
+         FROM features ORDER BY (((project_id + 42) % 2147483648) * 2654435761) % 4294967296, project_id LIMIT 20),
 _d AS (SELECT q.query_id, f.project_id,
               sqrt({' + '.join(f'(coalesce(CAST(f.{c} AS DOUBLE), 0.0::DOUBLE) - q.q_{c}) ^ 2' for c in _KNN_COLS)}) AS distance
        FROM _q q, features f WHERE f.project_id <> q.query_id),

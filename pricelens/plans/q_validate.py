@@ -113,8 +113,8 @@ _PRED_SCALED = M.sql(_vals_sql(scale=1.001))
 
 def _noise_sql():
     # Box-Muller from two id hashes: N(0, 0.01)
-    u1 = "((((project_id + 11) * 2654435761) % 4294967296) + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
-    u2 = "((((project_id + 12) * 2654435761) % 4294967296) + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
+    u1 = "(((((project_id + 11) % 2147483648) * 2654435761) % 4294967296) + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
+    u2 = "(((((project_id + 12) % 2147483648) * 2654435761) % 4294967296) + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
     return f"(0.01::DOUBLE * sqrt(-2.0::DOUBLE * ln({u1})) * cos(2.0::DOUBLE * pi() * {u2}))"
 
 
@@ -124,10 +124,10 @@ _PRED_NOISE = M.sql(_vals_sql(overrides={"avg_reward_price": f"(coalesce(CAST(av
 @query("v4_v6_placebo", _fsql(f"""
 , _b AS (SELECT abs({_PRED_SCALED} - {PRED_SQL}) AS d FROM features ORDER BY price_spread ASC, project_id LIMIT 50),
 _a AS (SELECT abs({PRED_SQL} - funding_ratio) AS d FROM features
-       ORDER BY ((project_id + 42) * 2654435761) % 4294967296, project_id LIMIT 50),
+       ORDER BY (((project_id + 42) % 2147483648) * 2654435761) % 4294967296, project_id LIMIT 50),
 _c0 AS (SELECT * FROM features ORDER BY price_spread ASC, project_id LIMIT 100),
 _c AS (SELECT abs({_PRED_NOISE} - {PRED_SQL}) AS d FROM _c0
-       ORDER BY ((project_id + 42) * 2654435761) % 4294967296, project_id LIMIT 50)
+       ORDER BY (((project_id + 42) % 2147483648) * 2654435761) % 4294967296, project_id LIMIT 50)
 SELECT 'placebo_scaled' AS test, count(*) AS n, {s6('avg(d)')} AS mean_effect, {s6('stddev_pop(d)')} AS std_effect,
        {s6('max(d)')} AS max_effect, {s6('quantile_cont(d, 0.95)')} AS p95_effect,
        CASE WHEN avg(d) < {PLACEBO_THRESHOLD} THEN 'PASSED' ELSE 'FAILED' END AS status FROM _b
@@ -174,7 +174,7 @@ _IN2 = (f"CASE WHEN yhat >= y + {_K} * price - {_U} AND yhat <= y + {_K} * price
 
 @query("v7_v9_bounds", _fsql(f"""
 , _s AS (SELECT funding_ratio AS y, {PRED_SQL} AS yhat, avg_reward_price AS price FROM features
-         ORDER BY ((project_id + 42) * 2654435761) % 4294967296, project_id LIMIT 100)
+         ORDER BY (((project_id + 42) % 2147483648) * 2654435761) % 4294967296, project_id LIMIT 100)
 SELECT 'bounds_observed' AS test, count(*) AS n, {s6(f'avg({_IN1}) * 100')} AS pct_within,
        {s6(f'avg(least(greatest(yhat + {_U}, {_Z}), {_TEN}) - least(greatest(yhat - {_U}, {_Z}), {_TEN}))')} AS mean_width,
        CASE WHEN avg({_IN1}) * 100 > 80 THEN 'PASSED' ELSE 'WARNING' END AS status

@@ -88,13 +88,13 @@ def k2_top_n(spark, sf_dir):
 
 
 @query("k3_hash_sample", with_views("""
-SELECT project_id, category FROM campaign ORDER BY ((project_id + 42) * 2654435761) % 4294967296, project_id LIMIT 50"""))
+SELECT project_id, category FROM campaign ORDER BY (((project_id + 42) % 2147483648) * 2654435761) % 4294967296, project_id LIMIT 50"""))
 def k3_hash_sample(spark, sf_dir):
     return rk.hash_sample(campaigns(spark, sf_dir), 50).select("project_id", "category")
 
 
 @query("k4_split", with_views("""
-SELECT project_id, CASE WHEN ((project_id + 42) * 2654435761) % 4294967296 % 100 < 80 THEN 'train' ELSE 'test' END AS split
+SELECT project_id, CASE WHEN (((project_id + 42) % 2147483648) * 2654435761) % 4294967296 % 100 < 80 THEN 'train' ELSE 'test' END AS split
 FROM campaign"""))
 def k4_split(spark, sf_dir):
     return rk.hash_split(campaigns(spark, sf_dir)).select("project_id", "split")
