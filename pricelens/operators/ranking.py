@@ -123,7 +123,8 @@ def balanced_quota(df: DataFrame, target: int, status: str = "status", key: str
     rows overall (states in the listed order)."""
     quota = target // len(states) + 1
     s = df.where(F.col(status).isin(*states))
-    ranked = row_index(s, [status], [key], "_r").where(F.col("_r") < quota)
+    # row_number() <= quota: every task forwards at most `quota` rows per state, no full sort of the table.
+    ranked = s.withColumn("_r", F.row_number().over(Window.partitionBy(status).orderBy(key))).where(F.col("_r") <= quota)
     order = F.lit(None).cast("int")
     for i, st in reversed(list(enumerate(states))):
         order = F.when(F.col(status) == st, F.lit(i)).otherwise(order)

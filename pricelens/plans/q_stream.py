@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pricelens.plans.common import campaigns
@@ -53,13 +55,21 @@ def r3_activity_batch(spark, sf_dir):
     return inc.scale_activity(inc.activity_counts(ev))
 
 
-@query("s19_resumable_ingest")
+@query("s19_resumable_ingest", with_views("""
+, _n AS (SELECT count(*) AS n FROM campaign)
+SELECT 1 AS run, n // 2 AS rows_in_sink, n // 2 AS distinct_ids, n // 2 AS target FROM _n
+UNION ALL SELECT 2, n // 2, n // 2, n // 2 FROM _n
+UNION ALL SELECT 3, n, n, n FROM _n"""))
 def s19_resumable_ingest(spark, sf_dir):
-    """Resumable ingestion up to a target of half the campaigns; the resumed run adds nothing more."""
-    p = inc.stream_paths(spark, "s19")
-    camp = campaigns(spark, sf_dir).drop("reward_tiers")
+    """Resumable ingestion up to half the campaigns, again with the same target (nothing more), then with
+    all campaigns as the target (exactly the rest, no row lost or doubled)."""
+    p = inc.stream_paths(spark, f"s19-{uuid.uuid4().hex[:8]}")
+    camp = campaigns(spark, sf_dir)
     camp.repartition(6).write.mode("overwrite").parquet(p["source"])
-    target = camp.count() // 2
-    first = inc.ingest_until(spark, p["source"], p["sink"], p["checkpoint"], camp.schema, "project_id", target)
-    second = inc.ingest_until(spark, p["source"], p["sink"], p["checkpoint"], camp.schema, "project_id", target)
-    return spark.createDataFrame([(1, first, target), (2, second, target)], "run int, rows_in_sink long, target long")
+    n = camp.count()
+    rows = []
+    for run, target in enumerate((n // 2, n // 2, n), start=1):
+        got = inc.ingest_until(spark, p["source"], p["sink"], p["checkpoint"], camp.schema, "project_id", target)
+        ids = spark.read.schema(camp.schema).parquet(f"{p['sink']}/*").select("project_id").distinct().count()
+        rows.append((run, got, ids, target))
+    return spark.createDataFrame(rows, "run int, rows_in_sink long, distinct_ids long, target long")

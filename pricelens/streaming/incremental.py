@@ -80,26 +80,51 @@ def stream_paths(spark: SparkSession, name: str) -> dict:
 
 def ingest_until(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str, schema, key: str,
                  target: int) -> int:
-    """Resumable ingestion with a row target. Each micro-batch is written idempotently (its own
-    batch folder, overwritten on retry) and only up to the rows still missing, in key order — the
-    limit *is* the feature here. A rerun resumes from the checkpoint. Returns rows in the sink."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(sink_dir)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    """Resumable ingestion with a row target; returns rows in the sink.
 
-    def have() -> int:
-        return spark.read.parquet(sink_dir).count() if fs.exists(root) and fs.listStatus(root) else 0
+    Each micro-batch takes the rows still missing, in key order; the limit *is* the feature here. Rows beyond
+    the target are not lost: they go to ``<sink_dir>-pending/batch=N``, and a later run with a higher target
+    takes them from there first. Every folder belongs to one batch and is overwritten on a retry.
+    """
+    from pyspark.errors import AnalysisException
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(sink_dir).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    pending_dir = f"{sink_dir}-pending"
+    order = [F.col(key), F.xxhash64(*[F.col(f.name) for f in schema.fields])]
+
+    def folders(base: str) -> list[str]:
+        root = jvm.org.apache.hadoop.fs.Path(base)
+        return sorted(st.getPath().getName() for st in fs.listStatus(root) if st.isDirectory()) if fs.exists(root) else []
+
+    def rows(path: str) -> int:
+        try:
+            return spark.read.schema(schema).parquet(path).count()
+        except AnalysisException:  # not written yet
+            return 0
+
+    have = sum(rows(f"{sink_dir}/{name}") for name in folders(sink_dir))
+    for name in folders(pending_dir):
+        rest = spark.read.schema(schema).parquet(f"{pending_dir}/{name}")
+        out = f"{sink_dir}/{name}-rest"
+        before = rows(out)
+        take = min(rest.count(), before + max(0, target - have))
+        if take > before:
+            rest.orderBy(*order).limit(take).write.mode("overwrite").parquet(out)
+            have += take - before
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        nonlocal have
         out = f"{sink_dir}/batch={batch_id}"
-        if fs.exists(jvm.org.apache.hadoop.fs.Path(out)):
-            fs.delete(jvm.org.apache.hadoop.fs.Path(out), True)  # a retried batch replaces itself
-        remaining = target - have()
-        if remaining > 0:
-            batch.orderBy(key).limit(remaining).write.mode("overwrite").parquet(out)
+        have -= rows(out)  # a retried batch replaces what its first try left
+        n = batch.count()
+        take = min(n, max(0, target - have))
+        batch.orderBy(*order).limit(take).write.mode("overwrite").parquet(out)
+        if n > take:
+            batch.orderBy(*order).offset(take).write.mode("overwrite").parquet(f"{pending_dir}/batch={batch_id}")
+        have += take
 
     q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source_dir)
          .writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return have()
+    return have

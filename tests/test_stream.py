@@ -25,6 +25,15 @@ def test_csv_scan_restores_latin1_files(spark, sf_dir):
     assert r["replacement_chars"] == 0 and r["rows"] == r["distinct_ids"] > 0 and r["accented_names"] > 0
 
 
-def test_resumable_ingest_stops_at_target(spark, sf_dir):
-    rows = [tuple(r) for r in q_stream.s19_resumable_ingest(spark, sf_dir).orderBy("run").collect()]
-    assert rows[0][1] == rows[0][2] == rows[1][1] > 0
+def test_resumable_ingest_loses_no_row(spark, sf_dir):
+    first, again, rest = [tuple(r) for r in q_stream.s19_resumable_ingest(spark, sf_dir).orderBy("run").collect()]
+    assert first[1] == first[2] == first[3] == again[1] == again[2] > 0
+    assert rest[1] == rest[2] == rest[3] > first[1]
+
+
+def test_hash_unit_takes_large_ids(spark):
+    from pricelens.functions.exprs import hash_unit
+    ids = [0, 1, 3_474_701_533, 4_000_000_000, 2 ** 62 - 1, 2 ** 62]
+    df = spark.createDataFrame([(i,) for i in ids], "id long")
+    got = {r[0]: r[1] for r in df.select("id", hash_unit("id", 42)).collect()}
+    assert got == {i: (i + 42) % 2 ** 31 * 2654435761 % 2 ** 32 for i in ids}
