@@ -176,22 +176,22 @@ _IN2 = (f"CASE WHEN yhat >= y + {_K} * price - {_U} AND yhat <= y + {_K} * price
 , _s AS (SELECT funding_ratio AS y, {PRED_SQL} AS yhat, avg_reward_price AS price FROM features
          ORDER BY (((project_id + 42) % 2147483648) * 2654435761) % 4294967296, project_id LIMIT 100)
 SELECT 'bounds_observed' AS test, count(*) AS n, {s6(f'avg({_IN1}) * 100')} AS pct_within,
-       {s6(f'avg(least(greatest(yhat + {_U}, {_Z}), {_TEN}) - least(greatest(yhat - {_U}, {_Z}), {_TEN}))')} AS mean_width,
+       {s6(f'avg(least(y + {_U}, {_TEN}) - greatest(y - {_U}, {_Z}))')} AS mean_width,
        CASE WHEN avg({_IN1}) * 100 > 80 THEN 'PASSED' ELSE 'WARNING' END AS status
 FROM _s
 UNION ALL
 SELECT 'bounds_effect_shifted', count(*), {s6(f'avg({_IN2}) * 100')},
-       {s6(f'avg(least(greatest(y + abs({_K}) * price + {_U}, {_Z}), {_TEN}) - least(greatest(y - abs({_K}) * price - {_U}, {_Z}), {_TEN}))')},
+       {s6(f'avg(least(y + abs({_K}) * price + {_U}, {_TEN}) - greatest(y - abs({_K}) * price - {_U}, {_Z}))')},
        CASE WHEN avg({_IN2}) * 100 > 80 THEN 'PASSED' ELSE 'WARNING' END
 FROM _s"""))
 def v7_v9_bounds(spark, sf_dir):
     """V8 (prediction within observed ± 0.3, PASSED above 80 %) and V9 (observed shifted by the
-    2SLS coefficient × price), with V7's clamped [0, 10] interval widths."""
+    2SLS coefficient × price). Widths floor only the lower end at 0 and cap only the upper at 10."""
     s = rk.hash_sample(features(spark, sf_dir), 100).select(
         F.col(TARGET).alias("y"), M.predict(va.model_values(M.features)).alias("yhat"),
         F.col("avg_reward_price").alias("price"))
     u = UNCERTAINTY
-    clampc = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(10.0))
+    low, high = lambda x: F.greatest(x, F.lit(0.0)), lambda x: F.least(x, F.lit(10.0))
     y, yh, p = F.col("y"), F.col("yhat"), F.col("price")
     inside = ((yh >= y - u) & (yh <= y + u)).cast("double")
     shifted = y + F.lit(M.tsls_coef) * p
@@ -199,15 +199,38 @@ def v7_v9_bounds(spark, sf_dir):
     eff = F.abs(F.lit(M.tsls_coef)) * p
     a = s.agg(F.lit("bounds_observed").alias("test"), F.count(F.lit(1)).alias("n"),
               r6(F.avg(inside) * 100).alias("pct_within"),
-              r6(F.avg(clampc(yh + u) - clampc(yh - u))).alias("mean_width"),
+              r6(F.avg(high(y + u) - low(y - u))).alias("mean_width"),
               va.status(F.avg(inside) * 100 > 80).alias("status"))
     b = s.agg(F.lit("bounds_effect_shifted").alias("test"), F.count(F.lit(1)).alias("n"),
               r6(F.avg(inside2) * 100).alias("pct_within"),
-              r6(F.avg(clampc(y + eff + u) - clampc(y - eff - u))).alias("mean_width"),
+              r6(F.avg(high(y + eff + u) - low(y - eff - u))).alias("mean_width"),
               va.status(F.avg(inside2) * 100 > 80).alias("status"))
     return a.unionByName(b)
 
 
+PRICE_CHANGE = -0.2
+_E7 = f"({M.tsls_coef * PRICE_CHANGE!r}::DOUBLE * price)"
+
+
+@query("v7_manski", _fsql(f"""
+, _s AS (SELECT funding_ratio AS y, avg_reward_price AS price FROM features
+         ORDER BY (((project_id + 42) % 2147483648) * 2654435761) % 4294967296, project_id LIMIT 100),
+_m AS (SELECT y + {_E7} AS point, greatest(y - abs({_E7}) - {_U}, {_Z}) AS lo, least(y + abs({_E7}) + {_U}, {_TEN}) AS hi FROM _s)
+SELECT count(*) AS n, {s6('avg(point)')} AS avg_point_estimate, {s6('avg(hi - lo)')} AS avg_interval_width,
+       {s6('avg(CASE WHEN point BETWEEN lo AND hi THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)')} AS share_inside FROM _m"""))
+def v7_manski(spark, sf_dir):
+    """V7: bounds of the outcome after a price cut of 20 %: observed outcome plus causal effect, lower end
+    floored at 0, upper end capped at 10; mean point estimate, mean width and share of points inside."""
+    eff = F.lit(M.tsls_coef * PRICE_CHANGE) * F.col("avg_reward_price")
+    y = F.col(TARGET)
+    s = rk.hash_sample(features(spark, sf_dir), 100).select(
+        (y + eff).alias("point"), F.greatest(y - F.abs(eff) - UNCERTAINTY, F.lit(0.0)).alias("lo"),
+        F.least(y + F.abs(eff) + UNCERTAINTY, F.lit(10.0)).alias("hi"))
+    return s.agg(F.count(F.lit(1)).alias("n"), r6(F.avg("point")).alias("avg_point_estimate"),
+                 r6(F.avg(F.col("hi") - F.col("lo"))).alias("avg_interval_width"),
+                 r6(F.avg(F.col("point").between(F.col("lo"), F.col("hi")).cast("double"))).alias("share_inside"))
+
+
 # --- V11-V15 -------------------------------------------------------------------------------------------
 
 @query("v11_time_cv")
