@@ -8,8 +8,7 @@ earlier one on a tie - or "start" - the section of its first character.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from itertools import chain
+import json
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -17,86 +16,56 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricelens.llm import common
-from pricelens.llm.bpe import MEMO
+from pricelens.llm.bpe import byte_symbols
 
 RULES = ("majority", "start")
 
 
-#: Characters after which the texts of a block are cut and encoded together.
-BLOCK = 1 << 20
-
-
 class SpanEncoder:
     """Character spans of the tokens of whole texts for a byte-level BPE file; special strings are ordinary text.
 
-    The file's split pattern cuts a text into pieces that never share a token. The library is asked once per
-    distinct piece, all new pieces of a block in one call; a piece is remembered as the byte lengths of its
-    tokens. A token that holds part of a character's bytes spans that whole character.
+    The file's vocabulary goes to tiktoken, which gives a whole text's ids as one array. Its pattern engine gives
+    up on very long runs of one kind of sign; those texts go, whole, through the tokenizers library. Spans are
+    sums of the tokens' byte lengths; a token that holds part of a character's bytes spans that whole character.
     """
 
     def __init__(self, path: str):
-        import regex
+        import tiktoken
         from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        made = [vocab[a + b] for a, b in merges]
+        if any(a >= b for a, b in zip(made, made[1:])):
+            raise ValueError("the file's merges are not in the order of their ids")
+        byte_of = {c: b for b, c in enumerate(byte_symbols())}
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items()}
+        self.encoding = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        vocab = self.library.get_vocab(with_added_tokens=False)
-        self.bytes_of = np.zeros(max(vocab.values()) + 1, "<u2")
-        self.bytes_of[list(vocab.values())] = [len(t) for t in vocab]  # one sign of the alphabet per byte
-        self.pieces_of = regex.compile(PATTERN).findall
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > MEMO:
-            self.older, self.known = self.known, {}
-        fresh = []
-        for p in pieces:
-            if (raw := self.older.get(p)) is not None:
-                self.known[p] = raw
-            elif p not in self.known:
-                fresh.append(p)
-        ids = [found.ids for found in self.library.encode_batch_fast(fresh, add_special_tokens=False)]
-        ends = (2 * np.cumsum([0, *map(len, ids)])).tolist()
-        raw = self.bytes_of[np.fromiter(chain.from_iterable(ids), np.int64, ends[-1] // 2)].tobytes()
-        self.known.update(zip(fresh, [raw[a:b] for a, b in zip(ends, ends[1:])]))
-
-    def _raw(self, cut: list[list[str]]) -> list[bytes]:
-        words = set().union(*cut)
-        known = self.known
-        if missing := [p for p in words if p not in known]:
-            self._learn(missing)
-            if self.known is not known:  # a new generation: have all of the block's pieces in it
-                self._learn(list(words))
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+        self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
+        self.bytes_of[list(ranks.values())] = [len(t) for t in ranks]
+
+    def _ids(self, text: str) -> np.ndarray:
+        try:
+            return self.encoding.encode_to_numpy(text, disallowed_special=())
+        except ValueError:  # the pattern engine's stack
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int64)
 
     def spans(self, text: str) -> np.ndarray:
         """(tokens, 2) start and end characters, in order."""
-        return next(self.all_spans([text]))
-
-    def all_spans(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
-        """The spans of each text, in order."""
-        held: list[str] = []
-        size = 0
-        for text in texts:
-            held.append(text)
-            size += len(text)
-            if size >= BLOCK:
-                yield from self._block(held)
-                held, size = [], 0
-        yield from self._block(held)
-
-    def _block(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for text, raw in zip(texts, self._raw([self.pieces_of(t) for t in texts])):
-            ends = np.cumsum(np.frombuffer(raw, "<u2"), dtype=np.int64)
-            starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-            data = text.encode()
-            if (int(ends[-1]) if len(ends) else 0) != len(data):
-                raise ValueError("the file's tokens do not cover the text")
-            if len(data) != len(text):
-                char = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80) - 1  # the character of each byte
-                starts, ends = char[starts], char[ends - 1] + 1
-            yield np.stack([starts, ends], axis=1)
+        data = text.encode()
+        if not data:
+            return np.zeros((0, 2), np.int64)
+        ends = np.cumsum(self.bytes_of[self._ids(text)])
+        if int(ends[-1]) != len(data):
+            raise ValueError("the file's tokens do not cover the text")
+        starts = np.concatenate([[0], ends[:-1]])
+        if len(data) != len(text):
+            char = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80) - 1  # the character of each byte
+            starts, ends = char[starts], char[ends - 1] + 1
+        return np.stack([starts, ends], axis=1)
 
 
 def line_sections(text: str) -> np.ndarray:
@@ -169,12 +138,13 @@ def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
         for batch in batches:
             given = batch.column(2).to_pylist() if sections_col else None
             rows, parts = [], []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for i, (text, spans) in enumerate(zip(texts, enc.all_spans(texts))):
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                text = text or ""
                 if given is None:
                     sections = line_sections(text)
                 else:
                     sections = np.array([(s["start"], s["end"]) for s in given[i] or ()], np.int64).reshape(-1, 2)
+                spans = enc.spans(text)
                 where, crosses = attribute(spans, sections, rule)
                 n = len(sections)
                 table = np.stack([np.arange(n), sections[:, 0], sections[:, 1], np.bincount(where[where >= 0], minlength=n)[:n], np.bincount(where[crosses & (where >= 0)], minlength=n)[:n]])

@@ -104,6 +104,14 @@ def test_spans_equal_whole_document_offsets():
         assert [tuple(s) for s in enc.spans(text).tolist()] == t.encode(text, add_special_tokens=False).offsets
 
 
+def test_spans_of_very_long_runs():
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(BYTE)
+    enc = tokencounts.SpanEncoder(BYTE)
+    for text in (" " * 2_000_000, "x" * 100_000, " \n" * 50_000 + "é"):
+        assert [tuple(s) for s in enc.spans(text).tolist()] == t.encode(text, add_special_tokens=False).offsets
+
+
 def test_boundary_rules():
     spans = np.array([[0, 2], [2, 5], [5, 6], [6, 10], [12, 13]])
     sections = np.array([[0, 3], [3, 3], [3, 8], [8, 10]])
