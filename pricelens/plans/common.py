@@ -48,8 +48,11 @@ def _input_tag(spark: SparkSession, sf_dir: str) -> str:
     for name in TABLES:
         p, fs = _hadoop_fs(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
         if fs.exists(p):
-            for st in fs.listStatus(p):
-                h.update(f"{st.getPath().getName()}|{st.getLen()}|{st.getModificationTime()}".encode())
+            found, files = [], fs.listFiles(p, True)
+            while files.hasNext():
+                st = files.next()
+                found.append(f"{st.getPath()}|{st.getLen()}|{st.getModificationTime()}")
+            h.update("\n".join(sorted(found)).encode())
     return h.hexdigest()[:12]
 
 

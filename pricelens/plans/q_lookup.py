@@ -96,17 +96,23 @@ def j10_similar(spark, sf_dir):
     return nn.select("query_id", nn["rank"].cast("int").alias("rank"), "project_id", r6("distance").alias("distance"))
 
 
-@query("s20_sinks")
+@query("s20_sinks", with_views("""
+, _t AS (SELECT count(*) AS n, count(reward_tiers) AS with_tiers, CAST(coalesce(sum(len(reward_tiers)), 0) AS BIGINT) AS tiers FROM features)
+SELECT unnest(['parquet', 'csv']) AS format, n AS rows, with_tiers, tiers FROM _t""", level="features"))
 def s20_sinks(spark, sf_dir):
-    """Stage sinks: the enriched table written as Parquet and CSV to the shared folder, read back."""
-    f = features(spark, sf_dir).drop("reward_tiers")
+    """Stage sinks: the feature table, reward tiers as JSON text, written as Parquet and CSV to the shared folder,
+    read back with the tiers parsed again."""
+    f = features(spark, sf_dir).withColumn("reward_tiers", F.to_json("reward_tiers"))
     base = scratch_path(spark, f"sink-{spark.sparkContext.applicationId}")
     f.write.mode("overwrite").parquet(f"{base}/features_parquet")
     f.write.mode("overwrite").option("header", True).csv(f"{base}/features_csv")
     pq = spark.read.parquet(f"{base}/features_parquet")
     cs = spark.read.option("header", True).schema(f.schema).csv(f"{base}/features_csv")
-    return (pq.agg(F.lit("parquet").alias("format"), F.count(F.lit(1)).alias("rows"))
-            .unionByName(cs.agg(F.lit("csv").alias("format"), F.count(F.lit(1)).alias("rows"))))
+    tiers = F.from_json("reward_tiers", "array<double>")
+    counts = [F.count(F.lit(1)).alias("rows"), F.count(tiers).alias("with_tiers"),
+              F.coalesce(F.sum(F.when(tiers.isNotNull(), F.size(tiers))), F.lit(0)).cast("long").alias("tiers")]
+    return (pq.agg(F.lit("parquet").alias("format"), *counts)
+            .unionByName(cs.agg(F.lit("csv").alias("format"), *counts)))
 
 
 @query("s22_model_persist")

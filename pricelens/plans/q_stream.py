@@ -1,4 +1,4 @@
-"""Streaming queries R1-R3 (rows-only) and the batch twin of R3 (oracle-checked)."""
+"""Streaming queries R1-R3, the batch twin of R3, and the resumable ingestion S19."""
 
 from __future__ import annotations
 
@@ -14,26 +14,43 @@ from pricelens.sources.tables import read_table
 from pricelens.streaming import incremental as inc
 
 
-@query("r1_ingest")
+@query("r1_ingest", with_views("""
+, _n AS (SELECT count(*) FILTER (WHERE project_id % 2 = 0) AS half, count(*) AS n,
+                CAST(coalesce(sum(len(reward_tiers)) FILTER (WHERE project_id % 2 = 0), 0) AS BIGINT) AS half_tiers,
+                CAST(coalesce(sum(len(reward_tiers)), 0) AS BIGINT) AS tiers FROM campaign)
+SELECT 1 AS run, half AS rows_in_sink, half_tiers AS tiers_in_sink FROM _n
+UNION ALL SELECT 2, half, half_tiers FROM _n
+UNION ALL SELECT 3, n, tiers FROM _n"""))
 def r1_ingest(spark, sf_dir):
-    """Incremental ingestion run twice over the same files: the second run adds no rows."""
-    p = inc.stream_paths(spark, "r1")
-    camp = campaigns(spark, sf_dir).drop("reward_tiers")
-    camp.repartition(4).write.mode("overwrite").parquet(p["source"])
-    first = inc.ingest_files(spark, p["source"], p["sink"], p["checkpoint"], camp.schema, max_files_per_trigger=1)
-    second = inc.ingest_files(spark, p["source"], p["sink"], p["checkpoint"], camp.schema)
-    return spark.createDataFrame([(1, first), (2, second)], "run int, rows_in_sink long")
+    """Incremental ingestion: the files of the even campaigns, the same files again (nothing more), then with the
+    files of the odd ones added (exactly those)."""
+    p = inc.stream_paths(spark, f"r1-{uuid.uuid4().hex[:8]}")
+    camp = campaigns(spark, sf_dir)
+    rows = []
+    for run, rest in ((1, 0), (2, None), (3, 1)):
+        if rest is not None:
+            camp.where(F.pmod("project_id", F.lit(2)) == rest).write.mode("append").parquet(p["source"])
+        inc.ingest_files(spark, p["source"], p["sink"], p["checkpoint"], camp.schema)
+        rows.append(spark.read.schema(camp.schema).parquet(p["sink"]).agg(
+            F.lit(run).alias("run"), F.count(F.lit(1)).alias("rows_in_sink"),
+            F.coalesce(F.sum(F.size(F.coalesce("reward_tiers", F.array().cast("array<double>")))), F.lit(0)).cast("long").alias("tiers_in_sink")).first())
+    return spark.createDataFrame(rows, "run int, rows_in_sink long, tiers_in_sink long")
 
 
-@query("r2_dedup")
+@query("r2_dedup", with_views("""
+SELECT count(*) AS rows_kept, count(DISTINCT coalesce(id, -1)) AS distinct_ids, count(*) AS from_first_file
+FROM (SELECT DISTINCT id FROM _copies)""", derived.COPIES_SQL))
 def r2_dedup(spark, sf_dir):
-    """Keep-first across micro-batches: three copies per campaign arrive as three files."""
-    p = inc.stream_paths(spark, "r2")
-    cp = derived.copies(campaigns(spark, sf_dir)).where(F.col("id").isNotNull()).withColumn(
+    """Keep-first across micro-batches: three copies per campaign (null ids are one group) arrive in three files, one
+    after another; the copy of the first file stays."""
+    p = inc.stream_paths(spark, f"r2-{uuid.uuid4().hex[:8]}")
+    cp = derived.copies(campaigns(spark, sf_dir)).withColumn(
         "event_time", F.timestamp_seconds(F.col("row_in_file")).cast("timestamp"))
-    cp.repartition(3, "file_rank").write.mode("overwrite").parquet(p["source"])
-    out = inc.dedup_stream(spark, p["source"], cp.schema, "id", "event_time", p["sink"], p["checkpoint"])
-    return out.agg(F.count(F.lit(1)).alias("rows_kept"), F.countDistinct("id").alias("distinct_ids"))
+    for rank in (1, 2, 3):
+        cp.where(F.col("file_rank") == rank).write.mode("append").parquet(p["source"])
+        out = inc.dedup_stream(spark, p["source"], cp.schema, "id", "event_time", p["sink"], p["checkpoint"], max_files_per_trigger=None)
+    return out.agg(F.count(F.lit(1)).alias("rows_kept"), F.countDistinct(F.coalesce("id", F.lit(-1))).alias("distinct_ids"),
+                   F.count(F.when(F.col("file_rank") == 1, 1)).alias("from_first_file"))
 
 
 @query("r3_activity")

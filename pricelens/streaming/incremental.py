@@ -31,10 +31,13 @@ def ingest_files(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint
 
 
 def dedup_stream(spark: SparkSession, source_dir: str, schema, key: str, event_time: str, sink_dir: str,
-                 checkpoint: str, delay: str = "3650 days") -> DataFrame:
-    """R2: first copy of each key wins across micro-batches (state bounded by the watermark delay)."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source_dir)
-    deduped = stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
+                 checkpoint: str, delay: str = "3650 days", max_files_per_trigger: int | None = 1) -> DataFrame:
+    """R2: first copy of each key wins across micro-batches (null keys are one group; state bounded by the
+    watermark delay). Files read in one batch have no order: None takes all files that have arrived together."""
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    deduped = reader.parquet(source_dir).withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
     q = (deduped.writeStream.format("parquet").option("path", sink_dir).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()

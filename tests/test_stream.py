@@ -5,12 +5,12 @@ from pricelens.plans import q_stream
 
 def test_ingest_rerun_adds_nothing(spark, sf_dir):
     rows = {r["run"]: r["rows_in_sink"] for r in q_stream.r1_ingest(spark, sf_dir).collect()}
-    assert rows[1] == rows[2] > 0
+    assert rows[3] > rows[1] == rows[2] > 0
 
 
 def test_dedup_stream_keeps_one_per_id(spark, sf_dir):
     r = q_stream.r2_dedup(spark, sf_dir).first()
-    assert r["rows_kept"] == r["distinct_ids"] > 0
+    assert r["rows_kept"] == r["distinct_ids"] == r["from_first_file"] > 0
 
 
 def test_activity_stream_equals_batch(spark, sf_dir):
