@@ -12,17 +12,18 @@ def components(links: DataFrame) -> DataFrame:
     """links(a, b) of long vertices -> (v, root), root the smallest vertex of v's component.
 
     Vertices without a link do not appear; self links and nulls are ignored. A step gives each vertex the
-    minimum of its neighbours (aggregated before the shuffle) and re-links them; every step is written to
-    the shared folder, so lineage stays one step long. Ends when a step changes nothing.
+    minimum of its neighbours (aggregated before the shuffle) and re-links them. The minima are a table of their
+    own, so that the join with the links of a hub is one that Spark can split. Every step is written to the
+    shared folder, so lineage stays one step long. Ends when a step changes nothing.
     """
     edges = common.staged(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = common.staged(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "large-low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = common.staged(large, "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = common.staged(large.groupBy("u").agg(F.min("v").alias("m")), "small-low")
         small = large.join(low, "u").select(F.explode(F.array(
             F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = common.staged(small.select("e.*").where("u <> v").distinct(), "small-star")
