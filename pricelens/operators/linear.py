@@ -118,10 +118,13 @@ class Fit:
 def solve(G: np.ndarray, design: np.ndarray, target: np.ndarray) -> tuple:
     """Regress target = Vᵀt on design = V·D (linear maps of the Gram basis V = [1, v…]).
 
+    Columns are scaled to unit length first, so that a large unit (money beside shares) costs no digits.
     Returns (β in the design basis, SSR, (DᵀGD)⁺)."""
     A = design.T @ G @ design
     b = design.T @ G @ target
-    inv = np.linalg.pinv(A, rcond=1e-12)
+    size = np.sqrt(np.clip(np.diag(A), 0, None))
+    scale = np.divide(1.0, size, out=np.zeros_like(size), where=size > 0)
+    inv = np.linalg.pinv(A * np.outer(scale, scale), rcond=1e-12) * np.outer(scale, scale)
     beta = inv @ b
     ssr = float(target @ G @ target - 2 * beta @ b + beta @ A @ beta)
     return beta, max(ssr, 0.0), inv

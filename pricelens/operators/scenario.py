@@ -1,6 +1,6 @@
 """Counterfactual scoring and advice for every campaign at once.
 
-A scoring model is a small coefficient table (raw-unit linear predictor) inlined into expressions
+A scoring model is a small fitted coefficient table (raw-unit linear predictor) inlined into expressions
 as literals — the broadcast of a model by value. Price/goal grids are evaluated per row with array
 higher-order functions (``transform``/``array_max``/``array_position``): no explode, no shuffle,
 one pass over the campaign table whatever the grid size.
@@ -41,21 +41,13 @@ class ScoringModel:
             expr = expr + F.lit(float(self.coefs.get(name, 0.0))) * x.cast("double")
         return expr
 
-    def sql(self, values: dict) -> str:
-        """The same predictor as DuckDB text (left-to-right, same operation order)."""
-        out = f"{float(self.intercept)!r}::DOUBLE"
-        for name in self.features:
-            out = f"({out} + {float(self.coefs.get(name, 0.0))!r}::DOUBLE * CAST({values.get(name, '0.0')} AS DOUBLE))"
-        return out
-
+    def rounded(self, digits: int) -> "ScoringModel":
+        """Coefficients at ``digits`` significant digits: the same bits whatever order the fit's sums ran in."""
+        def sig(x):
+            return float(f"{x:.{digits - 1}e}")
+        return ScoringModel(sig(self.intercept), {n: sig(b) for n, b in self.coefs.items()}, sig(self.tsls_coef),
+                            list(self.features))
 
-# The reference scoring model used by the scenario oracles (raw-unit OLS coefficients
-# and the 2SLS price coefficient); production code builds one with ScoringModel.from_fit.
-FIXED_MODEL = ScoringModel(
-    intercept=1.2,
-    coefs={"avg_reward_price": -0.0012, "goal_ambition": -0.35, "campaign_duration_days": -0.004,
-           "trend_index": 0.004, "concurrent_campaigns": -0.01},
-    tsls_coef=-0.02)
 
 # Grid multipliers (np.linspace(0.3, 2.5, 20) and np.linspace(0.5, 2.0, 20)).
 PRICE_MULTIPLIERS = [float(x) for x in np.linspace(0.3, 2.5, 20)]
@@ -66,6 +58,7 @@ FALLBACK_QUANTILES = {0.1: 0.6, 0.25: 0.8, 0.5: 1.0, 0.75: 1.2, 0.9: 1.5}
 FIXED_PRICES = [25.0, 50.0, 75.0, 100.0, 150.0, 200.0]
 
 
+# The label texts of the recommendation bands and price effects below.
 def recommendation(ratio: Column) -> Column:
     """C1 band: ≥1.5 strong, ≥1.0 likely, ≥0.7 at risk, else needs work."""
     return (F.when(ratio >= 1.5, F.lit("Strong Success - Consider higher goal"))

@@ -11,19 +11,11 @@ from pricelens.operators import linear as L
 from pricelens.operators import ranking as rk
 from pricelens.operators.quantiles import exact_percentiles
 from pricelens.plans.common import features
+from pricelens.plans.model import CONTROLS, FEATURES, INSTRUMENTS, TARGET, TREATMENT
 from pricelens.plans.registry import query
 from pricelens.plans.sql import r6 as s6
 from pricelens.plans.sql import with_views
 
-# The causal roles of the configuration (features, instruments, confounders, target).
-FEATURES = ["avg_reward_price", "goal_ambition", "campaign_duration_days", "trend_index", "concurrent_campaigns"]
-INSTRUMENTS = ["is_weekend_launch", "holiday_proximity", "trend_spike"]
-CONFOUNDERS = ["competition_intensity", "creator_experience_proxy"]
-TARGET = "funding_ratio"
-TREATMENT = "avg_reward_price"
-CONTROLS = [c for c in FEATURES if c != TREATMENT]
-
-
 def _table(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
 

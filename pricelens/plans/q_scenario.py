@@ -1,4 +1,4 @@
-"""Scenario queries C1-C9: every campaign scored at once with a literal coefficient table."""
+"""Scenario queries C1-C9: every campaign scored at once by the model fitted on the table."""
 
 from __future__ import annotations
 
@@ -10,11 +10,11 @@ from pricelens.operators.features import group_medians
 from pricelens.operators.joins import join_small
 from pricelens.operators.quantiles import exact_percentiles
 from pricelens.plans.common import features, staged
+from pricelens.plans.model import MODEL_SQL, fitted_model, predict_sql
 from pricelens.plans.registry import query
 from pricelens.plans.sql import r6 as s6
 from pricelens.plans.sql import with_views
 
-M = sc.FIXED_MODEL
 PCT_CHANGE = 10.0
 
 
@@ -27,7 +27,7 @@ def _dlist(vals) -> str:
     return "[" + ", ".join(f"{float(v)!r}" for v in vals) + "]::DOUBLE[]"
 
 
-SC_SQL = """
+SC_SQL = MODEL_SQL + """,
 _cm AS (SELECT category, median(funding_goal) AS mg, median(avg_reward_price) AS mp,
                median(campaign_duration_days) AS md, median(trend_index) AS mt FROM features
         WHERE category IS NOT NULL GROUP BY category),
@@ -36,7 +36,7 @@ _sc AS (
          CASE WHEN m.mg > 0 THEN f.funding_goal / m.mg ELSE 1.0::DOUBLE END AS amb_cat,
          m.mg AS cat_median_goal, m.mp AS cat_median_price, m.md AS cat_median_duration, m.mt AS cat_median_trend,
          (SELECT median(concurrent_campaigns) FROM features) AS conc_med
-  FROM features f LEFT JOIN _cm m ON f.category = m.category
+  FROM fm f LEFT JOIN _cm m ON f.category = m.category
 )"""
 
 API_SQL_VALUES = {"avg_reward_price": "avg_reward_price", "goal_ambition": "amb_global",
@@ -81,7 +81,7 @@ def dash_vals():
             "concurrent_campaigns": F.col("conc_med")}
 
 
-_C1_RATIO = M.sql(API_SQL_VALUES)
+_C1_RATIO = predict_sql(API_SQL_VALUES)
 
 
 @query("c1_score", _sql(f"""
@@ -95,12 +95,12 @@ SELECT project_id, {rt(f'funding_goal * {_C1_RATIO}', 2)} AS expected_funding, {
        ELSE 'Needs Work - Review pricing and goal' END AS recommendation
 FROM _sc"""))
 def c1_score(spark, sf_dir):
-    s = scored(spark, sf_dir)
-    out = sc.score_api(M, api_vals(), F.col("funding_goal"))
+    s, m = scored(spark, sf_dir), fitted_model(spark, sf_dir)
+    out = sc.score_api(m, api_vals(), F.col("funding_goal"))
     return s.select("project_id", *[v.alias(k) for k, v in out.items()])
 
 
-_C2_PRED = M.sql(DASH_SQL_VALUES)
+_C2_PRED = predict_sql(DASH_SQL_VALUES)
 _C2_RATIO = f"greatest(0.0::DOUBLE, {_C2_PRED})"
 
 
@@ -110,8 +110,8 @@ SELECT project_id, {s6(_C2_RATIO)} AS funding_ratio, {s6(f'{_C2_RATIO} * funding
 """ + ",\n".join(f"  {s6(f'{_C2_RATIO} * {m!r}::DOUBLE')} AS q{int(q * 100):02d}" for q, m in sc.FALLBACK_QUANTILES.items())
     + "\nFROM _sc"))
 def c2_score_variant(spark, sf_dir):
-    s = scored(spark, sf_dir)
-    ratio = F.greatest(F.lit(0.0), M.predict(dash_vals()))
+    s, m = scored(spark, sf_dir), fitted_model(spark, sf_dir)
+    ratio = F.greatest(F.lit(0.0), m.predict(dash_vals()))
     qs = [r6(ratio * F.lit(m)).alias(f"q{int(q * 100):02d}") for q, m in sc.FALLBACK_QUANTILES.items()]
     return s.select("project_id", r6(ratio).alias("funding_ratio"), r6(ratio * F.col("funding_goal")).alias("expected_funding"),
                     r6(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (ratio / 1.0) * 0.7))).alias("success_probability"), *qs)
@@ -120,7 +120,7 @@ def c2_score_variant(spark, sf_dir):
 def _c3_sql_ratio(m_expr):
     v = dict(API_SQL_VALUES)
     v["avg_reward_price"] = f"(avg_reward_price * {m_expr})"
-    return rt(M.sql(v), 3)
+    return rt(predict_sql(v), 3)
 
 
 _C3_CTE = f"""
@@ -131,19 +131,20 @@ _C3_CTE = f"""
 @query("c3_demand_curve", _sql(_C3_CTE + f"""
 SELECT project_id, ratios AS curve_ratios, list_max(ratios) AS max_ratio,
   {rt('CASE WHEN list_max(ratios) > 0 THEN c3_price * mults[list_position(ratios, list_max(ratios))] ELSE c3_price END', 2)} AS optimal_price,
-  '{sc.price_effect_label(M.tsls_coef)}' AS price_effect
-FROM _c3"""))
+  CASE WHEN k_tsls > 0.01 THEN '{sc.price_effect_label(1.0)}' WHEN k_tsls < -0.01 THEN '{sc.price_effect_label(-1.0)}'
+       ELSE '{sc.price_effect_label(0.0)}' END AS price_effect
+FROM _c3, _model"""))
 def c3_demand_curve(spark, sf_dir):
-    s = scored(spark, sf_dir)
-    d = sc.demand_curve(M, api_vals(), F.col("avg_reward_price"))
+    s, m = scored(spark, sf_dir), fitted_model(spark, sf_dir)
+    d = sc.demand_curve(m, api_vals(), F.col("avg_reward_price"))
     return s.select("project_id", d["curve_ratios"].alias("curve_ratios"), d["max_ratio"].alias("max_ratio"),
-                    d["optimal_price"].alias("optimal_price"), F.lit(sc.price_effect_label(M.tsls_coef)).alias("price_effect"))
+                    d["optimal_price"].alias("optimal_price"), F.lit(sc.price_effect_label(m.tsls_coef)).alias("price_effect"))
 
 
 def _c4_sql_fund(p_expr):
     v = dict(DASH_SQL_VALUES)
     v["avg_reward_price"] = f"CAST({p_expr} AS DOUBLE)"
-    return f"(greatest(0.0::DOUBLE, {M.sql(v)}) * funding_goal)"
+    return f"(greatest(0.0::DOUBLE, {predict_sql(v)}) * funding_goal)"
 
 
 @query("c4_int_grid", _sql(f"""
@@ -156,8 +157,8 @@ SELECT project_id, CAST(len(grid) AS INTEGER) AS grid_size,
   {s6('list_max(fund)')} AS optimal_expected_funding
 FROM _g2"""))
 def c4_int_grid(spark, sf_dir):
-    s = scored(spark, sf_dir)
-    g = sc.integer_price_grid(M, dash_vals(), F.col("avg_reward_price"), F.col("funding_goal"))
+    s, m = scored(spark, sf_dir), fitted_model(spark, sf_dir)
+    g = sc.integer_price_grid(m, dash_vals(), F.col("avg_reward_price"), F.col("funding_goal"))
     return s.select("project_id", g["grid_size"].alias("grid_size"),
                     g["optimal_int_price"].cast("bigint").alias("optimal_int_price"),
                     r6(g["optimal_expected_funding"]).alias("optimal_expected_funding"))
@@ -166,7 +167,7 @@ def c4_int_grid(spark, sf_dir):
 def _c5_sql_prob(m_expr):
     v = dict(DASH_SQL_VALUES)
     v["goal_ambition"] = f"(CASE WHEN cat_median_goal > 0 THEN funding_goal * {m_expr} / cat_median_goal ELSE 1.0::DOUBLE END)"
-    r = f"greatest(0.0::DOUBLE, {M.sql(v)})"
+    r = f"greatest(0.0::DOUBLE, {predict_sql(v)})"
     return f"(least(1.0::DOUBLE, greatest(0.0::DOUBLE, {r} / 1.0::DOUBLE * 0.7::DOUBLE)) * 100)"
 
 
@@ -175,8 +176,8 @@ SELECT project_id, list_transform({_dlist(sc.GOAL_MULTIPLIERS)}, lambda m: {s6('
        list_transform({_dlist(sc.GOAL_MULTIPLIERS)}, lambda m: {s6(_c5_sql_prob('m'))}) AS probabilities
 FROM _sc"""))
 def c5_goal_curve(spark, sf_dir):
-    s = scored(spark, sf_dir)
-    g = sc.goal_curve(M, dash_vals(), F.col("funding_goal"), F.col("cat_median_goal"))
+    s, m = scored(spark, sf_dir), fitted_model(spark, sf_dir)
+    g = sc.goal_curve(m, dash_vals(), F.col("funding_goal"), F.col("cat_median_goal"))
     return s.select("project_id", F.transform(g["goals"], r6).alias("goals"),
                     F.transform(g["probabilities"], r6).alias("probabilities"))
 
@@ -200,49 +201,49 @@ def c6_benchmark(spark, sf_dir):
         r6(F.col("trend_index") / 50.0).alias("trend_score"))
 
 
-_K7 = M.tsls_coef * PCT_CHANGE / 100.0
+_K7 = f"(k_tsls * {PCT_CHANGE!r}::DOUBLE / 100.0::DOUBLE)"
 
 
 def _c7_sql():
     v = dict(API_SQL_VALUES)
     v["avg_reward_price"] = f"(avg_reward_price * {1 + PCT_CHANGE / 100.0!r}::DOUBLE)"
-    return M.sql(v), M.sql(API_SQL_VALUES)
+    return predict_sql(v), predict_sql(API_SQL_VALUES)
 
 
 @query("c7_pct_change", _sql(f"""
 SELECT project_id, {s6(f'{_c7_sql()[0]} - {_c7_sql()[1]}')} AS naive_effect,
-       {s6(f'{_K7!r}::DOUBLE * avg_reward_price')} AS causal_effect,
-       {s6(f'{_c7_sql()[1]} + {_K7!r}::DOUBLE * avg_reward_price')} AS counterfactual_ratio
+       {s6(f'{_K7} * avg_reward_price')} AS causal_effect,
+       {s6(f'{_c7_sql()[1]} + {_K7} * avg_reward_price')} AS counterfactual_ratio
 FROM _sc"""))
 def c7_pct_change(spark, sf_dir):
     """+10 % price — naive effect (prediction difference) vs causal effect (2SLS × Δprice)."""
-    s = scored(spark, sf_dir)
+    s, m = scored(spark, sf_dir), fitted_model(spark, sf_dir)
     v = dict(api_vals())
     v["avg_reward_price"] = F.col("avg_reward_price") * (1 + PCT_CHANGE / 100.0)
-    base = M.predict(api_vals())
-    causal = F.lit(_K7) * F.col("avg_reward_price")
-    return s.select("project_id", r6(M.predict(v) - base).alias("naive_effect"), r6(causal).alias("causal_effect"),
+    base = m.predict(api_vals())
+    causal = F.lit(m.tsls_coef * PCT_CHANGE / 100.0) * F.col("avg_reward_price")
+    return s.select("project_id", r6(m.predict(v) - base).alias("naive_effect"), r6(causal).alias("causal_effect"),
                     r6(base + causal).alias("counterfactual_ratio"))
 
 
 def _c8_sql(price):
     v = {"avg_reward_price": f"{price!r}", "goal_ambition": "1.0", "campaign_duration_days": "md",
          "trend_index": "mt", "concurrent_campaigns": "(SELECT median(concurrent_campaigns) FROM features)"}
-    return f"greatest(0.0::DOUBLE, {M.sql(v)})"
+    return f"greatest(0.0::DOUBLE, {predict_sql(v)})"
 
 
 @query("c8_price_quantiles", _sql("\nUNION ALL\n".join(
     f"SELECT category, {p!r}::DOUBLE AS price, " + ", ".join(
         f"{s6(f'{_c8_sql(p)} * {m!r}::DOUBLE')} AS q{int(q * 100):02d}" for q, m in sc.FALLBACK_QUANTILES.items())
-    + " FROM _cm" for p in sc.FIXED_PRICES)))
+    + " FROM _cm, _model" for p in sc.FIXED_PRICES)))
 def c8_price_quantiles(spark, sf_dir):
     """Quantile band at fixed prices for each category's median campaign (fallback multipliers)."""
-    f = features(spark, sf_dir)
+    f, m = features(spark, sf_dir), fitted_model(spark, sf_dir)
     conc = exact_percentiles(f, "concurrent_campaigns", [0.5], names=["m"]).select("m").scalar()
     cm = group_medians(f, {"md": "campaign_duration_days", "mt": "trend_index"}, ["category"])
     cm = cm.where(F.col("category").isNotNull())
     rows = cm.select("category", "md", "mt", F.explode(F.array(*[F.lit(p) for p in sc.FIXED_PRICES])).alias("price"))
-    ratio = F.greatest(F.lit(0.0), M.predict({"avg_reward_price": F.col("price"), "goal_ambition": F.lit(1.0),
+    ratio = F.greatest(F.lit(0.0), m.predict({"avg_reward_price": F.col("price"), "goal_ambition": F.lit(1.0),
                                               "campaign_duration_days": F.col("md"), "trend_index": F.col("mt"),
                                               "concurrent_campaigns": conc}))
     return rows.select("category", "price", *[r6(ratio * F.lit(m)).alias(f"q{int(q * 100):02d}")
@@ -251,9 +252,9 @@ def c8_price_quantiles(spark, sf_dir):
 
 @query("c9_advice", _sql(_C3_CTE + f"""
 , _a AS (SELECT s.project_id, s.campaign_duration_days AS dur, s.amb_global AS amb, s.avg_reward_price AS price,
-                {_C1_RATIO.replace('avg_reward_price', 's.avg_reward_price')} AS ratio,
-                {rt(f"funding_goal * ({_C1_RATIO.replace('avg_reward_price', 's.avg_reward_price')} * 0.5::DOUBLE)", 2)} AS lo,
-                {rt(f"funding_goal * ({_C1_RATIO.replace('avg_reward_price', 's.avg_reward_price')} * 1.5::DOUBLE)", 2)} AS hi,
+                {_C1_RATIO} AS ratio,
+                {rt(f"funding_goal * ({_C1_RATIO} * 0.5::DOUBLE)", 2)} AS lo,
+                {rt(f"funding_goal * ({_C1_RATIO} * 1.5::DOUBLE)", 2)} AS hi,
                 {rt('CASE WHEN list_max(c.ratios) > 0 THEN c.c3_price * c.mults[list_position(c.ratios, list_max(c.ratios))] ELSE c.c3_price END', 2)} AS opt
          FROM _sc s JOIN _c3 c ON s.project_id = c.project_id),
 _b AS (SELECT *, list_filter([CASE WHEN dur > 45 THEN 'shorten_campaign' END,
@@ -266,23 +267,24 @@ SELECT project_id,
   greatest(1, 10 - CAST(trunc(ratio * 10) AS INTEGER)) AS risk_score
 FROM _b"""))
 def c9_advice(spark, sf_dir):
-    s = scored(spark, sf_dir)
-    ratio = M.predict(api_vals())
-    sc1 = sc.score_api(M, api_vals(), F.col("funding_goal"))
-    d = sc.demand_curve(M, api_vals(), F.col("avg_reward_price"))
+    s, m = scored(spark, sf_dir), fitted_model(spark, sf_dir)
+    ratio = m.predict(api_vals())
+    sc1 = sc.score_api(m, api_vals(), F.col("funding_goal"))
+    d = sc.demand_curve(m, api_vals(), F.col("avg_reward_price"))
     a = sc.advice(ratio, d["optimal_price"], F.col("avg_reward_price"), F.col("campaign_duration_days"),
                   sc1["confidence_low"], sc1["confidence_high"], F.col("amb_global"))
     return s.select("project_id", *[v.alias(k) for k, v in a.items()])
 
 
 @query("a3_effect_by_category", _sql(f"""
-SELECT category, count(*) AS n, {s6(f'avg({_K7!r}::DOUBLE * avg_reward_price)')} AS mean_effect,
-       {s6(f'stddev_samp({_K7!r}::DOUBLE * avg_reward_price)')} AS sd_effect
+SELECT category, count(*) AS n, {s6(f'avg({_K7} * avg_reward_price)')} AS mean_effect,
+       {s6(f'stddev_samp({_K7} * avg_reward_price)')} AS sd_effect
 FROM _sc GROUP BY category"""))
 def a3_effect_by_category(spark, sf_dir):
     """A3: group mean and sample sd of the per-campaign causal effect (C7's +10 % price), sorted
     by the mean."""
-    s = scored(spark, sf_dir).withColumn("_eff", F.lit(_K7) * F.col("avg_reward_price"))
+    m = fitted_model(spark, sf_dir)
+    s = scored(spark, sf_dir).withColumn("_eff", F.lit(m.tsls_coef * PCT_CHANGE / 100.0) * F.col("avg_reward_price"))
     return (s.groupBy("category").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("_eff")).alias("mean_effect"),
                                       r6(F.stddev_samp("_eff")).alias("sd_effect"))
             .orderBy("mean_effect", "category"))

@@ -13,91 +13,97 @@ from pricelens.operators import ranking as rk
 from pricelens.operators import validate as va
 from pricelens.operators.aggregates import pooled_ttest, t_two_sided_p
 from pricelens.operators.quantiles import exact_percentiles
-from pricelens.operators.scenario import FIXED_MODEL
 from pricelens.plans.common import features
-from pricelens.plans.q_model import FEATURES, INSTRUMENTS, TARGET, TREATMENT, CONTROLS
+from pricelens.plans.model import CONTROLS, FEATURES, INSTRUMENTS, MODEL_SQL, TARGET, TREATMENT, fitted_model, predict_sql
 from pricelens.plans.q_window import PAIRS_SQL, pairs_df
 from pricelens.plans.registry import query
 from pricelens.plans.sql import nz, with_views
 from pricelens.plans.sql import r6 as s6
 
-M = FIXED_MODEL
 UNCERTAINTY = 0.3
 PLACEBO_THRESHOLD = 0.01
 
 
 def _vals_sql(scale=None, overrides=None):
     v = {c: (f"(coalesce(CAST({c} AS DOUBLE), 0.0::DOUBLE) * {scale!r}::DOUBLE)" if scale
-             else f"coalesce(CAST({c} AS DOUBLE), 0.0::DOUBLE)") for c in M.features}
+             else f"coalesce(CAST({c} AS DOUBLE), 0.0::DOUBLE)") for c in FEATURES}
     v.update(overrides or {})
     return v
 
 
-PRED_SQL = M.sql(_vals_sql())
+PRED_SQL = predict_sql(_vals_sql())
 
 
 def _fsql(body, *ctes):
     return with_views(body, *ctes, level="features")
 
 
+def _msql(body, *ctes):
+    """Over the feature rows with the fitted coefficients alongside (``fm``)."""
+    return _fsql(body, *ctes, MODEL_SQL)
+
+
 # --- V1 -----------------------------------------------------------------------------------------
 
 _V1_CTE = f"""
 , _pe AS (
   SELECT p.campaign_1_id, p.campaign_2_id,
-         {M.sql(_vals_sql(overrides={'avg_reward_price': '(f.avg_reward_price * (1.0::DOUBLE + p.price_change_pct / 100))'}))
+         {predict_sql(_vals_sql(overrides={'avg_reward_price': '(f.avg_reward_price * (1.0::DOUBLE + p.price_change_pct / 100))'}))
           .replace('coalesce(CAST(goal_ambition', 'coalesce(CAST(f.goal_ambition')
           .replace('coalesce(CAST(campaign_duration_days', 'coalesce(CAST(f.campaign_duration_days')
           .replace('coalesce(CAST(trend_index', 'coalesce(CAST(f.trend_index')
           .replace('coalesce(CAST(concurrent_campaigns', 'coalesce(CAST(f.concurrent_campaigns')} AS predicted,
          p.outcome_2 AS actual
-  FROM pairs p JOIN features f ON p.campaign_1_id = f.project_id
+  FROM pairs p JOIN fm f ON p.campaign_1_id = f.project_id
 ),
 _er AS (SELECT *, abs(predicted - actual) AS error FROM _pe WHERE abs(predicted - actual) IS NOT NULL)"""
 
 
-@query("v1_pair_errors", _fsql(_V1_CTE + f"""
+@query("v1_pair_errors", _msql(_V1_CTE + f"""
 SELECT count(*) AS n_pairs, {s6('avg(error)')} AS mae, {s6('sqrt(avg(error * error))')} AS rmse,
        {s6('median(error)')} AS median_error, {s6('quantile_cont(error, 0.25)')} AS p25,
        {s6('quantile_cont(error, 0.5)')} AS p50, {s6('quantile_cont(error, 0.75)')} AS p75,
        {s6('quantile_cont(error, 0.9)')} AS p90
 FROM _er""", PAIRS_SQL))
 def v1_pair_errors(spark, sf_dir):
-    errs = va.pair_errors(pairs_df(spark, sf_dir), features(spark, sf_dir), M)
+    m = fitted_model(spark, sf_dir)
+    errs = va.pair_errors(pairs_df(spark, sf_dir), features(spark, sf_dir), m)
     return va.error_summary(errs)
 
 
 # --- V2 / V3 -------------------------------------------------------------------------------------
 
-@query("v2_changers", _fsql(f"""
-, _t AS (SELECT funding_ratio AS y, {PRED_SQL} AS yhat FROM features ORDER BY price_spread DESC, project_id LIMIT 10)
+@query("v2_changers", _msql(f"""
+, _t AS (SELECT funding_ratio AS y, {PRED_SQL} AS yhat FROM fm ORDER BY price_spread DESC, project_id LIMIT 10)
 SELECT count(*) AS n_samples, {s6('avg(abs(y - yhat))')} AS mae, {s6('sqrt(avg((y - yhat) * (y - yhat)))')} AS rmse,
        CASE WHEN avg(abs(y - yhat)) < 1.0 THEN 'PASSED' ELSE 'WARNING' END AS status FROM _t"""))
 def v2_changers(spark, sf_dir):
+    m = fitted_model(spark, sf_dir)
     top = rk.top_n(features(spark, sf_dir), "price_spread", 10)
-    t = top.select(F.col(TARGET).alias("y"), M.predict(va.model_values(M.features)).alias("yhat"))
+    t = top.select(F.col(TARGET).alias("y"), m.predict(va.model_values(m.features)).alias("yhat"))
     mae = F.avg(F.abs(F.col("y") - F.col("yhat")))
     return t.agg(F.count(F.lit(1)).alias("n_samples"), r6(mae).alias("mae"),
                  r6(F.sqrt(F.avg((F.col("y") - F.col("yhat")) ** 2))).alias("rmse"), va.status(mae < 1.0).alias("status"))
 
 
-_V3_PRED_MIN = M.sql(_vals_sql(overrides={"avg_reward_price": "min_reward_price"}))
+_V3_PRED_MIN = predict_sql(_vals_sql(overrides={"avg_reward_price": "min_reward_price"}))
 
 
-@query("v3_min_price", _fsql(f"""
+@query("v3_min_price", _msql(f"""
 , _t AS (SELECT project_id, funding_ratio AS y, {PRED_SQL} AS pred_now, {_V3_PRED_MIN} AS pred_min,
                 min_reward_price - avg_reward_price AS price_change
-         FROM features ORDER BY price_spread / {nz('avg_reward_price')} DESC, project_id LIMIT 10)
+         FROM fm ORDER BY price_spread / {nz('avg_reward_price')} DESC, project_id LIMIT 10)
 SELECT project_id, {s6('abs(y - pred_now)')} AS error, {s6('pred_min - pred_now')} AS effect,
        {s6('price_change')} AS price_change,
        {s6('avg(abs(y - pred_now)) OVER ()')} AS mae, {s6('median(abs(y - pred_now)) OVER ()')} AS median_error,
        {s6('quantile_cont(abs(y - pred_now), 0.9) OVER ()')} AS p90_error
 FROM _t"""))
 def v3_min_price(spark, sf_dir):
+    m = fitted_model(spark, sf_dir)
     f = features(spark, sf_dir).withColumn("price_variation", safe_div("price_spread", "avg_reward_price"))
     top = rk.top_n(f, "price_variation", 10)
-    now = M.predict(va.model_values(M.features))
-    at_min = M.predict(va.model_values(M.features, overrides={"avg_reward_price": F.col("min_reward_price").cast("double")}))
+    now = m.predict(va.model_values(m.features))
+    at_min = m.predict(va.model_values(m.features, overrides={"avg_reward_price": F.col("min_reward_price").cast("double")}))
     t = top.select("project_id", F.abs(F.col(TARGET) - now).alias("err"), (at_min - now).alias("eff"),
                    (F.col("min_reward_price") - F.col("avg_reward_price")).alias("chg"))
     q = exact_percentiles(t, "err", [0.5, 0.9], names=["m", "p"]).select(F.struct("m", "p")).scalar()
@@ -108,7 +114,7 @@ def v3_min_price(spark, sf_dir):
 
 # --- V4-V6 placebo ------------------------------------------------------------------------------
 
-_PRED_SCALED = M.sql(_vals_sql(scale=1.001))
+_PRED_SCALED = predict_sql(_vals_sql(scale=1.001))
 
 
 def _noise_sql():
@@ -118,14 +124,14 @@ def _noise_sql():
     return f"(0.01::DOUBLE * sqrt(-2.0::DOUBLE * ln({u1})) * cos(2.0::DOUBLE * pi() * {u2}))"
 
 
-_PRED_NOISE = M.sql(_vals_sql(overrides={"avg_reward_price": f"(coalesce(CAST(avg_reward_price AS DOUBLE), 0.0::DOUBLE) * (1.0::DOUBLE + {_noise_sql()}))"}))
+_PRED_NOISE = predict_sql(_vals_sql(overrides={"avg_reward_price": f"(coalesce(CAST(avg_reward_price AS DOUBLE), 0.0::DOUBLE) * (1.0::DOUBLE + {_noise_sql()}))"}))
 
 
-@query("v4_v6_placebo", _fsql(f"""
-, _b AS (SELECT abs({_PRED_SCALED} - {PRED_SQL}) AS d FROM features ORDER BY price_spread ASC, project_id LIMIT 50),
-_a AS (SELECT abs({PRED_SQL} - funding_ratio) AS d FROM features
+@query("v4_v6_placebo", _msql(f"""
+, _b AS (SELECT abs({_PRED_SCALED} - {PRED_SQL}) AS d FROM fm ORDER BY price_spread ASC, project_id LIMIT 50),
+_a AS (SELECT abs({PRED_SQL} - funding_ratio) AS d FROM fm
        ORDER BY (((project_id + 42) % 2147483648) * 2654435761) % 4294967296, project_id LIMIT 50),
-_c0 AS (SELECT * FROM features ORDER BY price_spread ASC, project_id LIMIT 100),
+_c0 AS (SELECT * FROM fm ORDER BY price_spread ASC, project_id LIMIT 100),
 _c AS (SELECT abs({_PRED_NOISE} - {PRED_SQL}) AS d FROM _c0
        ORDER BY (((project_id + 42) % 2147483648) * 2654435761) % 4294967296, project_id LIMIT 50)
 SELECT 'placebo_scaled' AS test, count(*) AS n, {s6('avg(d)')} AS mean_effect, {s6('stddev_pop(d)')} AS std_effect,
@@ -138,8 +144,9 @@ UNION ALL
 SELECT 'placebo_price_noise', count(*), {s6('avg(d)')}, {s6('stddev_pop(d)')}, {s6('max(d)')},
        {s6('quantile_cont(d, 0.95)')}, CASE WHEN avg(d) < {PLACEBO_THRESHOLD} THEN 'PASSED' ELSE 'FAILED' END FROM _c"""))
 def v4_v6_placebo(spark, sf_dir):
+    m = fitted_model(spark, sf_dir)
     f = features(spark, sf_dir)
-    base = M.predict(va.model_values(M.features))
+    base = m.predict(va.model_values(m.features))
 
     def summary(d, name, threshold):
         q = exact_percentiles(d, "d", [0.95], names=["p"]).select("p").scalar()
@@ -148,14 +155,14 @@ def v4_v6_placebo(spark, sf_dir):
                      r6(F.stddev_pop("d")).alias("std_effect"), r6(F.max("d")).alias("max_effect"),
                      r6(q).alias("p95_effect"), va.status(m < threshold, "PASSED", "FAILED").alias("status"))
     b = rk.top_n(f, "price_spread", 50, largest=False).select(
-        F.abs(M.predict(va.model_values(M.features, scale=1.001)) - base).alias("d"))
+        F.abs(m.predict(va.model_values(m.features, scale=1.001)) - base).alias("d"))
     a = rk.hash_sample(f, 50).select(F.abs(base - F.col(TARGET)).alias("d"))
     u1 = (hash_unit("project_id", 11) + 0.5) / 4294967296.0
     u2 = (hash_unit("project_id", 12) + 0.5) / 4294967296.0
     noise = F.lit(0.01) * F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0) * F.lit(np.pi) * u2)
     noisy_price = F.coalesce(F.col("avg_reward_price").cast("double"), F.lit(0.0)) * (F.lit(1.0) + noise)
     c = rk.hash_sample(rk.top_n(f, "price_spread", 100, largest=False), 50).select(
-        F.abs(M.predict(va.model_values(M.features, overrides={"avg_reward_price": noisy_price})) - base).alias("d"))
+        F.abs(m.predict(va.model_values(m.features, overrides={"avg_reward_price": noisy_price})) - base).alias("d"))
     return reduce(lambda x, y: x.unionByName(y), [summary(b, "placebo_scaled", PLACEBO_THRESHOLD),
                                                   summary(a, "placebo_zero_change", 0.5),
                                                   summary(c, "placebo_price_noise", PLACEBO_THRESHOLD)])
@@ -166,14 +173,14 @@ def v4_v6_placebo(spark, sf_dir):
 _U = "0.3::DOUBLE"
 _Z = "0.0::DOUBLE"
 _TEN = "10.0::DOUBLE"
-_K = f"{M.tsls_coef!r}::DOUBLE"
+_K = "k_tsls"
 _IN1 = f"CASE WHEN yhat >= y - {_U} AND yhat <= y + {_U} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
 _IN2 = (f"CASE WHEN yhat >= y + {_K} * price - {_U} AND yhat <= y + {_K} * price + {_U} "
         f"THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END")
 
 
-@query("v7_v9_bounds", _fsql(f"""
-, _s AS (SELECT funding_ratio AS y, {PRED_SQL} AS yhat, avg_reward_price AS price FROM features
+@query("v7_v9_bounds", _msql(f"""
+, _s AS (SELECT funding_ratio AS y, {PRED_SQL} AS yhat, avg_reward_price AS price, k_tsls FROM fm
          ORDER BY (((project_id + 42) % 2147483648) * 2654435761) % 4294967296, project_id LIMIT 100)
 SELECT 'bounds_observed' AS test, count(*) AS n, {s6(f'avg({_IN1}) * 100')} AS pct_within,
        {s6(f'avg(least(y + {_U}, {_TEN}) - greatest(y - {_U}, {_Z}))')} AS mean_width,
@@ -187,16 +194,17 @@ FROM _s"""))
 def v7_v9_bounds(spark, sf_dir):
     """V8 (prediction within observed ± 0.3, PASSED above 80 %) and V9 (observed shifted by the
     2SLS coefficient × price). Widths floor only the lower end at 0 and cap only the upper at 10."""
+    m = fitted_model(spark, sf_dir)
     s = rk.hash_sample(features(spark, sf_dir), 100).select(
-        F.col(TARGET).alias("y"), M.predict(va.model_values(M.features)).alias("yhat"),
+        F.col(TARGET).alias("y"), m.predict(va.model_values(m.features)).alias("yhat"),
         F.col("avg_reward_price").alias("price"))
     u = UNCERTAINTY
     low, high = lambda x: F.greatest(x, F.lit(0.0)), lambda x: F.least(x, F.lit(10.0))
     y, yh, p = F.col("y"), F.col("yhat"), F.col("price")
     inside = ((yh >= y - u) & (yh <= y + u)).cast("double")
-    shifted = y + F.lit(M.tsls_coef) * p
+    shifted = y + F.lit(m.tsls_coef) * p
     inside2 = ((yh >= shifted - u) & (yh <= shifted + u)).cast("double")
-    eff = F.abs(F.lit(M.tsls_coef)) * p
+    eff = F.abs(F.lit(m.tsls_coef)) * p
     a = s.agg(F.lit("bounds_observed").alias("test"), F.count(F.lit(1)).alias("n"),
               r6(F.avg(inside) * 100).alias("pct_within"),
               r6(F.avg(high(y + u) - low(y - u))).alias("mean_width"),
@@ -209,11 +217,11 @@ def v7_v9_bounds(spark, sf_dir):
 
 
 PRICE_CHANGE = -0.2
-_E7 = f"({M.tsls_coef * PRICE_CHANGE!r}::DOUBLE * price)"
+_E7 = f"(k_tsls * {PRICE_CHANGE!r}::DOUBLE * price)"
 
 
-@query("v7_manski", _fsql(f"""
-, _s AS (SELECT funding_ratio AS y, avg_reward_price AS price FROM features
+@query("v7_manski", _msql(f"""
+, _s AS (SELECT funding_ratio AS y, avg_reward_price AS price, k_tsls FROM fm
          ORDER BY (((project_id + 42) % 2147483648) * 2654435761) % 4294967296, project_id LIMIT 100),
 _m AS (SELECT y + {_E7} AS point, greatest(y - abs({_E7}) - {_U}, {_Z}) AS lo, least(y + abs({_E7}) + {_U}, {_TEN}) AS hi FROM _s)
 SELECT count(*) AS n, {s6('avg(point)')} AS avg_point_estimate, {s6('avg(hi - lo)')} AS avg_interval_width,
@@ -221,7 +229,8 @@ SELECT count(*) AS n, {s6('avg(point)')} AS avg_point_estimate, {s6('avg(hi - lo
 def v7_manski(spark, sf_dir):
     """V7: bounds of the outcome after a price cut of 20 %: observed outcome plus causal effect, lower end
     floored at 0, upper end capped at 10; mean point estimate, mean width and share of points inside."""
-    eff = F.lit(M.tsls_coef * PRICE_CHANGE) * F.col("avg_reward_price")
+    m = fitted_model(spark, sf_dir)
+    eff = F.lit(m.tsls_coef * PRICE_CHANGE) * F.col("avg_reward_price")
     y = F.col(TARGET)
     s = rk.hash_sample(features(spark, sf_dir), 100).select(
         (y + eff).alias("point"), F.greatest(y - F.abs(eff) - UNCERTAINTY, F.lit(0.0)).alias("lo"),
