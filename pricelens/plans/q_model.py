@@ -6,12 +6,12 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pricelens.functions.exprs import r6
+from pricelens.functions.exprs import r6, round_to
 from pricelens.operators import linear as L
 from pricelens.operators import ranking as rk
 from pricelens.operators.quantiles import exact_percentiles
 from pricelens.plans.common import features
-from pricelens.plans.model import CONTROLS, FEATURES, INSTRUMENTS, TARGET, TREATMENT
+from pricelens.plans.model import CONTROLS, FEATURES, INSTRUMENTS, TARGET, TREATMENT, ols_sql, tsls_sql
 from pricelens.plans.registry import query
 from pricelens.plans.sql import r6 as s6
 from pricelens.plans.sql import with_views
@@ -53,18 +53,38 @@ def ols_table(spark, f, y=TARGET, xs=FEATURES):
     return _table(spark, rows, "term string, coef double, std_coef double, se double, t double"), fit
 
 
-@query("m2_ols")
+def s9(x: str) -> str:
+    return f"(round(({x}) * 1e9::DOUBLE) / 1e9::DOUBLE + 0.0::DOUBLE)"
+
+
+def _m2_sql():
+    se = {x: f"sqrt(ssr / (n - {len(FEATURES)} - 1) * v_{x})" for x in FEATURES}
+    terms = " UNION ALL ".join(f"SELECT '{x}' AS term, b_{x} AS b, b_{x} * sd_{x} AS z, {se[x]} AS e FROM _o" for x in FEATURES)
+    return _fsql(f""",
+{ols_sql('_o', 'features')},
+_t AS ({terms})
+SELECT term, {s9('b')} AS coef, {s6('z')} AS std_coef, {s9('e')} AS se, CASE WHEN e > 0 THEN {s6('b / e')} END AS t,
+       CAST(row_number() OVER (ORDER BY abs(z) DESC, term) AS INTEGER) AS importance_rank,
+       CASE WHEN b > 0 THEN 'increases' ELSE 'decreases' END AS direction FROM _t
+UNION ALL SELECT 'intercept', {s9('k0')}, NULL, NULL, NULL, NULL, NULL FROM _o
+UNION ALL SELECT 'r2', {s9('1 - ssr / sst')}, NULL, NULL, NULL, NULL, NULL FROM _o
+UNION ALL SELECT 'n', CAST(n AS DOUBLE), NULL, NULL, NULL, NULL, NULL FROM _o""")
+
+
+@query("m2_ols", _m2_sql())
 def m2_ols(spark, sf_dir):
-    """Multi-feature OLS from the Gram (rows-only; unit-tested against NumPy lstsq), with the
-    coefficient ranking by absolute standardised size and a sign label (K1, M16)."""
+    """Multi-feature OLS from the Gram, with the coefficient ranking by absolute standardised size and a
+    sign label (K1, M16). The twin solves the normal equations by sweeping."""
     t = ols_table(spark, features(spark, sf_dir))[0]
-    ranked = t.where(F.col("std_coef").isNotNull()).orderBy(F.abs("std_coef").desc(), "term")
+    ranked = t.where(F.col("std_coef").isNotNull())
     w = F.row_number().over(Window.orderBy(F.abs("std_coef").desc(), "term"))  # ≤ #features rows
     ranked = ranked.withColumn("importance_rank", w).withColumn(
         "direction", F.when(F.col("coef") > 0, F.lit("increases")).otherwise(F.lit("decreases")))
     rest = t.where(F.col("std_coef").isNull()).withColumn("importance_rank", F.lit(None).cast("int")).withColumn(
         "direction", F.lit(None).cast("string"))
-    return ranked.unionByName(rest)
+    return ranked.unionByName(rest).select(
+        "term", round_to("coef", 9).alias("coef"), r6("std_coef").alias("std_coef"), round_to("se", 9).alias("se"),
+        r6("t").alias("t"), "importance_rank", "direction")
 
 
 @query("m2_ols_single", _fsql(f"""
@@ -115,14 +135,19 @@ def m3_iv_one_control(spark, sf_dir):
     return _table(spark, [(float(r.effect),)], "iv_effect double").select(r6("iv_effect").alias("iv_effect"))
 
 
-@query("m4_2sls_f")
+@query("m4_2sls_f", _fsql(f""",
+{tsls_sql('_iv', 'features')}
+SELECT {s9('effect')} AS tsls_coefficient, {s6('(r2_first / k_iv) / ((1 - r2_first) / (n - k_iv - 1))')} AS first_stage_f_stat,
+       {s9('r2_first')} AS r2_first_stage, instruments FROM _iv"""))
 def m4_2sls_f(spark, sf_dir):
     """Form B: coefficient on the fitted price and F = (R²/#instruments)/((1−R²)/(n−#instruments−1))."""
     f = features(spark, sf_dir)
     gr, r = iv_fit(f)
     return _table(spark, [(float(r.effect), float(r.first_stage_f_form_b), float(r.first_stage_r2),
                            ",".join(i for i in INSTRUMENTS if i not in r.dropped))],
-                  "tsls_coefficient double, first_stage_f_stat double, r2_first_stage double, instruments string")
+                  "tsls_coefficient double, first_stage_f_stat double, r2_first_stage double, instruments string").select(
+        round_to("tsls_coefficient", 9).alias("tsls_coefficient"), r6("first_stage_f_stat").alias("first_stage_f_stat"),
+        round_to("r2_first_stage", 9).alias("r2_first_stage"), "instruments")
 
 
 @query("m5_iv_robust")
@@ -202,18 +227,32 @@ def cv_linear(f, k=5, xs=FEATURES, y=TARGET):
                       r6(F.lit(1.0) - F.col("sse") / (F.col("vy") * F.col("n"))).alias("r2"))
 
 
-@query("m13_cv")
+_CV_COLS = ", ".join([*FEATURES, TARGET])
+_CV_PRED = "k0" + "".join(f" + b_{c} * CAST({c} AS DOUBLE)" for c in FEATURES)
+CV_SQL = f""",
+_cf AS (SELECT {_CV_COLS}, CAST(ntile(5) OVER (ORDER BY project_id) AS INTEGER) AS fold FROM features
+        WHERE {' AND '.join(f'{c} IS NOT NULL' for c in [*FEATURES, TARGET])}),
+_ct AS (SELECT h.fold AS held, {_CV_COLS} FROM _cf JOIN (SELECT DISTINCT fold FROM _cf) h ON _cf.fold <> h.fold),
+{ols_sql('_co', '_ct', group='held')},
+_ce AS (SELECT fold, {TARGET} AS y, {TARGET} - ({_CV_PRED}) AS e FROM _cf JOIN _co ON fold = held),
+_cv AS (SELECT fold, count(*) AS n, {s6('avg(abs(e))')} AS mae, {s6('1 - sum(e * e) / (var_pop(y) * count(*))')} AS r2
+        FROM _ce GROUP BY fold)"""
+
+
+@query("m13_cv", _fsql(CV_SQL + "\nSELECT fold, n, mae, r2 FROM _cv"))
 def m13_cv(spark, sf_dir):
     """5-fold unshuffled CV of the linear model: per-fold MAE and R² (summary in v10_cv_summary)."""
     return cv_linear(features(spark, sf_dir))
 
 
-@query("v10_cv_summary")
+@query("v10_cv_summary", _fsql(CV_SQL + f"""
+SELECT {s6('avg(mae)')} AS cv_mae_mean, {s6('stddev_pop(mae)')} AS cv_mae_std,
+       list(mae ORDER BY fold) AS fold_maes FROM _cv"""))
 def v10_cv_summary(spark, sf_dir):
     """Mean and population sd of the fold MAEs, and the list."""
     per = cv_linear(features(spark, sf_dir))
     return per.agg(r6(F.avg("mae")).alias("cv_mae_mean"), r6(F.stddev_pop("mae")).alias("cv_mae_std"),
-                   F.sort_array(F.collect_list(F.struct("fold", "mae"))).alias("folds"))
+                   F.transform(F.sort_array(F.collect_list(F.struct("fold", "mae"))), lambda f: f["mae"]).alias("fold_maes"))
 
 
 # --- M14: alphabetical label encoding ----------------------------------------------------------------

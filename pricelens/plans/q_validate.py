@@ -7,16 +7,17 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import functions as F
 
-from pricelens.functions.exprs import hash_unit, r6, safe_div
+from pricelens.functions.exprs import hash_unit, r6, round_to, safe_div
 from pricelens.operators import linear as L
 from pricelens.operators import ranking as rk
 from pricelens.operators import validate as va
 from pricelens.operators.aggregates import pooled_ttest, t_two_sided_p
 from pricelens.operators.quantiles import exact_percentiles
 from pricelens.plans.common import features
-from pricelens.plans.model import CONTROLS, FEATURES, INSTRUMENTS, MODEL_SQL, TARGET, TREATMENT, fitted_model, predict_sql
+from pricelens.plans.model import CONTROLS, FEATURES, INSTRUMENTS, MODEL_SQL, TARGET, TREATMENT, fitted_model, ols_sql, predict_sql
 from pricelens.plans.q_window import PAIRS_SQL, pairs_df
-from pricelens.plans.registry import query
+from pricelens.plans.q_model import s9, v10_cv_summary
+from pricelens.plans.registry import ORACLES, query
 from pricelens.plans.sql import nz, with_views
 from pricelens.plans.sql import r6 as s6
 
@@ -242,7 +243,22 @@ def v7_manski(spark, sf_dir):
 
 # --- V11-V15 -------------------------------------------------------------------------------------------
 
-@query("v11_time_cv")
+_V11_PRED = "k0" + "".join(f" + b_{c} * CAST({c} AS DOUBLE)" for c in FEATURES)
+
+
+@query("v11_time_cv", _fsql(f""",
+_f AS (SELECT {', '.join([*FEATURES, TARGET])}, CASE WHEN year(launch_date) <= 2022 THEN 'train' ELSE 'test' END AS split
+       FROM features WHERE launch_date IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in [*FEATURES, TARGET])}),
+_tr AS (SELECT * FROM _f WHERE split = 'train'),
+{ols_sql('_full', '_f')},
+{ols_sql('_fit', '_tr')},
+_e AS (SELECT {TARGET} AS y, {TARGET} - ({_V11_PRED}) AS e FROM _f CROSS JOIN _fit WHERE split = 'test'),
+_m AS (SELECT count(*) AS n_test, avg(abs(e)) AS mae, 1 - sum(e * e) / (var_pop(y) * count(*)) AS r2 FROM _e)
+SELECT n_test, {s6('r2')} AS r2, {s6('mae')} AS mae, {s9(f'_fit.b_{TREATMENT}')} AS price_coef_train,
+       {s9(f'_full.b_{TREATMENT}')} AS price_coef_full,
+       {s9(f'abs(_fit.b_{TREATMENT} - _full.b_{TREATMENT})')} AS coef_change,
+       CASE WHEN abs(_fit.b_{TREATMENT} - _full.b_{TREATMENT}) < 0.01 THEN 'stable' ELSE 'unstable' END AS stability
+FROM _m, _fit, _full"""))
 def v11_time_cv(spark, sf_dir):
     """Train ≤ 2022 / test ≥ 2023 (Gram OLS twice): test R², MAE, price-coefficient change vs the
     full model, stable if the change < 0.01."""
@@ -255,8 +271,8 @@ def v11_time_cv(spark, sf_dir):
                  (F.lit(1.0) - F.sum(e * e) / (F.var_pop(TARGET) * F.count(F.lit(1)))).alias("r2"))
     change = abs(float(tr.coef[0]) - float(full.coef[0]))
     return m.select("n_test", r6("r2").alias("r2"), r6("mae").alias("mae"),
-                    r6(F.lit(float(tr.coef[0]))).alias("price_coef_train"), r6(F.lit(float(full.coef[0]))).alias("price_coef_full"),
-                    r6(F.lit(change)).alias("coef_change"),
+                    round_to(F.lit(float(tr.coef[0])), 9).alias("price_coef_train"),
+                    round_to(F.lit(float(full.coef[0])), 9).alias("price_coef_full"), round_to(F.lit(change), 9).alias("coef_change"),
                     F.lit("stable" if change < 0.01 else "unstable").alias("stability"))
 
 
@@ -298,7 +314,21 @@ def v14_invariants(spark, sf_dir):
     return va.invariant_violations(features(spark, sf_dir))
 
 
-@query("v15_summary")
+_V15_ROWS = f"""
+SELECT 'temporal_validation' AS test, 'mae' AS metric, mae AS value, status FROM ({ORACLES['v2_changers']})
+UNION ALL SELECT 'placebo_test', 'mean_phantom_effect', mean_effect, status FROM ({ORACLES['v4_v6_placebo']}) WHERE test = 'placebo_scaled'
+UNION ALL SELECT 'manski_bounds', 'pct_within_bounds', pct_within, status FROM ({ORACLES['v7_v9_bounds']}) WHERE test = 'bounds_observed'
+UNION ALL SELECT 'cross_validation', 'mean_cv_mae', cv_mae_mean, 'INFO' FROM ({ORACLES['v10_cv_summary']})
+UNION ALL SELECT 'time_split', 'coef_change', coef_change, CASE WHEN stability = 'stable' THEN 'PASSED' ELSE 'WARNING' END
+          FROM ({ORACLES['v11_time_cv']})"""
+
+
+@query("v15_summary", f"""
+WITH _rows AS ({_V15_ROWS}),
+_ok AS (SELECT CASE WHEN count_if(test IN ('placebo_test', 'time_split') AND status = 'PASSED') = 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ok
+        FROM _rows)
+SELECT * FROM _rows
+UNION ALL SELECT 'overall', 'reliable', ok, CASE WHEN ok = 1 THEN 'PASSED' ELSE 'WARNING' END FROM _ok""")
 def v15_summary(spark, sf_dir):
     """Validation summary rows (test, metric, value, status) and the overall verdict:
     reliable = placebo passed AND the time-split coefficient stable."""
@@ -314,7 +344,9 @@ def v15_summary(spark, sf_dir):
     tc = cv.select(F.lit("time_split").alias("test"), F.lit("coef_change").alias("metric"),
                    F.col("coef_change").alias("value"),
                    F.when(F.col("stability") == "stable", F.lit("PASSED")).otherwise(F.lit("WARNING")).alias("status"))
-    rows = v2.unionByName(pl).unionByName(bd).unionByName(tc)
+    mae = v10_cv_summary(spark, sf_dir).select(F.lit("cross_validation").alias("test"), F.lit("mean_cv_mae").alias("metric"),
+                                               F.col("cv_mae_mean").alias("value"), F.lit("INFO").alias("status"))
+    rows = v2.unionByName(pl).unionByName(bd).unionByName(mae).unionByName(tc)
     placebo_ok = F.max(F.when((F.col("test") == "placebo_test") & (F.col("status") == "PASSED"), 1).otherwise(0))
     stable_ok = F.max(F.when((F.col("test") == "time_split") & (F.col("status") == "PASSED"), 1).otherwise(0))
     verdict = rows.agg((placebo_ok * stable_ok).alias("ok")).select(
