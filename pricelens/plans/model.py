@@ -106,6 +106,7 @@ def tsls_sql(tag: str, source: str) -> str:
     names = ", ".join(f"CASE WHEN b.o_{w + i} > 0 THEN '{c}' END" for i, c in enumerate(INSTRUMENTS))
     return (f"{gram_sql(f'{tag}_g', source, cols)},\n{s1},\n{s2},\n{tag} AS (SELECT (a.a_{t}_{y} - b.a_{t}_{y}) / "
             f"(a.a_{t}_{t} - b.a_{t}_{t}) AS effect, 1.0::DOUBLE - b.a_{t}_{t} / b.o_{t} AS r2_first, b.n AS n, "
+            f"a.a_{t}_{t} - b.a_{t}_{t} AS explained, b.a_{t}_{t} AS ssr_first, "
             f"{used.replace('o_', 'b.o_')} AS k_iv, concat_ws(',', {names}) AS instruments FROM {l1} a, {l2} b)")
 
 

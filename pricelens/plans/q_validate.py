@@ -14,7 +14,7 @@ from pricelens.operators import validate as va
 from pricelens.operators.aggregates import pooled_ttest, t_two_sided_p
 from pricelens.operators.quantiles import exact_percentiles
 from pricelens.plans.common import features
-from pricelens.plans.model import CONTROLS, FEATURES, INSTRUMENTS, MODEL_SQL, TARGET, TREATMENT, fitted_model, ols_sql, predict_sql
+from pricelens.plans.model import CONTROLS, FEATURES, INSTRUMENTS, MODEL_SQL, TARGET, TREATMENT, fitted_model, ols_sql, predict_sql, tsls_sql
 from pricelens.plans.q_window import PAIRS_SQL, pairs_df
 from pricelens.plans.q_model import s9, v10_cv_summary
 from pricelens.plans.registry import ORACLES, query
@@ -276,7 +276,16 @@ def v11_time_cv(spark, sf_dir):
                     F.lit("stable" if change < 0.01 else "unstable").alias("stability"))
 
 
-@query("v12_instruments")
+_V12_R2 = "(r2_first / (k_iv + 4)) / ((1 - r2_first) / (n - k_iv - 5))"
+
+
+@query("v12_instruments", _fsql(f""",
+{tsls_sql('_iv', 'features')}
+""" + "\nUNION ALL\n".join(f"""SELECT '{iv}' AS instrument, (SELECT {s6(f'corr({iv}, {TREATMENT})')} FROM features) AS corr_treatment,
+  (SELECT {s6(f'corr({iv}, {TARGET})')} FROM features) AS corr_outcome,
+  (SELECT CASE WHEN abs(corr({iv}, {TREATMENT})) < 0.2 THEN 'valid' ELSE 'weak' END FROM features) AS validity,
+  {s6(_V12_R2)} AS first_stage_f, {s6('(explained / k_iv) / (ssr_first / (n - k_iv - 5))')} AS partial_f,
+  CASE WHEN {_V12_R2} > 10 THEN 'Strong' ELSE 'Weak' END AS strength FROM _iv""" for iv in INSTRUMENTS)))
 def v12_instruments(spark, sf_dir):
     """Instrument checks: |corr(IV, price)| < 0.2 labels, corr with outcome, and first-stage strength."""
     from pricelens.operators.aggregates import instrument_correlations
@@ -284,8 +293,8 @@ def v12_instruments(spark, sf_dir):
     gr = L.fit_gram(f, [TREATMENT] + CONTROLS + INSTRUMENTS + [TARGET])
     r = L.tsls(gr, TARGET, TREATMENT, INSTRUMENTS, CONTROLS)
     ic = instrument_correlations(f, INSTRUMENTS, TREATMENT, TARGET)
-    return ic.withColumn("first_stage_f", F.lit(float(r.first_stage_f))).withColumn(
-        "partial_f", F.lit(float(r.partial_f))).withColumn(
+    return ic.withColumn("first_stage_f", r6(F.lit(float(r.first_stage_f)))).withColumn(
+        "partial_f", r6(F.lit(float(r.partial_f)))).withColumn(
         "strength", F.lit("Strong" if r.first_stage_f > 10 else "Weak"))
 
 
