@@ -77,19 +77,75 @@ def window_mean_lookup(df: DataFrame, ts: str, series: DataFrame, value: str, ou
     return df.join(table, F.to_date(ts) == F.col("_day"), "left").drop("_day")
 
 
-def knn(history: DataFrame, queries: list, cols: Sequence[str], k: int = 10, key: str = "project_id") -> DataFrame:
-    """K nearest history rows (Euclidean, unscaled, nulls → 0) for each of a few query points.
-
-    Query points travel as literals (their count is the caller's bounded sample); each history row
-    yields one distance per query, and ``row_number() <= k`` per query is planned as a window group
-    limit, so every partition forwards at most k candidates per query before the shuffle."""
-    vals = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols]
-    arr = F.array(*[
-        F.struct(F.lit(q[key]).alias("query_id"),
-                 F.sqrt(sum(((v - F.lit(float(q[c] or 0.0))) ** 2 for v, c in zip(vals, cols)), F.lit(0.0)))
-                 .alias("distance"))
-        for q in queries])
-    d = history.select(F.col(key), F.explode(arr).alias("_q")).select(key, "_q.query_id", "_q.distance")
-    d = d.where(F.col(key) != F.col("query_id"))
-    w = Window.partitionBy("query_id").orderBy("distance", key)
-    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+#: Query points of one block and history rows of one chunk: what one step of ``knn`` holds in memory.
+KNN_QUERIES, KNN_ROWS = 256, 4096
+
+
+def _knn_chunks(width: int):
+    """mapInArrow body: a batch's rows as chunks of at most KNN_ROWS, ids and coordinates as bytes, sorted by id."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            at = np.stack([batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(width)])
+            for b in range(0, len(ids), KNN_ROWS):
+                part = np.argsort(ids[b:b + KNN_ROWS], kind="stable") + b
+                yield pa.RecordBatch.from_arrays([pa.array([ids[part].tobytes()], pa.binary()),
+                                                  pa.array([at[:, part].tobytes()], pa.binary())], ["ids", "at"])
+
+    return run
+
+
+def _knn_scores(width: int, k: int):
+    """mapInArrow body: the k nearest rows of a chunk for each query of a block (ties by id)."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        for batch in batches:
+            for ids, at, q_ids, q_at in zip(*[c.to_pylist() for c in batch.columns]):
+                ids, q_ids = np.frombuffer(ids, np.int64), np.array(q_ids, np.int64)
+                at = np.frombuffer(at, float).reshape(width, -1)
+                out = []
+                for q, point in zip(q_ids, np.array(q_at, float)):
+                    d = np.zeros(len(ids))
+                    for i in range(width):
+                        d += (at[i] - point[i]) ** 2
+                    d = np.sqrt(d)
+                    near = np.flatnonzero(ids != q)
+                    if len(near) > k:
+                        near = near[~(d[near] > np.partition(d[near], k - 1)[k - 1])]  # with the ties of the k-th
+                    near = near[np.argsort(d[near], kind="stable")][:k]
+                    out.append((np.full(len(near), q), ids[near], d[near]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)],
+                                                 ["query_id", "id", "distance"])
+
+    return run
+
+
+def knn(history: DataFrame, queries: DataFrame, cols: Sequence[str], k: int = 10, key: str = "project_id") -> DataFrame:
+    """K nearest history rows (Euclidean, unscaled, nulls → 0) for every row of a query table.
+
+    The query table is split by id hash into blocks of about KNN_QUERIES points and the history into
+    chunks of at most KNN_ROWS rows; each chunk meets each block through an equi-join on the block
+    number. A pair yields at most k candidates per query, and ``row_number() <= k`` per query over
+    those is planned as a window group limit. Nothing but the number of queries reaches the driver."""
+    point = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_x{i}") for i, c in enumerate(cols)]
+    q = queries.select(F.col(key).cast("long").alias("_id"), *point)
+    n_blocks = max(1, -(-q.count() // KNN_QUERIES))
+    xs = [F.col(f"_x{i}") for i in range(len(cols))]
+    blocks = (q.groupBy(F.pmod(F.xxhash64("_id"), F.lit(n_blocks)).cast("int").alias("_block"))
+              .agg(F.collect_list(F.struct("_id", F.array(*xs).alias("_at"))).alias("_q"))
+              .select("_block", F.col("_q._id").alias("q_ids"), F.col("_q._at").alias("q_at")))
+    # A pair row carries a whole chunk, so Arrow batches are bounded by bytes.
+    history.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    chunks = history.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_id"), *point).mapInArrow(
+        _knn_chunks(len(cols)), "ids binary, at binary")
+    spread = chunks.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    pairs = spread.join(blocks, "_block").select("ids", "at", "q_ids", "q_at")
+    near = pairs.mapInArrow(_knn_scores(len(cols), k), "query_id long, id long, distance double")
+    w = Window.partitionBy("query_id").orderBy("distance", "id")
+    return (near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .withColumnRenamed("id", key))

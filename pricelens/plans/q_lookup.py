@@ -79,6 +79,11 @@ def j9_price_grid(spark, sf_dir):
 _KNN_COLS = ["funding_goal", "avg_reward_price", "campaign_duration_days"]
 
 
+def _similar(f, queries):
+    nn = lk.knn(f, queries.select("project_id", *_KNN_COLS), _KNN_COLS, 10)
+    return nn.select("query_id", nn["rank"].cast("int").alias("rank"), "project_id", r6("distance").alias("distance"))
+
+
 @query("j10_similar", with_views(f"""
 , _q AS (SELECT project_id AS query_id, {', '.join(f'coalesce(CAST({c} AS DOUBLE), 0.0::DOUBLE) AS q_{c}' for c in _KNN_COLS)}
          FROM features ORDER BY (((project_id + 42) % 2147483648) * 2654435761) % 4294967296, project_id LIMIT 20),
@@ -89,11 +94,24 @@ _r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, pro
 SELECT query_id, CAST(rank AS INTEGER) AS rank, project_id, {s6('distance')} AS distance FROM _r WHERE rank <= 10""",
     level="features"))
 def j10_similar(spark, sf_dir):
-    """10 nearest historical campaigns for each of 20 hash-sampled query campaigns."""
+    """10 nearest historical campaigns for each of 20 hash-sampled query campaigns (the sample its SQL asks for)."""
     f = features(spark, sf_dir)
-    queries = rk.hash_sample(f, 20).select("project_id", *_KNN_COLS).collect()  # the sample: 20 rows
-    nn = lk.knn(f, queries, _KNN_COLS, 10)
-    return nn.select("query_id", nn["rank"].cast("int").alias("rank"), "project_id", r6("distance").alias("distance"))
+    return _similar(f, rk.hash_sample(f, 20))
+
+
+@query("j10_similar_due", with_views(f"""
+, _q AS (SELECT project_id AS query_id, {', '.join(f'coalesce(CAST({c} AS DOUBLE), 0.0::DOUBLE) AS q_{c}' for c in _KNN_COLS)}
+         FROM features WHERE project_id % 50 = 0),
+_d AS (SELECT q.query_id, f.project_id,
+              sqrt({' + '.join(f'(coalesce(CAST(f.{c} AS DOUBLE), 0.0::DOUBLE) - q.q_{c}) ^ 2' for c in _KNN_COLS)}) AS distance
+       FROM _q q, features f WHERE f.project_id <> q.query_id),
+_r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, project_id) AS rank FROM _d)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, project_id, {s6('distance')} AS distance FROM _r WHERE rank <= 10""",
+    level="features"))
+def j10_similar_due(spark, sf_dir):
+    """10 nearest historical campaigns for every due query campaign (id divisible by 50) against all rows."""
+    f = features(spark, sf_dir)
+    return _similar(f, f.where(F.col("project_id") % 50 == 0))
 
 
 @query("s20_sinks", with_views("""

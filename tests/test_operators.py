@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pricelens.operators import features as fe
+from pricelens.operators import lookups as lk
 from pricelens.operators import ranking as rk
 from pricelens.operators.quantiles import exact_percentiles
 from pricelens.plans.common import campaigns
@@ -65,3 +66,28 @@ def test_partition_count_does_not_change_features(spark, sf_dir):
     one = causal_features(enrich(c.repartition(1))).select("project_id", "goal_ambition", "concurrent_campaigns")
     many = causal_features(enrich(c.repartition(9))).select("project_id", "goal_ambition", "concurrent_campaigns")
     assert one.exceptAll(many).count() == 0
+
+
+def test_knn_of_a_query_table_equals_brute_force(spark, monkeypatch):
+    """Several blocks and chunks; integer coordinates give many ties, which go by id."""
+    monkeypatch.setattr(lk, "KNN_QUERIES", 7)
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"project_id": rng.permutation(1500), "a": rng.integers(0, 12, 1500).astype(float),
+                        "b": rng.integers(0, 12, 1500)})
+    pdf.loc[::9, "a"] = None
+    df = spark.createDataFrame(pdf).withColumn("a", F.when(~F.isnan("a"), F.col("a"))).repartition(3)
+    got = {}
+    for r in lk.knn(df, df.where("project_id % 50 = 0"), ["a", "b"], 10).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["project_id"], r["distance"])
+    assert sorted(got) == list(range(0, 1500, 50))
+    ids, x = pdf["project_id"].to_numpy(), pdf[["a", "b"]].fillna(0).to_numpy(float)
+    for q, near in got.items():
+        d = np.sqrt(((x - x[ids == q]) ** 2).sum(axis=1))
+        best = [i for i in np.lexsort((ids, d)) if ids[i] != q][:10]
+        assert [near[i + 1] for i in range(10)] == [(ids[i], d[i]) for i in best]
+
+
+def test_due_query_campaigns_are_all_searched(spark, sf_dir):
+    from pricelens.plans.q_lookup import j10_similar_due
+    due = {r[0] for r in campaigns(spark, sf_dir).where("project_id % 50 = 0").select("project_id").collect()}
+    assert len(due) > 20 and {r[0] for r in j10_similar_due(spark, sf_dir).select("query_id").collect()} == due
