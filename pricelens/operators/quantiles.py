@@ -29,8 +29,10 @@ DEFAULT_MARGIN = 4
 
 def exact_percentiles(df: DataFrame, value, probs: Sequence[float], group_cols: Sequence[str] = (),
                       names: Sequence[str] | None = None, accuracy: int = DEFAULT_ACCURACY,
-                      margin: int = DEFAULT_MARGIN) -> DataFrame:
-    """One row per group: group_cols…, ``n`` (non-null count) and one column per probability."""
+                      margin: int = DEFAULT_MARGIN, discrete: bool = False) -> DataFrame:
+    """One row per group: group_cols…, ``n`` (non-null count) and one column per probability.
+
+    ``discrete`` takes the ceil(p·n)-th value itself (``percentile_disc``) instead of interpolating."""
     probs = [float(p) for p in probs]
     names = list(names) if names else [f"p{int(round(p * 1000)):04d}" for p in probs]
     group_cols = list(group_cols)
@@ -82,8 +84,11 @@ def exact_percentiles(df: DataFrame, value, probs: Sequence[float], group_cols:
     prob_arr = F.array(*[F.lit(p) for p in probs])
     ranked = counts.withColumn("_cum", F.sum("_c").over(w))
     ranked = (ranked.join(sketch.select(*keys, "_n"), keys) if group_cols else ranked.withColumn("_n", sk["_n"]))
+    p_i = prob_arr[F.col("_i")]
+    pos = (F.greatest(F.ceil(F.col("_n") * p_i) - 1, F.lit(0)).cast("double") if discrete
+           else (F.col("_n") - 1).cast("double") * p_i)
     ranked = (ranked
-              .withColumn("_pos", (F.col("_n") - 1).cast("double") * prob_arr[F.col("_i")])
+              .withColumn("_pos", pos)
               .withColumn("_rlo", F.floor("_pos"))
               .withColumn("_rhi", F.ceil("_pos"))
               .withColumn("_first", F.col("_cum") - F.col("_c"))

@@ -91,3 +91,28 @@ def test_due_query_campaigns_are_all_searched(spark, sf_dir):
     from pricelens.plans.q_lookup import j10_similar_due
     due = {r[0] for r in campaigns(spark, sf_dir).where("project_id % 50 = 0").select("project_id").collect()}
     assert len(due) > 20 and {r[0] for r in j10_similar_due(spark, sf_dir).select("query_id").collect()} == due
+
+
+def test_quantile_boosting_leaves_are_exact_quantiles(spark):
+    """One round at full step: a leaf's prediction is the ceil(q·n)-th target of its rows, not a sketch's."""
+    from pricelens.operators import forest as fo
+    rng = np.random.default_rng(4)
+    n = 30_000
+    pdf = pd.DataFrame({"project_id": np.arange(n), "x": np.repeat([0.0, 1.0], n // 2), "y": rng.normal(size=n)})
+    pdf.loc[n // 2:, "y"] += 100
+    out = fo.quantile_boosting(spark.createDataFrame(pdf), ["x"], "y", [0.1, 0.9], rounds=1, max_depth=1,
+                               learning_rate=1.0).toPandas().sort_values("project_id")
+    for half in (slice(0, n // 2), slice(n // 2, n)):
+        y = np.sort(pdf["y"].to_numpy()[half])
+        for name, q in (("q_10", 0.1), ("q_90", 0.9)):
+            np.testing.assert_allclose(out[name].to_numpy()[half], y[int(np.ceil(q * len(y))) - 1], rtol=0, atol=1e-9)
+
+
+def test_registered_quantile_boosting_runs_100_rounds_of_depth_6(spark, sf_dir, monkeypatch):
+    from pricelens.operators import forest as fo
+    from pricelens.plans import q_ml
+    seen = {}
+    monkeypatch.setattr(q_ml, "_FITTED", {})
+    monkeypatch.setattr(fo, "quantile_boosting", lambda *a, **how: seen.update(how))
+    q_ml.quantile_predictions(spark, sf_dir)
+    assert (seen["rounds"], seen["max_depth"]) == (100, 6)
