@@ -36,7 +36,9 @@ COST_LEET, COST_STREWN, COST_RUN, COST_KEPT_SIGN = 1.5, 0.5, 1.0, 6.0
 #: Letters a-z are 1-26, any other letter 27, all else 0.
 CLASSES = 28
 _RUN = re.compile(r"(.)\1\1")
+_DOUBLE = re.compile(r"(.)\1")
 _ODD = re.compile(r"[0-9@$!|+(€]")
+_words = re.compile(r"[^\W\d_]+").findall
 
 
 def classes(text: str) -> np.ndarray:
@@ -116,16 +118,21 @@ def tokens_of(text: str) -> list[str]:
 
 
 def restored(token: str, model: CharModel) -> list[str]:
-    """Words of one token after deobfuscation; a plain word stands for itself."""
+    """Words of one token after deobfuscation; a plain word stands for itself.
+
+    A word of letters only with doubled letters may be natural or disguised: it stands for itself and for its
+    reading through the lattice.
+    """
     core = token.strip("#%&*.,;:?\"'()[]{}<>~`=^")
     core = core.rstrip("!$|") if len(core.rstrip("!$|")) > 1 else core
     if core.isalpha() and not _RUN.search(core):
-        return [core]
+        plain = [core]
+        return plain + [w for w in _words(model.restore(core)) if w != core] if _DOUBLE.search(core) else plain
     if not any(c.isalpha() for c in core) and len(core) > 12:
         return []
     if not (_ODD.search(core) or _RUN.search(core) or any(c in STREWN for c in core)):
-        return re.findall(r"[^\W\d_]+", core)
-    return re.findall(r"[^\W\d_]+", model.restore(core))
+        return _words(core)
+    return _words(model.restore(core))
 
 
 def features_of(word: str) -> list[str]:

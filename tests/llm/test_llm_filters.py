@@ -164,6 +164,15 @@ def test_restoration():
     assert read("The plain Words") == ["the", "plain", "words"] and read("") == [] and read("24be64439e3e49cf46b2") is not None
 
 
+def test_restoration_of_doubled_letters():
+    text = "the stupid idiot is a moron and this letter is worthless trash from the pathetic committee " * 20
+    c = toxicity.classes(text)
+    model = toxicity.CharModel(np.bincount((c[:-2] * 28 + c[1:-1]) * 28 + c[2:], minlength=28 ** 3))
+    for disguised, word in (("iiddiioott", "idiot"), ("ttrraasshh", "trash"), ("sttuuppiidd", "stupid"), ("stuupid", "stupid")):
+        assert toxicity.restored(disguised, model) == [disguised, word]
+    assert toxicity.restored("committee", model) == ["committee"] and toxicity.restored("letter", model) == ["letter"]
+
+
 @pytest.fixture(scope="module")
 def marked(spark):
     rows, labels = [], []
