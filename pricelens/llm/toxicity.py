@@ -121,18 +121,23 @@ def restored(token: str, model: CharModel) -> list[str]:
     """Words of one token after deobfuscation; a plain word stands for itself.
 
     A word of letters only with doubled letters may be natural or disguised: it stands for itself and for its
-    reading through the lattice.
+    reading through the lattice. So does a token with a '(' or a trailing '$' or '|' at its edge, which may be
+    punctuation or a letter. Digits that the lattice keeps are no words, which leaves most of a number out.
     """
     core = token.strip("#%&*.,;:?\"'()[]{}<>~`=^")
     core = core.rstrip("!$|") if len(core.rstrip("!$|")) > 1 else core
     if core.isalpha() and not _RUN.search(core):
-        plain = [core]
-        return plain + [w for w in _words(model.restore(core)) if w != core] if _DOUBLE.search(core) else plain
-    if not any(c.isalpha() for c in core) and len(core) > 12:
-        return []
-    if not (_ODD.search(core) or _RUN.search(core) or any(c in STREWN for c in core)):
-        return _words(core)
-    return _words(model.restore(core))
+        words = [core]
+        if _DOUBLE.search(core):
+            words += [w for w in _words(model.restore(core)) if w != core]
+    elif _ODD.search(core) or _RUN.search(core) or any(c in STREWN for c in core):
+        words = _words(model.restore(core))
+    else:
+        words = _words(core)
+    signs = token.strip("#%&*.,;:?\"')[]{}<>~`=^").rstrip("!")
+    if core and signs != core:
+        words += [w for w in _words(model.restore(signs)) if w not in words]
+    return words
 
 
 def features_of(word: str) -> list[str]:

@@ -173,6 +173,16 @@ def test_restoration_of_doubled_letters():
     assert toxicity.restored("committee", model) == ["committee"] and toxicity.restored("letter", model) == ["letter"]
 
 
+def test_restoration_of_long_signs_and_edges():
+    text = "they besiege the castle and castigate the clown who is a dumbass or a goblin " * 20
+    c = toxicity.classes(text)
+    model = toxicity.CharModel(np.bincount((c[:-2] * 28 + c[1:-1]) * 28 + c[2:], minlength=28 ** 3))
+    assert toxicity.restored("8-3-5-1-3-9-3", model) == ["besiege"]
+    assert toxicity.tokens_of("8 3 5 1 3 9 3") == ["8-3-5-1-3-9-3"] and toxicity.restored("(-4-5-7-1-9-4-7-3", model)[-1] == "castigate"
+    assert "clown" in toxicity.restored("(l0wn", model) and "dumbass" in toxicity.restored("dumba$$", model)
+    assert toxicity.restored("(clown)", model)[0] == "clown" and toxicity.restored("2662-6226-2662-6226", model) == []
+
+
 @pytest.fixture(scope="module")
 def marked(spark):
     rows, labels = [], []
