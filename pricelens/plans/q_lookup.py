@@ -158,12 +158,13 @@ def s22_model_persist(spark, sf_dir):
 @query("s21_result_sinks")
 def s21_result_sinks(spark, sf_dir):
     """Per-campaign effects and the validation summary written as CSV to the shared folder and
-    read back (test, metric, value, status / category, effect rows)."""
-    from pricelens.plans.q_model import quartile_slopes
+    read back (test, metric, value, status / project_id, category, treatment_effect: one row a campaign)."""
+    from pricelens.plans.q_ml import campaign_effects
     from pricelens.plans.q_validate import v15_summary
     base = scratch_path(spark, f"results-{spark.sparkContext.applicationId}")
     v15_summary(spark, sf_dir).write.mode("overwrite").option("header", True).csv(f"{base}/validation_results")
-    quartile_slopes(features(spark, sf_dir)).write.mode("overwrite").option("header", True).csv(f"{base}/effects")
+    effects = features(spark, sf_dir).select("project_id", "category").join(campaign_effects(spark, sf_dir)[0], "project_id")
+    effects.write.mode("overwrite").option("header", True).csv(f"{base}/effects")
     v = spark.read.option("header", True).csv(f"{base}/validation_results")
     e = spark.read.option("header", True).csv(f"{base}/effects")
     return (v.agg(F.lit("validation_results").alias("sink"), F.count(F.lit(1)).alias("rows"))

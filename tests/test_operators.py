@@ -116,3 +116,24 @@ def test_registered_quantile_boosting_runs_100_rounds_of_depth_6(spark, sf_dir,
     monkeypatch.setattr(fo, "quantile_boosting", lambda *a, **how: seen.update(how))
     q_ml.quantile_predictions(spark, sf_dir)
     assert (seen["rounds"], seen["max_depth"]) == (100, 6)
+
+
+def test_effect_sink_and_effect_tables(spark, sf_dir, monkeypatch):
+    """The effects sink has a row for each campaign; M16 has the effect rows and the whole ranking (small forests here)."""
+    from pricelens.operators import forest as fo
+    from pricelens.plans import q_lookup, q_ml, q_validate
+    from pricelens.plans.common import features
+    forest, boost = fo.random_forest, fo.boosted_trees
+    monkeypatch.setattr(q_ml, "_FITTED", {})
+    monkeypatch.setattr(fo, "random_forest", lambda t, y, *a, **how: forest(t, y, 2, 3))
+    monkeypatch.setattr(fo, "boosted_trees", lambda t, y: boost(t, y, max_iter=2, max_depth=2))
+    monkeypatch.setattr(q_validate, "v15_summary", lambda spark, sf_dir: spark.range(3))
+    got = {r["sink"]: r["rows"] for r in q_lookup.s21_result_sinks(spark, sf_dir).collect()}
+    n = features(spark, sf_dir).na.drop(subset=[c for c in q_ml.FEATURES if c != q_ml.TREATMENT]).count()
+    assert got == {"validation_results": 3, "effects": n} and n > 1000
+    rows = q_ml.m16_model_compare(spark, sf_dir).collect()
+    assert {r["model"] for r in rows if r["kind"] == "effect" and r["value"] is not None} == {"ols", "2sls", "causal_forest"}
+    assert {r["model"] for r in rows if r["kind"] == "fit"} == {"ols", "random_forest", "gradient_boosting"}
+    ranked = sorted((r for r in rows if r["kind"] == "coefficient"), key=lambda r: r["importance_rank"])
+    assert sorted(r["term"] for r in ranked) == sorted(q_ml.FEATURES)
+    assert [abs(r["value"]) for r in ranked] == sorted((abs(r["value"]) for r in ranked), reverse=True)
