@@ -29,6 +29,8 @@ DIMENSIONS = 1 << 17
 STEPS = 40
 L2 = 1e-6
 BLOCK = 64
+#: Least log potential of a word against its best language: very long runs sum many weights, and exp() must not underflow.
+LEAST = -200.0
 UNKNOWN = "und"
 
 words_of = re.compile(r"[^\W\d_]+").findall
@@ -40,7 +42,7 @@ def features_of(word: str) -> list[int]:
     marked = f"<{word}>"
     names = [f"w{word}", *(f"p{word[:k]}" for k in (1, 2, 3)), *(f"s{word[-k:]}" for k in (1, 2, 3)),
              *(f"g{marked[i:i + 2]}" for i in range(len(marked) - 1)), *(f"g{marked[i:i + 3]}" for i in range(len(marked) - 2))]
-    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) % DIMENSIONS for n in names[:60]]
+    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) % DIMENSIONS for n in names]
 
 
 class Chain:
@@ -57,7 +59,7 @@ class Chain:
         n, k = emission.shape
         size = -(-n // BLOCK) * BLOCK
         e = np.ones((size, k))
-        e[:n] = np.exp(emission - emission.max(axis=1, keepdims=True))
+        e[:n] = np.exp(np.maximum(emission - emission.max(axis=1, keepdims=True), LEAST))
         head = np.ones(size, bool)
         head[:n] = first
         blocks = size // BLOCK

@@ -238,6 +238,14 @@ def plain_marginals(transition, start, emission):
     return out / out.sum(axis=1, keepdims=True)
 
 
+def test_features_of_a_long_run_are_whole():
+    a, b = "ab" * 40 + "c" * 40 + "end", "ab" * 40 + "d" * 40 + "end"
+    assert len(langid.features_of(a)) == 7 + len(a) + 1 + len(a) and set(langid.features_of(a)[1:]) != set(langid.features_of(b)[1:])
+    chain = langid.Chain(np.zeros((3, 3)), np.zeros(3))
+    got = chain.marginals(np.array([[5e3, 0, 0], [0, 5e3, 0], [0, 0, 5e3]]), np.array([True, False, False]))
+    assert np.isfinite(got).all() and (got.argmax(axis=1) == [0, 1, 2]).all()
+
+
 def test_batched_forward_backward_equals_the_recursion():
     rng = np.random.default_rng(2)
     transition, start = rng.normal(size=(3, 3)), rng.normal(size=3)
