@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -107,3 +108,19 @@ def attempt() -> tuple[int, str]:
     from pyspark import TaskContext
     ctx = TaskContext.get()
     return (ctx.partitionId(), f"{ctx.partitionId()}-{ctx.taskAttemptId()}") if ctx else (0, uuid.uuid4().hex)
+
+
+#: What separates words where a contract says `[^\x20\x09-\x0D]+`; bytes.split() separates by the same six bytes.
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Words of UTF-8 text, block by block: no word is cut, and no block of a long text is much over `size` bytes."""
+    at = 0
+    while at < len(data):
+        stop = at + size
+        if stop < len(data):
+            cut = _BLANK.search(data, stop)
+            stop = cut.start() if cut else len(data)
+        yield data[at:stop].split()
+        at = stop

@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, over whole tables with production parameters, and their DuckDB twins."""
+"""Registered queries of the thirteen operators, over whole tables with production parameters, and their DuckDB twins."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm import bpe, common, decontam, exactdedup, langid, simhash, tokenbin, tokencounts, toxicity, urlfilter, warc
+from pricelens.llm import bpe, common, decontam, exactdedup, filteraudit, langid, periodic, secretscan, simhash, tokenbin, tokencounts, toxicity, urlfilter, warc
 from pricelens.llm.common import table
 
 #: Rules of the URL query (host, path, verdict): fixed values.
@@ -56,13 +56,26 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.document_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.secret_table(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"), change=periodic.repeat_by_id)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_decontamination, op2_bpe, op3_exact_dedup, op4_token_counts, op5_warc, op6_toxicity, op7_simhash, op8_url_filter, op9_token_bin, op10_language, pipeline)}
+    op1_decontamination, op2_bpe, op3_exact_dedup, op4_token_counts, op5_warc, op6_toxicity, op7_simhash, op8_url_filter, op9_token_bin, op10_language,
+    op11_filter_audit, op12_secret_scan, op13_periodic_runs, pipeline)}
 
 _WORDS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -102,4 +115,31 @@ u AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLM
 m AS (SELECT u.page_id, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict
       FROM u JOIN r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path) GROUP BY u.page_id)
 SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM u LEFT JOIN m USING (page_id)""",
+    "op11_filter_audit": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, bool_or(coalesce(quality, 0) = 1) AS good, bool_or(coalesce(toxic, 0) = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+             (CASE WHEN len(w) < 200 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END)
+             + (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 4 ELSE 0 END)
+             + (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END)
+             + (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END) AS mask
+      FROM t LEFT JOIN l USING (doc_id)),
+h AS (SELECT part, mask, good, toxic, count(*) AS n FROM m GROUP BY ALL),
+f AS (SELECT unnest(range(5)) AS f),
+o AS (SELECT a.f AS f1, b.f AS f2, c.f AS f3, d.f AS f4, e.f AS f5, chr(CAST(65 + a.f AS INT)) || chr(CAST(65 + b.f AS INT)) || chr(CAST(65 + c.f AS INT)) || chr(CAST(65 + d.f AS INT)) || chr(CAST(65 + e.f AS INT)) AS filter_order
+      FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step, unnest([f1, f2, f3, f4, f5]) AS f,
+             unnest([0, 1 << f1, (1 << f1) + (1 << f2), (1 << f1) + (1 << f2) + (1 << f3), (1 << f1) + (1 << f2) + (1 << f3) + (1 << f4)]) AS earlier FROM o),
+r AS (SELECT part, filter_order, step, f,
+             sum(CASE WHEN mask & (earlier | (1 << f)) = 0 THEN n ELSE 0 END) AS kept,
+             sum(CASE WHEN mask & earlier = 0 AND mask & (1 << f) > 0 THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN mask & earlier > 0 AND mask & (1 << f) > 0 THEN n ELSE 0 END) AS redundant,
+             sum(CASE WHEN mask = (1 << f) THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN mask & earlier = 0 AND mask & (1 << f) > 0 AND good THEN n ELSE 0 END) AS good_lost,
+             sum(CASE WHEN mask & earlier = 0 AND mask & (1 << f) > 0 AND toxic THEN n ELSE 0 END) AS toxic_lost
+      FROM h, s GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM r""",
 }
