@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -25,6 +26,8 @@ from pricelens.llm import common
 
 #: Entries of one generation of the word memo; two generations live at a time.
 MEMO = 300_000
+#: Bytes of one generation, roughly; longer words than LONGEST are not kept.
+MEMO_BYTES, LONGEST = 64 << 20, 256
 #: Characters of a text handled at once.
 BLOCK = 1 << 16
 #: Symbols fed to a window beyond the lookahead.
@@ -186,29 +189,36 @@ class WordSplitter:
         return out
 
     def _words(self, text: str) -> list[str]:
-        if self.foreign(text) is None:
-            return self.words_of(unicodedata.normalize("NFC", text).lower() if not text.isascii() else text.lower())
+        if text.isascii():
+            return self.words_of(text.lower())
+        # Composition and lower case may both lead out of the Latin blocks, whose classes alone are known here.
+        if self.foreign(text) is None and self.foreign(normal := unicodedata.normalize("NFC", text).lower()) is None:
+            return self.words_of(normal)
         normal = self.library.normalizer.normalize_str(text)
         mapped = self.library.pre_tokenizer.pre_tokenize_str(normal)
         return [bytes(self.bytes_of[c] for c in w).decode("utf-8") for w, _ in mapped]
 
 
 class Memo(dict):
-    """Word -> value, computed on first use; a full generation retires and is consulted once more."""
+    """Word -> value, computed on first use; a full generation retires and is consulted once more. A generation is
+    bounded by entries and by bytes."""
 
-    def __init__(self, fill, limit: int = MEMO, keep: dict | None = None):
+    def __init__(self, fill, limit: int = MEMO, keep: dict | None = None, limit_bytes: int = MEMO_BYTES):
         super().__init__(keep or {})
-        self.fill, self.limit, self.keep, self.old = fill, limit, dict(keep or {}), {}
+        self.fill, self.limit, self.limit_bytes, self.keep, self.old, self.held = fill, limit, limit_bytes, dict(keep or {}), {}, 0
 
     def __missing__(self, word: str):
-        if len(self) >= self.limit:
-            self.old = dict(self)
+        if len(word) > LONGEST:
+            return self.fill(word)
+        if len(self) >= self.limit or self.held >= self.limit_bytes:
+            self.old, self.held = dict(self), 0
             self.clear()
             self.update(self.keep)
         value = self.old.get(word)
         if value is None:
             value = self.fill(word)
         self[word] = value
+        self.held += sys.getsizeof(word) + sys.getsizeof(value) + 100
         return value
 
 
@@ -300,14 +310,9 @@ class Codec:
         return getattr(self, name)
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
     """One codec per worker process; its memo serves all tasks of the worker."""
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    return common.kept(("codec", path), lambda: Codec(path))
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

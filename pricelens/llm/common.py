@@ -124,3 +124,23 @@ def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
             stop = cut.start() if cut else len(data)
         yield data[at:stop].split()
         at = stop
+
+
+class Numbers(dict):
+    """Value -> number, in order of first use."""
+
+    def __missing__(self, value) -> int:
+        self[value] = n = len(self)
+        return n
+
+
+_KEPT: dict = {}
+
+
+def kept(key: tuple, build):
+    """The one large object (a vocabulary, a model with its memo) that this worker keeps between tasks: a chain of
+    operators in one application never holds two of them."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = build()
+    return _KEPT[key]

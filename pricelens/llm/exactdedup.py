@@ -26,6 +26,8 @@ from pricelens.llm import common
 
 #: Bytes of distinct content that one table may hold.
 TABLE_BYTES = 96 << 20
+#: Bytes that a copy adds to the list of its group, roughly.
+MEMBER_BYTES = 200
 #: Hash bits consumed by one partitioning level.
 LEVEL_BITS = 4
 #: After this level every bit of the hash is used up; what is left has equal hashes and stays in the table.
@@ -122,11 +124,12 @@ def _local(id_col: str, text_col: str, rows: bool, table_bytes: int):
                     members.append([rank])
                 else:
                     members[e].append(rank)
+                    table.bytes += MEMBER_BYTES
                     if _better(rank, best[e][0]):
                         best[e] = (rank, row)
-            if table.bytes > table_bytes:
-                yield from flush(*kinds)
-                table, best, members = OpenTable(), [], []
+                if table.bytes > table_bytes:
+                    yield from flush(*kinds)
+                    table, best, members = OpenTable(), [], []
         if kinds:
             yield from flush(*kinds)
 

@@ -28,15 +28,7 @@ REPEATS, LEAST = 4, 6
 BLOCK_BYTES = 4 << 20
 
 
-class _Numbers(dict):
-    """Word -> number, in order of first use."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
-def word_numbers(data: bytes, numbers: _Numbers) -> np.ndarray:
+def word_numbers(data: bytes, numbers: common.Numbers) -> np.ndarray:
     parts = [np.array(list(map(numbers.__getitem__, words)), np.int32) for words in common.word_blocks(data)]
     return np.concatenate(parts) if len(parts) > 1 else parts[0] if parts else np.zeros(0, np.int32)
 
@@ -177,7 +169,7 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = T.StructType([slim.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in longs], *[T.StructField(c, T.StringType()) for c in texts]])
 
     def judged(block):
-        numbers = _Numbers()
+        numbers = common.Numbers()
         words = [word_numbers(data, numbers) for _, data in block]
         if change:
             words = [change(w, i) for w, (i, _) in zip(words, block)]

@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 
@@ -65,8 +66,21 @@ class CharModel:
     def restore(self, token: str) -> str:
         """Most likely reading of a lower-cased token."""
         kind = lambda ch: ord(ch) - 96 if "a" <= ch <= "z" else 27 if ch.isalpha() else 0
-        states = {(0, 0): (0.0, "")}
-        for ch, run in _runs(token):
+        # A path is a chain (path before, piece). Where one state is left, or where all chains begin alike, that part is
+        # settled and moves to `made`: time and memory grow with the token's length, not with its square.
+        made: list[str] = []
+        states: dict[tuple, tuple] = {(0, 0): (0.0, None)}
+        for step, (ch, run) in enumerate(_runs(token)):
+            if len(states) == 1:
+                (a, b), (_, path) = next(iter(states.items()))
+                made += _pieces(path)
+                if run == 1 and ch.isalpha():
+                    made.append(ch)
+                    states = {(b, kind(ch)): (0.0, None)}
+                    continue
+                states = {(a, b): (0.0, None)}
+            elif step % 4096 == 0:
+                states = _settle(states, made)
             arcs = []
             if ch.isalpha():
                 arcs += [(ch * n, 0.0 if n == run else COST_RUN) for n in sorted({min(run, 2), 1} | ({run} if run < 3 else set()))]
@@ -76,7 +90,7 @@ class CharModel:
                 if ch in STREWN:
                     arcs.append(("", COST_STREWN * run))
             after: dict[tuple, tuple] = {}
-            for (a, b), (total, made) in states.items():
+            for (a, b), (total, path) in states.items():
                 for piece, price in arcs:
                     x, y, t = a, b, total + price
                     for c in piece[:3]:
@@ -85,9 +99,41 @@ class CharModel:
                         x, y = y, z
                     best = after.get((x, y))
                     if best is None or t < best[0]:
-                        after[x, y] = (t, made + piece)
+                        after[x, y] = (t, (path, piece))
             states = after
-        return min((t + self.cost[a][b][0], made) for (a, b), (t, made) in states.items())[1]
+        ends = [(t + self.cost[a][b][0], path) for (a, b), (t, path) in states.items()]
+        low = min(t for t, _ in ends)
+        return "".join(made) + min("".join(_pieces(path)) for t, path in ends if t == low)
+
+
+def _pieces(path) -> list[str]:
+    out = []
+    while path is not None:
+        path, piece = path
+        out.append(piece)
+    return out[::-1]
+
+
+def _settle(states: dict, made: list) -> dict:
+    """Move the beginning that all chains share to `made`; the states keep the rest."""
+    chains = []
+    for _, path in states.values():
+        nodes = []
+        while path is not None:
+            nodes.append(path)
+            path = path[0]
+        chains.append(nodes[::-1])
+    shared = 0
+    while all(len(c) > shared and c[shared] is chains[0][shared] for c in chains):
+        shared += 1
+    made += [node[1] for node in chains[0][:shared]]
+    out = {}
+    for (state, (total, _)), nodes in zip(states.items(), chains):
+        path = None
+        for node in nodes[shared:]:
+            path = (path, node[1])
+        out[state] = (total, path)
+    return out
 
 
 def _runs(token: str):
@@ -189,42 +235,41 @@ def _fit(cost_counts: np.ndarray, n_features: int):
     def run(batches):
         import pyarrow as pa
         model = CharModel(cost_counts)
-        memo = Memo(lambda t: tuple(f for w in restored(t, model) for f in features_of(w)))
-        docs, lengths, ys = [], [], []
-        presence: dict[str, list] = {}
+        numbers = common.Numbers()
+        memo = Memo(lambda t: tuple(numbers[f] for w in restored(t, model) for f in features_of(w)))
+        # The sample as sparse rows: which features a document has, and how often.
+        cols, counts, sizes, lengths, ys = [], [], [], [], []
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens = tokens_of(text or "")
-                found: dict[str, int] = {}
-                for t in tokens:
-                    for f in memo[t]:
-                        found[f] = found.get(f, 0) + 1
-                docs.append(found)
+                found = np.fromiter((f for t in tokens for f in memo[t]), np.int32)
+                at, n = np.unique(found, return_counts=True)
+                cols.append(at)
+                counts.append(n.astype(np.int32))
+                sizes.append(len(at))
                 lengths.append(len(tokens))
                 ys.append(y)
-        y = np.array(ys, float)
-        for d, label in zip(docs, ys):
-            for f in d:
-                presence.setdefault(f, [0, 0])[label] += 1
+        y, names = np.array(ys, float), list(numbers)
+        col = np.concatenate([np.zeros(0, np.int32), *cols])
+        row = np.repeat(np.arange(len(ys)), sizes)
+        in1 = np.bincount(col, y[row] if len(row) else None, minlength=len(names))
+        in0 = np.bincount(col, minlength=len(names)) - in1
         n1, n0 = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
-
-        def score(ab):
-            p1, p0 = ab[1] / n1, ab[0] / n0
-            pool = (ab[0] + ab[1]) / (n0 + n1)
-            return abs(p1 - p0) / math.sqrt(pool * (1 - pool) * (1 / n1 + 1 / n0) + 1e-9)
-
-        ranked = sorted((f for f, ab in presence.items() if ab[0] + ab[1] >= 3), key=lambda f: (-score(presence[f]), f))[:n_features]
-        number = {f: i for i, f in enumerate(ranked)}
-        x = np.zeros((len(docs), len(ranked)), np.float32)
-        for r, d in enumerate(docs):
-            for f in d.keys() & number.keys():
-                x[r, number[f]] = _values(np.float64(d[f]), lengths[r])
+        pool = (in0 + in1) / (n0 + n1)
+        strength = np.abs(in1 / n1 - in0 / n0) / np.sqrt(pool * (1 - pool) * (1 / n1 + 1 / n0) + 1e-9)
+        chosen = sorted(np.flatnonzero(in0 + in1 >= 3).tolist(), key=lambda f: (-strength[f], names[f]))[:n_features]
+        ranked = [names[f] for f in chosen]
+        place = np.full(len(names) + 1, -1)
+        place[chosen] = np.arange(len(chosen))
+        kept = place[col] >= 0
+        value = _values(np.concatenate([np.zeros(0), *counts])[kept], np.array(lengths, float)[row[kept]])
+        row, col = row[kept], place[col[kept]]
         w, b = np.zeros(len(ranked)), 0.0
         m, v = np.zeros(len(ranked) + 1), np.zeros(len(ranked) + 1)
-        for step in range(1, 301 if len(docs) else 1):
-            p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
+        for step in range(1, 301 if len(ys) else 1):
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * w[col], minlength=len(y)) + b, -30, 30)))
             err = (p - y) / len(y)
-            g = np.append(x.T @ err + 2e-4 * w, err.sum())
+            g = np.append(np.bincount(col, value * err[row], minlength=len(ranked)) + 2e-4 * w, err.sum())
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             move = 0.1 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
             w, b = w - move[:-1], b - move[-1]
@@ -234,25 +279,20 @@ def _fit(cost_counts: np.ndarray, n_features: int):
 
 
 class Scorer:
-    """Score of a text under fitted weights; picklable, at most FEATURES weights and the character model."""
+    """Score of a text under fitted weights; picklable, at most FEATURES weights and the character model. A worker keeps
+    the lattice and the memo of the last model it scored with, so later tasks start warm."""
 
     def __init__(self, counts: np.ndarray, weights: dict[str, float], bias: float):
         self.counts, self.weights, self.bias = counts, weights, bias
-        self._ready = None
-
-    def __getstate__(self):
-        return self.counts, self.weights, self.bias
+        self.key = hashlib.sha256(repr((bias, sorted(weights.items()))).encode() + counts.tobytes()).hexdigest()
 
-    def __setstate__(self, state):
-        self.counts, self.weights, self.bias = state
-        self._ready = None
+    def _unpack(self) -> tuple[Memo, np.ndarray]:
+        model, number = CharModel(self.counts), {f: i for i, f in enumerate(self.weights)}
+        memo = Memo(lambda t: tuple(number[f] for w in restored(t, model) for f in features_of(w) if f in number))
+        return memo, np.array(list(self.weights.values()))
 
     def score(self, text: str) -> float:
-        if self._ready is None:
-            model, number = CharModel(self.counts), {f: i for i, f in enumerate(self.weights)}
-            memo = Memo(lambda t: tuple(number[f] for w in restored(t, model) for f in features_of(w) if f in number))
-            self._ready = memo, np.array(list(self.weights.values()))
-        memo, w = self._ready
+        memo, w = common.kept(("toxicity", self.key), self._unpack)
         tokens = tokens_of(text)
         hits = [i for found in map(memo.__getitem__, tokens) for i in found]
         logit = self.bias

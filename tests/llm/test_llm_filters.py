@@ -311,3 +311,86 @@ def test_pipeline_stages_follow_their_operators(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         none = common.staged(stage(spark, none, sf_dir), "test-empty")
     assert none.count() == 0
+
+
+# --- the lattice by enumeration ----------------------------------------------------------------------------
+
+def lattice_by_enumeration(model, token):
+    """Cheapest reading of a token over all paths of its lattice, each path's cost added up alone."""
+    from itertools import groupby, product
+    kind = lambda c: ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
+    choices = []
+    for ch, group in groupby(token):
+        n = len(list(group))
+        if ch.isalpha():
+            sizes = {1, min(n, 2)} | ({n} if n < 3 else set())
+            choices.append([(ch * k, 0.0 if k == n else toxicity.COST_RUN) for k in sizes])
+        else:
+            arcs = [(ch * n, toxicity.COST_KEPT_SIGN * n)]
+            arcs += [(c * k, toxicity.COST_LEET * k + toxicity.COST_RUN * (n > k)) for c in toxicity.CHANNEL.get(ch, "") for k in {1, min(n, 2)}]
+            choices.append(arcs + ([("", toxicity.COST_STREWN * n)] if ch in toxicity.STREWN else []))
+    best = None
+    for path in product(*choices):
+        cost, a, b = 0.0, 0, 0
+        for piece, price in path:
+            cost += price
+            for c in piece[:3]:
+                cost += model.cost[a][b][kind(c)]
+                a, b = b, kind(c)
+        cost += model.cost[a][b][0]
+        best = min(best, cost) if best is not None else cost
+    return best
+
+
+def path_cost(model, token, reading):
+    """Cost of the cheapest path that spells `reading`, by dynamic programming over its positions."""
+    from itertools import groupby
+    kind = lambda c: ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
+    states = {(0, 0, 0): 0.0}
+    for ch, group in groupby(token):
+        n = len(list(group))
+        arcs = [(ch * k, 0.0 if k == n else toxicity.COST_RUN) for k in {1, min(n, 2)}] if ch.isalpha() else [(ch * n, toxicity.COST_KEPT_SIGN * n)]
+        if not ch.isalpha():
+            arcs += [(c * k, toxicity.COST_LEET * k + toxicity.COST_RUN * (n > k)) for c in toxicity.CHANNEL.get(ch, "") for k in {1, min(n, 2)}]
+            arcs += [("", toxicity.COST_STREWN * n)] if ch in toxicity.STREWN else []
+        after = {}
+        for (at, a, b), total in states.items():
+            for piece, price in arcs:
+                if reading.startswith(piece, at):
+                    x, y, t = a, b, total + price
+                    for c in piece[:3]:
+                        t += model.cost[x][y][kind(c)]
+                        x, y = y, kind(c)
+                    key = (at + len(piece), x, y)
+                    after[key] = min(after.get(key, t), t)
+        states = after
+    return min(t + model.cost[a][b][0] for (at, a, b), t in states.items() if at == len(reading))
+
+
+def test_lattice_paths_are_the_cheapest():
+    rng = np.random.default_rng(8)
+    model = toxicity.CharModel(rng.integers(0, 40, toxicity.CLASSES ** 3))
+    for _ in range(400):
+        token = "".join(RND.choice("abs0134$!.-é+77lee") for _ in range(RND.randint(1, 7)))
+        reading = model.restore(token)
+        assert path_cost(model, token, reading) == pytest.approx(lattice_by_enumeration(model, token), abs=1e-9)
+
+
+def test_long_tokens_take_linear_time():
+    import time
+    rng = np.random.default_rng(8)
+    model = toxicity.CharModel(rng.integers(0, 40, toxicity.CLASSES ** 3))
+    blob = "".join(RND.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(150_000))
+    digits = "".join(RND.choice("01345") for _ in range(30_000))
+    t = time.perf_counter()
+    assert len(model.restore(blob)) > 100_000 and len(model.restore(digits)) > 10_000
+    assert time.perf_counter() - t < 20
+
+
+def test_settled_paths_change_nothing(monkeypatch):
+    rng = np.random.default_rng(9)
+    model = toxicity.CharModel(rng.integers(0, 40, toxicity.CLASSES ** 3))
+    token = "".join(RND.choice("0134") for _ in range(9000))
+    whole = model.restore(token)
+    monkeypatch.setattr(toxicity, "_settle", lambda s, made: s)
+    assert model.restore(token) == whole

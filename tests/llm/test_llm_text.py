@@ -155,3 +155,34 @@ def test_empty_tables(docs):
     none = docs.limit(0)
     for df in (bpe.encode(none), bpe.encode_digests(none), tokenbin.token_table(none), tokencounts.token_counts(none)):
         assert df.count() == 0
+
+
+def test_letters_that_leave_the_latin_blocks(spark, library):
+    rnd = random.Random(11)
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    texts = ["aȺb", "việt", "hớ́i", "(Ⱥ", "-ẹ", "Ⱥ" * 300, "x̣̂ (ȾE) 'S"]
+    for _ in range(1500):
+        texts.append("".join(rnd.choice(marks) if rnd.random() < 0.25 else chr(rnd.choice([32, rnd.randrange(0x21, 0x7F), rnd.randrange(0x80, 0x250), rnd.randrange(0x370)]))
+                             for _ in range(rnd.randrange(1, 25))))
+    c, enc = bpe.codec(WORD), tokenbin._Encoder(WORD)
+    for text in texts:
+        want = library.encode(text, add_special_tokens=False).ids
+        assert [i for part in c.encode(text) for i in part] == want
+        assert np.frombuffer(enc.raw(text), "<u4").tolist() == want
+
+
+def test_word_memory_stays_bounded(library, monkeypatch):
+    monkeypatch.setattr(tokenbin, "MEMO_BYTES", 5000)
+    enc = tokenbin._Encoder(WORD)
+    rnd = random.Random(2)
+    for _ in range(60):
+        text = " ".join(rnd.choice(["the", "(naïve)", "1,234", "don't", "x" * 400]) + str(rnd.randrange(40)) for _ in range(50))
+        assert np.frombuffer(enc.raw(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert enc.held < 30_000 and len(enc.older) < 200
+
+
+def test_memo_is_bounded_in_bytes():
+    memo = bpe.Memo(lambda w: tuple(w), limit_bytes=10_000)
+    for i in range(500):
+        assert memo[f"{i % 90}" * 40] == tuple(f"{i % 90}" * 40)
+    assert len(memo) < 60 and memo["y" * 1000] and "y" * 1000 not in memo
