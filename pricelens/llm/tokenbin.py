@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelens.llm import common
-from pricelens.llm.bpe import MEMO, WordSplitter
+from pricelens.llm.bpe import LONGEST, MEMO_BYTES, WordSplitter, byte_symbols
 
 MAGIC = b"DAC8"
 BLOCK = 512
@@ -108,63 +108,49 @@ class DacFile:
 
 
 class _Encoder:
-    """Ids of whole texts through the tokenizers library, asked once per distinct word: the words of a block that
-    are not known yet go through one call, joined by blanks, and come apart again at word-end tokens."""
+    """Ids of whole texts, asked of the tokenizers library's model once per distinct word; the memo's generations are
+    bounded by bytes."""
 
     def __init__(self, path: str):
         self.splitter = WordSplitter(path)
-        self.library = self.splitter.library
-        vocab = self.library.get_vocab(with_added_tokens=True)
-        self.is_end = np.zeros(max(vocab.values()) + 1, bool)
-        self.is_end[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.model, self.symbols = self.splitter.library.model, byte_symbols()
         self.special = {t: np.array([i], "<u4").tobytes() for t, i in self.splitter.special.items()}
-        self.known, self.older = dict(self.special), {}
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > MEMO:
-            self.older, self.known = self.known, dict(self.special)
-        fresh = []
-        for w in words:
-            if (raw := self.older.get(w)) is not None:
-                self.known[w] = raw
-            elif w not in self.known:
-                fresh.append(w)
-        if not fresh:
-            return
-        ids = np.array(self.library.encode(" ".join(fresh), add_special_tokens=False).ids, "<u4")
-        ends = (4 * (np.nonzero(self.is_end[ids])[0] + 1)).tolist()
-        raw = ids.tobytes()
-        if len(ends) != len(fresh):
-            raise ValueError("the file's word ends do not separate words")
-        self.known.update(zip(fresh, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+        self.known, self.older, self.held = dict(self.special), {}, 0
+
+    def _ids(self, word: str) -> bytes:
+        """Ids of one word, which is normalised already: it goes to the model alone."""
+        mapped = word if word.isascii() and word.isalnum() else "".join(map(self.symbols.__getitem__, word.encode("utf-8")))
+        ids = [t.id for t in self.model.tokenize(mapped)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def raw(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         out = []
         for block in self.splitter.blocks(text):
             words = self.splitter.words(block)
+            if self.held >= MEMO_BYTES:
+                self.older, self.known, self.held = self.known, dict(self.special), 0
             known = self.known
-            missing = [w for w in set(words) if w not in known]
-            if missing:
-                self._learn(missing)
-                if self.known is not known:  # a new generation: have all of the block's words in it
-                    self._learn(list(set(words)))
-            out.append(b"".join(map(self.known.__getitem__, words)))
+            long = {}
+            for w in set(words).difference(known):
+                if (raw := self.older.get(w)) is None:
+                    raw = self._ids(w)
+                if len(w) > LONGEST:
+                    long[w] = raw
+                else:
+                    known[w] = raw
+                    self.held += len(w) + len(raw) + 200
+            out.append(b"".join([long[w] if w in long else known[w] for w in words]) if long else b"".join(map(known.__getitem__, words)))
         return b"".join(out)
 
 
-_ENCODERS: dict[str, _Encoder] = {}
-
-
 def _writer(path: str, folder: str, end_id: int, file_tokens: int):
     def run(batches):
         import pyarrow as pa
         part, name = common.attempt()
         store, base = common.filesystem(folder)
         store.create_dir(base, recursive=True)
-        if path not in _ENCODERS:
-            _ENCODERS[path] = _Encoder(path)
-        enc = _ENCODERS[path]
+        enc = common.kept(("encoder", path), lambda: _Encoder(path))
         end = np.array([end_id], "<u4").tobytes()
         docs, counts, parts, held, seq, done = [], [], [], 0, 0, 0
 
