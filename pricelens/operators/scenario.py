@@ -82,15 +82,20 @@ def api_values(goal_ambition_global: Column) -> dict:
             "concurrent_campaigns": F.lit(0.5)}
 
 
-def score_api(model: ScoringModel, values: dict, goal: Column) -> dict:
-    """Funding ratio, expected funding, clamped probability, 10/90 band, recommendation."""
+def score_api(model: ScoringModel, values: dict, goal: Column, low: Column | None = None, high: Column | None = None) -> dict:
+    """Funding ratio, expected funding, clamped probability, 10/90 band, recommendation.
+
+    ``low`` and ``high`` are the funding ratio's 10 % and 90 % quantiles; without a quantile model fixed multiples of
+    the prediction stand in for them."""
     ratio = model.predict(values)
+    low = ratio * 0.5 if low is None else low
+    high = ratio * 1.5 if high is None else high
     return {
         "expected_funding": round_to(goal * ratio, 2),
         "funding_ratio": round_to(ratio, 3),
         "success_probability": round_to(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ratio)), 3),
-        "confidence_low": round_to(goal * (ratio * 0.5), 2),
-        "confidence_high": round_to(goal * (ratio * 1.5), 2),
+        "confidence_low": round_to(goal * low, 2),
+        "confidence_high": round_to(goal * high, 2),
         "recommendation": recommendation(ratio),
     }
 

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import SparkSession
 
 from pricelens.operators import linear as L
+from pricelens.operators.quantile_trees import QuantileModel, fit_quantiles
 from pricelens.operators.scenario import ScoringModel
 from pricelens.plans.common import features, staged
 
@@ -42,6 +43,19 @@ def fitted_model(spark: SparkSession, sf_dir: str) -> ScoringModel:
     return ScoringModel(c.pop("intercept"), {n: c[n] for n in FEATURES}, c.pop("tsls"), list(FEATURES))
 
 
+# Quantiles, rounds and depth of the configuration's quantile model.
+QUANTILES = [0.1, 0.25, 0.5, 0.75, 0.9]
+ROUNDS, DEPTH, RATE = 100, 6, 0.1
+
+
+def quantile_model(spark: SparkSession, sf_dir: str, rounds: int = ROUNDS, depth: int = DEPTH) -> QuantileModel:
+    """The quantile model of these tables (M12); fitted once, then read back from its stage table of trees."""
+    def build():
+        return fit_quantiles(features(spark, sf_dir), FEATURES, TARGET, QUANTILES, rounds, depth, RATE).table(spark).coalesce(1)
+    trees = staged(spark, sf_dir, f"quantile-trees-{rounds}-{depth}", build)
+    return QuantileModel.from_table(trees, FEATURES, QUANTILES, rounds, depth, RATE)
+
+
 # --- the same estimators as DuckDB text ------------------------------------------------------------
 
 def gram_sql(name: str, source: str, cols: Sequence[str], group: str | None = None) -> str:

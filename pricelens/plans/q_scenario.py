@@ -10,7 +10,7 @@ from pricelens.operators.features import group_medians
 from pricelens.operators.joins import join_small
 from pricelens.operators.quantiles import exact_percentiles
 from pricelens.plans.common import features, staged
-from pricelens.plans.model import MODEL_SQL, fitted_model, predict_sql
+from pricelens.plans.model import MODEL_SQL, QUANTILES, fitted_model, predict_sql, quantile_model
 from pricelens.plans.registry import query
 from pricelens.plans.sql import r6 as s6
 from pricelens.plans.sql import with_views
@@ -100,6 +100,27 @@ def c1_score(spark, sf_dir):
     return s.select("project_id", *[v.alias(k) for k, v in out.items()])
 
 
+def _names(quantiles=QUANTILES):
+    return {q: f"q{int(round(q * 100)):02d}" for q in quantiles}
+
+
+@query("c1_interval")
+def c1_interval(spark, sf_dir):
+    """C1 with the quantile model: the 10/90 interval is what the trees say about each campaign."""
+    s, m, q = scored(spark, sf_dir), fitted_model(spark, sf_dir), quantile_model(spark, sf_dir)
+    out = sc.score_api(m, api_vals(), F.col("funding_goal"), F.col("q10"), F.col("q90"))
+    return q.score(s, api_vals(), _names((0.1, 0.9))).select("project_id", *[v.alias(k) for k, v in out.items()])
+
+
+@query("c2_band")
+def c2_band(spark, sf_dir):
+    """C2 with the quantile model: the dashboard's five quantiles, floored at 0."""
+    s, m, q = scored(spark, sf_dir), fitted_model(spark, sf_dir), quantile_model(spark, sf_dir)
+    ratio = F.greatest(F.lit(0.0), m.predict(dash_vals()))
+    return q.score(s, dash_vals(), _names()).select(
+        "project_id", r6(ratio).alias("funding_ratio"), *[r6(F.greatest(F.lit(0.0), F.col(c))).alias(c) for c in _names().values()])
+
+
 _C2_PRED = predict_sql(DASH_SQL_VALUES)
 _C2_RATIO = f"greatest(0.0::DOUBLE, {_C2_PRED})"
 
@@ -226,6 +247,18 @@ def c7_pct_change(spark, sf_dir):
                     r6(base + causal).alias("counterfactual_ratio"))
 
 
+@query("c7_interval")
+def c7_interval(spark, sf_dir):
+    """C7 with its prediction interval: effects of +10 % price and the 10/90 quantiles at the current features."""
+    s, m, q = scored(spark, sf_dir), fitted_model(spark, sf_dir), quantile_model(spark, sf_dir)
+    base = m.predict(api_vals())
+    raised = m.predict(api_vals() | {"avg_reward_price": F.col("avg_reward_price") * (1 + PCT_CHANGE / 100.0)})
+    causal = F.lit(m.tsls_coef * PCT_CHANGE / 100.0) * F.col("avg_reward_price")
+    return q.score(s, api_vals(), _names((0.1, 0.9))).select(
+        "project_id", r6(base).alias("current_prediction"), r6(raised).alias("counterfactual_prediction"), r6(raised - base).alias("naive_effect"),
+        r6(causal).alias("causal_effect"), r6("q10").alias("interval_low"), r6("q90").alias("interval_high"))
+
+
 def _c8_sql(price):
     v = {"avg_reward_price": f"{price!r}", "goal_ambition": "1.0", "campaign_duration_days": "md",
          "trend_index": "mt", "concurrent_campaigns": "(SELECT median(concurrent_campaigns) FROM features)"}
@@ -238,16 +271,28 @@ def _c8_sql(price):
     + " FROM _cm, _model" for p in sc.FIXED_PRICES)))
 def c8_price_quantiles(spark, sf_dir):
     """Quantile band at fixed prices for each category's median campaign (fallback multipliers)."""
-    f, m = features(spark, sf_dir), fitted_model(spark, sf_dir)
+    rows, values = _price_points(spark, sf_dir)
+    ratio = F.greatest(F.lit(0.0), fitted_model(spark, sf_dir).predict(values))
+    return rows.select("category", "price", *[r6(ratio * F.lit(m)).alias(f"q{int(q * 100):02d}")
+                                              for q, m in sc.FALLBACK_QUANTILES.items()])
+
+
+def _price_points(spark, sf_dir):
+    """Each category's median campaign at the fixed prices, and its feature expressions."""
+    f = features(spark, sf_dir)
     conc = exact_percentiles(f, "concurrent_campaigns", [0.5], names=["m"]).select("m").scalar()
     cm = group_medians(f, {"md": "campaign_duration_days", "mt": "trend_index"}, ["category"])
     cm = cm.where(F.col("category").isNotNull())
     rows = cm.select("category", "md", "mt", F.explode(F.array(*[F.lit(p) for p in sc.FIXED_PRICES])).alias("price"))
-    ratio = F.greatest(F.lit(0.0), m.predict({"avg_reward_price": F.col("price"), "goal_ambition": F.lit(1.0),
-                                              "campaign_duration_days": F.col("md"), "trend_index": F.col("mt"),
-                                              "concurrent_campaigns": conc}))
-    return rows.select("category", "price", *[r6(ratio * F.lit(m)).alias(f"q{int(q * 100):02d}")
-                                              for q, m in sc.FALLBACK_QUANTILES.items()])
+    return rows, {"avg_reward_price": F.col("price"), "goal_ambition": F.lit(1.0), "campaign_duration_days": F.col("md"),
+                  "trend_index": F.col("mt"), "concurrent_campaigns": conc}
+
+
+@query("c8_quantile_curves")
+def c8_quantile_curves(spark, sf_dir):
+    """C8 with the quantile model: funding ratio quantiles at fixed prices for each category's median campaign."""
+    rows, values = _price_points(spark, sf_dir)
+    return quantile_model(spark, sf_dir).score(rows, values, _names()).select("category", "price", *[r6(c).alias(c) for c in _names().values()])
 
 
 @query("c9_advice", _sql(_C3_CTE + f"""

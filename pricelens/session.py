@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -66,3 +67,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A location under the shared checkpoint folder for tables written to cut lineage."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package's source, once per application, for operators that run in Python workers."""
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.abspath(__file__))
+    if sc.applicationId in _SHIPPED or ".zip" in root:
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="pricelens-package-"), "pricelens-package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    z.write(os.path.join(folder, f), os.path.join("pricelens", os.path.relpath(os.path.join(folder, f), root)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
