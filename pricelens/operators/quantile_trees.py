@@ -1,24 +1,19 @@
-"""Quantile boosting on binned features, and the model that scores any feature expression (M12, used by C1/C2/C7/C8).
+"""Quantile boosting over a bounded contingency table, and the model that scores any feature expression.
 
-Boosting needs hundreds of dependent passes over the same rows. One Spark job per pass leaves the cluster idle
-between them, so the fit is one barrier stage: Spark deals the rows to its tasks, every task keeps its share as
-bin numbers, and the tasks exchange only counts (``BarrierTaskContext.allGather``). A lost executor makes Spark
-start the stage again. All quantiles grow their trees side by side, one exchange per tree level.
+Boosting needs hundreds of dependent passes over the same rows. Instead of one Spark job a pass, two native
+aggregations over all rows reduce the table to what histogram trees can see of it:
 
-* Bin edges, first predictions and leaf values are exact order statistics, found by ``select_ranks``: rounds of
-  counting that narrow the range around each rank, with at most a few hundred values per rank and task exchanged.
-* Splits come from integer counts (rows, and rows below the prediction), so the trees do not depend on how the
-  rows are dealt.
+1. one ``percentile_approx`` pass gives each feature's bin edges and the outcome's levels;
+2. rows are counted per (cell of feature bins, outcome level), with map-side combine.
 
-A message holds quantiles x 2^level x features x bins counts whatever the number of rows; ``workers`` bounds how many
-tasks exchange them.
+The result has at most n_bins ** features * n_levels rows whatever the size of the table (10 million for five features in
+10 bins and 100 levels, about 120 MB), so one task can grow all trees over it. Every row of the table is
+counted; what is given up is the resolution of thresholds (tenths of the rows) and outcomes (hundredths).
 """
 
 from __future__ import annotations
 
-import base64
 import pickle
-import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -29,10 +24,10 @@ from pyspark.sql import types as T
 
 from pricelens.session import ship_package
 
-#: Most tasks of the barrier stage; it also needs as many free slots as it has tasks.
-WORKERS = 64
-#: Values that a task offers per open rank and round of ``select_ranks``.
-OFFER = 64
+#: Bins of a feature and levels of the outcome. The counted table has n_bins ** features * n_levels rows at most.
+BINS, LEVELS = 10, 100
+#: A larger bound than this is refused.
+MOST_CELLS = 20_000_000
 
 TREE_SCHEMA = "quantile double, round int, node int, feature int, threshold double, value double"
 
@@ -118,165 +113,122 @@ class QuantileModel:
         return cls(list(features), list(quantiles), np.array([init[q] for q in quantiles if q in init]), feature, threshold, value, rate)
 
 
-def _offer(values: np.ndarray, cum: np.ndarray, most: int) -> np.ndarray:
-    """Positions of the distinct values to offer: all if few, else evenly by position and by weight, ends included."""
-    n = len(values)
-    if n <= most:
-        return np.arange(n)
-    even = np.linspace(0, n - 1, most // 2).astype(np.int64)
-    heavy = np.searchsorted(cum, np.linspace(1, cum[-1], most // 2))
-    return np.unique(np.concatenate([even, np.minimum(heavy, n - 1)]))
+def bin_of(x: Column, edges: Sequence[float]) -> Column:
+    """Number of the bin: how many edges lie below x."""
+    return sum(((x > F.lit(float(e))).cast("int") for e in edges), F.lit(0))
 
 
-def select_ranks(gather, parts: Sequence[np.ndarray], ranks: Sequence[int], offer: int = OFFER) -> np.ndarray:
-    """Exact order statistics over all tasks: the ranks[i]-th smallest (from 1) of the union of every task's parts[i].
-
-    Each round the tasks offer some of their distinct values with the counts up to them. That bounds the rank of every
-    offered value, and the range around the wanted rank narrows until no task holds anything back. A rank
-    below 1 gives NaN. All tasks get the same answer.
+def summarise(df: DataFrame, xs: Sequence[str], y: str, n_bins: int = BINS, n_levels: int = LEVELS) -> tuple[list[list[float]], list[float], DataFrame]:
+    """(bin edges per feature, values of the outcome levels, counted table cell / level / n) of all complete rows."""
+    if n_bins ** len(xs) * n_levels > MOST_CELLS:
+        raise ValueError(f"{n_bins} bins of {len(xs)} features and {n_levels} levels make more than {MOST_CELLS} cells")
+    cols = [F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate([*xs, y])]
+    rows = df.select(*cols)
+    rows = rows.where(" and ".join(f"c{i} is not null and not isnan(c{i})" for i in range(len(cols))))
+    cuts = [i / n_bins for i in range(1, n_bins)]
+    # Odd multiples of 1 / (2 n_levels) are the levels' values, even ones the borders between them.
+    halves = [i / (2 * n_levels) for i in range(1, 2 * n_levels)]
+    found = rows.agg(*[F.percentile_approx(f"c{i}", cuts if i < len(xs) else halves, 10_000).alias(f"p{i}") for i in range(len(cols))]).first()
+    edges = [sorted(set(found[f"p{i}"] or ())) for i in range(len(xs))]
+    borders = sorted(set((found[f"p{len(xs)}"] or ())[1::2]))
+    values = (found[f"p{len(xs)}"] or [])[::2]
+    # With ties some levels fall together: a level's value is the middle one of the values dealt to it.
+    dealt: dict[int, list[float]] = {}
+    for v in values:
+        dealt.setdefault(sum(v > b for b in borders), []).append(v)
+    cell, scale = F.lit(0), 1
+    for i, e in enumerate(edges):
+        cell = cell + bin_of(F.col(f"c{i}"), e) * F.lit(scale)
+        scale *= n_bins
+    level = F.size(F.filter(F.array(*[F.lit(b) for b in borders]).cast("array<double>"), lambda b: b < F.col(f"c{len(xs)}")))
+    counted = rows.select(cell.cast("int").alias("cell"), level.alias("level")).groupBy("cell", "level").agg(F.count("*").alias("n"))
+    levels, last = [], 0.0
+    for i in range(len(borders) + 1):  # a level no value was dealt to lies at its border
+        mine = dealt.get(i) or [borders[min(i, len(borders) - 1)] if borders else last]
+        levels.append(mine[len(mine) // 2])
+    return edges, levels, counted
+
+
+def weighted_ranks(values: np.ndarray, weights: np.ndarray, group: np.ndarray, n_groups: int, q: float) -> np.ndarray:
+    """Per group the ceil(q * n)-th smallest of its values, each value counting as often as its weight; 0 if empty."""
+    order = np.lexsort((values, group))
+    values, weights, group = values[order], weights[order], group[order]
+    run = np.cumsum(weights)
+    total = np.bincount(group, weights, n_groups)
+    before = np.concatenate([[0], np.cumsum(total)[:-1]])
+    at = np.searchsorted(run, before + np.maximum(1, np.ceil(q * total - 1e-9)) - 0.5)
+    return np.where(total > 0, values[np.minimum(at, len(values) - 1)], 0.0)
+
+
+def boost(cell: np.ndarray, level: np.ndarray, n: np.ndarray, edges: list[list[float]], levels: Sequence[float], quantiles: Sequence[float], rounds: int,
+          depth: int, rate: float, min_leaf: int, n_bins: int):
+    """(init, feature, threshold, value) of all quantiles from the counted table; arrays by quantile, round and node.
+
+    Each round fits a tree of least squares to q - 1[y < f] and sets every leaf to the q-quantile of y - f in it. Ties
+    of a split go to the first feature, then the lowest threshold.
     """
-    ranks = np.asarray(ranks, np.int64)
-    held = [np.unique(p, return_counts=True) for p in parts]
-    values, cums = [v for v, _ in held], [np.cumsum(c) for _, c in held]
-    low, high = np.zeros(len(held), np.int64), np.array([len(v) for v in values], np.int64)
-    answer, most = np.full(len(held), np.nan), np.full(len(held), offer)
-    todo = [i for i in range(len(held)) if ranks[i] >= 1]
-    while todo:
-        message = {}
-        for i in todo:
-            a, b = low[i], high[i]
-            gone = int(cums[i][a - 1]) if a else 0
-            window, cum = values[i][a:b], cums[i][a:b] - gone
-            at = _offer(window, cum, int(most[i]))
-            message[i] = (window[at], cum[at], cum[at - 1] * (at > 0) if len(at) else cum, gone, len(at) == len(window), int(cum[-1]) if len(cum) else 0)
-        everyone, left = gather(message), []
-        for i in todo:
-            mine = [m[i] for m in everyone]
-            r = int(ranks[i]) - sum(m[3] for m in mine)
-            v = np.concatenate([m[0] for m in mine])
-            up_to = np.concatenate([np.diff(m[1], prepend=0) for m in mine])
-            # Rows up to v at most: those below the next value that the task offered, all of them after its last.
-            at_most = np.concatenate([np.diff(np.append(m[2], m[5])) for m in mine if len(m[0])] or [np.zeros(0)])
-            order = np.argsort(v, kind="stable")
-            v, up_to, at_most = v[order], np.cumsum(up_to[order]), np.cumsum(at_most[order])
-            last = np.append(v[1:] != v[:-1], True)
-            v, up_to, at_most = v[last], up_to[last], at_most[last]
-            top = v[np.searchsorted(up_to, r)]
-            if all(m[4] for m in mine):
-                answer[i] = top
-                continue
-            below = int(np.searchsorted(at_most, r))  # values that surely lie below the rank
-            a, b = low[i], high[i]
-            high[i] = np.searchsorted(values[i], top, "right")
-            if below:
-                low[i] = np.searchsorted(values[i], v[below - 1], "right")
-            if top == v[-1] and not below:
-                most[i] *= 2  # nothing narrowed: offer more
-            left.append(i)
-        todo = left
-    return answer
-
-
-def _grow(gather, bins: np.ndarray, y: np.ndarray, edges: list[np.ndarray], quantiles: Sequence[float], init: np.ndarray, rounds: int, depth: int, rate: float, min_leaf: int):
-    """Trees of all quantiles, round by round: (feature, threshold, value) arrays by quantile, round and node."""
-    n_q, k, size = len(quantiles), len(edges), max(len(e) for e in edges) + 1
-    nodes = (2 << depth) - 1
+    k, y = len(edges), np.asarray(levels, float)
+    cells, row = np.unique(cell, return_inverse=True)
+    bins = np.array([cells // n_bins ** j % n_bins for j in range(k)])
+    size = np.bincount(row, n, len(cells))
+    upto = np.zeros((len(cells), len(y) + 1))  # rows of a cell below each level
+    np.add.at(upto, (row, level + 1), n)
+    upto = np.cumsum(upto, axis=1)
+    n_q, nodes = len(quantiles), (2 << depth) - 1
     feature, threshold, value = np.full((n_q, rounds, nodes), -1, np.int32), np.zeros((n_q, rounds, nodes)), np.zeros((n_q, rounds, nodes))
-    predicted = np.repeat(init[:, None], len(y), axis=1)
-    q = np.array(quantiles)[:, None, None, None]
-    for r in range(rounds):
-        node, below = np.zeros((n_q, len(y)), np.int64), y < predicted
-        for level in range(depth):
-            first, width = (1 << level) - 1, 1 << level
-            counts = np.zeros((2, n_q, width, k, size), np.int32)
-            for c in range(n_q):
-                here = np.flatnonzero(node[c] >= first)
-                cell = (node[c, here] - first) * size
-                for j in range(k):
-                    at = cell + bins[j, here]
-                    counts[0, c, :, j] = np.bincount(at, minlength=width * size).reshape(width, size)
-                    counts[1, c, :, j] = np.bincount(at[below[c, here]], minlength=width * size).reshape(width, size)
-            counts = np.sum([m.astype(np.int64) for m in gather(counts)], axis=0)
-            n, b = counts
-            n_all, n_left = n.sum(axis=-1, keepdims=True), np.cumsum(n, axis=-1)[..., :-1]
-            s_all, s_left = q * n_all - b.sum(axis=-1, keepdims=True), q * n_left - np.cumsum(b, axis=-1)[..., :-1]
-            n_right, s_right = n_all - n_left, s_all - s_left
-            with np.errstate(divide="ignore", invalid="ignore"):
-                gain = s_left ** 2 / n_left + s_right ** 2 / n_right - s_all ** 2 / n_all
-            gain = np.where((n_left >= min_leaf) & (n_right >= min_leaf), gain, 0.0).reshape(n_q, width, -1)
-            best = gain.argmax(axis=-1)
-            for c, w in zip(*np.nonzero(np.take_along_axis(gain, best[..., None], -1)[..., 0] > 1e-9)):
-                j, at = divmod(int(best[c, w]), size - 1)
-                feature[c, r, first + w], threshold[c, r, first + w] = j, edges[j][at]
-                mine = np.flatnonzero(node[c] == first + w)
-                node[c, mine] = 2 * (first + w) + 1 + (bins[j, mine] > at)
-        # Leaf values: the exact quantile of what is left of the target inside the leaf.
-        parts, keys, sizes = [], [], np.zeros((n_q, nodes), np.int64)
-        rest = y - predicted
-        for c in range(n_q):
-            order = np.argsort(node[c], kind="stable")
-            sizes[c] = np.bincount(node[c], minlength=nodes)
-            for leaf, part in enumerate(np.split(rest[c][order], np.cumsum(sizes[c])[:-1])):
-                if feature[c, r, leaf] < 0:
-                    keys.append((c, leaf))
-                    parts.append(part)
-        total = np.sum(gather(sizes), axis=0)
-        ranks = [int(np.ceil(quantiles[c] * total[c, leaf] - 1e-12)) if total[c, leaf] else 0 for c, leaf in keys]
-        ranks = [max(x, 1) if total[k] else 0 for x, k in zip(ranks, keys)]
-        for (c, leaf), found in zip(keys, select_ranks(gather, parts, ranks)):
-            value[c, r, leaf] = 0.0 if np.isnan(found) else found
-        for c in range(n_q):
-            predicted[c] += rate * value[c, r, node[c]]
-    return feature, threshold, value
-
-
-def boost(gather, x: np.ndarray, y: np.ndarray, quantiles: Sequence[float], rounds: int, depth: int, rate: float, min_leaf: int, n_bins: int):
-    """The fit as one task runs it over its rows; None if no task has rows."""
-    n = sum(gather(len(y)))
-    if not n:
-        return None
-    k = x.shape[1]
-    cuts = np.unique(np.maximum(1, np.arange(1, n_bins) * n // n_bins))
-    found = select_ranks(gather, [x[:, j] for j in range(k) for _ in cuts] + [y] * len(quantiles),
-                         [int(r) for _ in range(k) for r in cuts] + [max(1, int(np.ceil(q * n - 1e-12))) for q in quantiles])
-    edges = [np.unique(found[j * len(cuts):(j + 1) * len(cuts)]) for j in range(k)]
-    bins = np.array([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], np.int64).reshape(k, len(y))
-    init = found[k * len(cuts):]
-    pad = max(len(e) for e in edges)
-    edges = [np.append(e, np.full(pad - len(e), np.inf)) for e in edges]
-    return init, *_grow(gather, bins, y, edges, quantiles, init, rounds, depth, rate, min_leaf)
+    init = np.zeros(n_q)
+    for c, q in enumerate(quantiles):
+        init[c] = weighted_ranks(y[level], n, np.zeros(len(n), np.int64), 1, q)[0]
+        f = np.full(len(cells), init[c])
+        for r in range(rounds):
+            slope = q * size - upto[np.arange(len(cells)), np.searchsorted(y, f, "left")]
+            node = np.zeros(len(cells), np.int64)
+            for d in range(depth):
+                first, width = (1 << d) - 1, 1 << d
+                here = np.flatnonzero(node >= first)
+                at = (node[here] - first) * n_bins + bins[:, here]
+                count = np.stack([np.bincount(a, size[here], width * n_bins).reshape(width, n_bins) for a in at], 1)
+                total = np.stack([np.bincount(a, slope[here], width * n_bins).reshape(width, n_bins) for a in at], 1)
+                n_all, s_all = count.sum(-1, keepdims=True), total.sum(-1, keepdims=True)
+                n_left, s_left = np.cumsum(count, -1)[..., :-1], np.cumsum(total, -1)[..., :-1]
+                n_right, s_right = n_all - n_left, s_all - s_left
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    gain = s_left ** 2 / n_left + s_right ** 2 / n_right - s_all ** 2 / n_all
+                gain = np.where((n_left >= min_leaf) & (n_right >= min_leaf), gain, 0.0).reshape(width, -1)
+                # Equal gains differ by rounding: anything within a millionth of the best counts as best.
+                best = (gain >= gain.max(-1, keepdims=True) * (1 - 1e-6)).argmax(-1)
+                moves = np.full(nodes, -1), np.zeros(nodes, np.int64)
+                for w in np.flatnonzero(gain.max(-1) > 1e-9):
+                    j, cut = divmod(int(best[w]), n_bins - 1)
+                    feature[c, r, first + w], threshold[c, r, first + w] = j, edges[j][cut]
+                    moves[0][first + w], moves[1][first + w] = j, cut
+                j = moves[0][node]
+                split = np.flatnonzero(j >= 0)
+                node[split] = 2 * node[split] + 1 + (bins[j[split], split] > moves[1][node[split]])
+            found = weighted_ranks(y[level] - f[row], n, node[row], nodes, q)
+            leaf = feature[c, r] < 0
+            value[c, r, leaf] = found[leaf]
+            f = f + rate * value[c, r, node]
+    return init, feature, threshold, value
 
 
 def fit_quantiles(df: DataFrame, xs: Sequence[str], y: str, quantiles: Sequence[float], rounds: int = 100, depth: int = 6, rate: float = 0.1,
-                  min_leaf: int = 10, n_bins: int = 64, workers: int | None = None) -> QuantileModel:
-    """Fit on all complete rows of ``df`` (nulls and NaN in a feature or the target leave a row out). The trees are the same
-    for any number of ``workers``. Ties of a split go to the first feature, then the lowest threshold. Extra
-    columns are ignored; an empty table gives a model whose predictions are null."""
-    spark = df.sparkSession
-    ship_package(spark)
+                  min_leaf: int = 10, n_bins: int = BINS, n_levels: int = LEVELS) -> QuantileModel:
+    """Fit on all complete rows of ``df`` (nulls and NaN in a feature or the target leave a row out). Extra columns
+    are ignored; an empty table gives a model whose predictions are null."""
+    ship_package(df.sparkSession)
     xs, quantiles = list(xs), [float(q) for q in quantiles]
-    cols = [F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate([*xs, y])]
-    rows = df.select(*cols)
-    rows = rows.where(" and ".join(f"c{i} is not null and not isnan(c{i})" for i in range(len(cols))))
-    tasks = min(workers or WORKERS, spark.sparkContext.defaultParallelism)
+    edges, levels, counted = summarise(df, xs, y, n_bins, n_levels)
 
     def run(batches):
         import pyarrow as pa
-        from pyspark import BarrierTaskContext
-        ctx = BarrierTaskContext.get()
-
-        def gather(mine):
-            texts = ctx.allGather(base64.b64encode(zlib.compress(pickle.dumps(mine, 5), 1)).decode())
-            return [pickle.loads(zlib.decompress(base64.b64decode(t))) for t in texts]
-
-        parts = [np.column_stack([c.to_numpy() for c in b.columns]) for b in batches]
-        data = np.concatenate(parts) if parts else np.zeros((0, len(xs) + 1))
-        found = boost(gather, data[:, :-1], data[:, -1], quantiles, rounds, depth, rate, min_leaf, n_bins)
-        if found is not None and ctx.partitionId() == 0:
+        parts = [[c.to_numpy() for c in b.columns] for b in batches]
+        if parts:
+            found = boost(*[np.concatenate(c).astype(np.int64) for c in zip(*parts)], edges, levels, quantiles, rounds, depth, rate, min_leaf, n_bins)
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(found, 5)], pa.binary())], ["model"])
 
     # One row with quantiles x rounds x 2^(depth + 1) nodes, whatever the table.
-    got = rows.repartition(tasks).mapInArrow(run, "model binary", barrier=True).collect()
+    got = counted.repartition(1).mapInArrow(run, "model binary").collect()
     shape = (len(quantiles), rounds, (2 << depth) - 1)
     empty = (np.zeros(0), np.full(shape, -1, np.int32), np.zeros(shape), np.zeros(shape))
     init, feature, threshold, value = pickle.loads(got[0].model) if got else empty

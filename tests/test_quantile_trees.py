@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from pricelens.operators import quantile_trees as qt
 
-ALONE = lambda message: [message]
-
-
 @pytest.fixture(scope="module")
 def frame():
     rng = np.random.default_rng(4)
@@ -22,82 +19,66 @@ def frame():
     return f
 
 
-def in_threads(parts, task):
-    """Run one task per part; `gather` waits for all of them, as the barrier stage does."""
-    import threading
-    wall, box, out = threading.Barrier(len(parts)), [None] * len(parts), [None] * len(parts)
-
-    def run(i):
-        def gather(message):
-            box[i] = message
-            wall.wait()
-            got = list(box)
-            wall.wait()
-            return got
-        out[i] = task(gather, parts[i])
-    threads = [threading.Thread(target=run, args=(i,)) for i in range(len(parts))]
-    [t.start() for t in threads]
-    [t.join() for t in threads]
-    return out
-
-
-@pytest.mark.parametrize("seed", range(8))
-def test_selection_equals_sorting(seed):
-    rng = np.random.default_rng(seed)
-    whole = [rng.normal(0, 1, 5000), np.repeat(rng.integers(0, 3, 40), 100).astype(float), np.zeros(0), np.array([3.0]),
-             np.concatenate([np.full(3000, 7.0), rng.uniform(0, 14, 500)]), rng.integers(0, 900, 4000).astype(float)]
-    ranks = [int(rng.integers(1, len(w) + 1)) if len(w) else 0 for w in whole]
-    cuts = [np.sort(rng.integers(0, len(w) + 1, 4)) for w in whole]
-    parts = [[np.split(w, c)[t] for w, c in zip(whole, cuts)] for t in range(5)]
-    got = in_threads(parts, lambda gather, part: qt.select_ranks(gather, part, ranks, offer=8))
-    want = [np.sort(w)[r - 1] if r else math.nan for w, r in zip(whole, ranks)]
-    assert all(np.array_equal(g, want, equal_nan=True) for g in got)
-
-
-def plain_trees(f, xs, y, quantiles, rounds, depth, rate, min_leaf, n_bins):
+def plain_trees(x, y, edges, quantiles, rounds, depth, rate, min_leaf):
     """The same boosting, written row by row: predictions of the training rows per quantile."""
-    n, rank = len(f), lambda v, q: np.sort(v)[max(1, math.ceil(q * len(v) - 1e-12)) - 1]
-    edges = {x: sorted({np.sort(f[x])[max(1, i * n // n_bins) - 1] for i in range(1, n_bins)}) for x in xs}
+    n, rank = len(y), lambda v, q: np.sort(v)[max(1, math.ceil(q * len(v) - 1e-9)) - 1]
     out = []
     for q in quantiles:
-        pred = np.full(n, rank(f[y], q))
+        pred = np.full(n, rank(y, q))
         for _ in range(rounds):
-            g = q - (f[y].to_numpy() < pred)
+            g = q - (y < pred)
             groups = [np.arange(n)]
             for _ in range(depth):
                 after = []
                 for rows in groups:
-                    best = (1e-9, None)
-                    for x in xs:
-                        for e in edges[x]:
-                            left = f[x].to_numpy()[rows] <= e
+                    splits = []
+                    for j, cuts in enumerate(edges):
+                        for e in cuts:
+                            left = x[rows, j] <= e
                             nl = int(left.sum())
                             if min(nl, len(rows) - nl) >= min_leaf:
                                 sl, s = g[rows][left].sum(), g[rows].sum()
-                                gain = sl ** 2 / nl + (s - sl) ** 2 / (len(rows) - nl) - s ** 2 / len(rows)
-                                if gain > best[0] + 1e-9:
-                                    best = (gain, left)
-                    after += [rows] if best[1] is None else [rows[best[1]], rows[~best[1]]]
+                                splits.append((sl ** 2 / nl + (s - sl) ** 2 / (len(rows) - nl) - s ** 2 / len(rows), left))
+                    top = max((gain for gain, _ in splits), default=0.0)
+                    if top > 1e-9:
+                        left = next(left for gain, left in splits if gain >= top * (1 - 1e-6))
+                        after += [rows[left], rows[~left]]
+                    else:
+                        after.append(rows)
                 groups = after
+            step = np.zeros(n)
             for rows in groups:
-                pred[rows] += rate * rank(f[y].to_numpy()[rows] - pred[rows], q)
+                step[rows] = rate * rank(y[rows] - pred[rows], q)
+            pred = pred + step
         out.append(pred)
     return np.column_stack(out)
 
 
 def test_trees_equal_a_plain_implementation(spark, frame):
-    m = qt.fit_quantiles(spark.createDataFrame(frame), ["a", "b", "c"], "y", [0.1, 0.5, 0.9], rounds=4, depth=3, n_bins=12, workers=4)
-    want = plain_trees(frame, ["a", "b", "c"], "y", [0.1, 0.5, 0.9], 4, 3, 0.1, 10, 12)
-    np.testing.assert_allclose(m.predict(frame[["a", "b", "c"]].to_numpy()), want, rtol=0, atol=1e-9)
-
-
-def test_trees_do_not_depend_on_the_dealing(spark, frame):
-    df = spark.createDataFrame(frame)
-    fits = [qt.fit_quantiles(d, ["a", "b", "c"], "y", [0.25, 0.75], rounds=5, depth=4, workers=w)
-            for d, w in ((df, 1), (df.orderBy(F.rand(3)), 4), (df.coalesce(1), 3))]
-    for other in fits[1:]:
-        for name in ("init", "feature", "threshold", "value"):
-            assert np.array_equal(getattr(fits[0], name), getattr(other, name))
+    df, xs = spark.createDataFrame(frame).repartition(3), ["a", "b", "c"]
+    edges, levels, counted = qt.summarise(df, xs, "y", 8, 30)
+    borders = sorted({v for v in df.agg(F.percentile_approx("y", [i / 30 for i in range(1, 30)], 10_000)).first()[0]})
+    assert counted.agg(F.sum("n")).first()[0] == len(frame)
+    y = np.array(levels)[np.searchsorted(borders, frame.y, "left")]
+    assert np.mean(np.abs(y - frame.y)) < 0.1
+    m = qt.fit_quantiles(df, xs, "y", [0.1, 0.5, 0.9], rounds=6, depth=3, n_bins=8, n_levels=30)
+    x = frame[xs].to_numpy()
+    np.testing.assert_allclose(m.predict(x), plain_trees(x, y, edges, [0.1, 0.5, 0.9], 6, 3, 0.1, 10), rtol=0, atol=1e-9)
+
+
+def test_weighted_ranks_equal_repeating():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        v, w, g = rng.integers(0, 9, 40).astype(float), rng.integers(1, 6, 40), rng.integers(0, 4, 40)
+        got = qt.weighted_ranks(v, w, g, 6, 0.3)
+        for i in range(6):
+            whole = np.sort(np.repeat(v[g == i], w[g == i]))
+            assert got[i] == (whole[math.ceil(0.3 * len(whole) - 1e-9) - 1] if len(whole) else 0.0)
+
+
+def test_too_many_cells_are_refused(spark, frame):
+    with pytest.raises(ValueError):
+        qt.summarise(spark.createDataFrame(frame), ["a", "b", "c", "a", "b", "c", "a", "b"], "y")
 
 
 def test_bands_cover_what_they_say(spark, frame):
