@@ -135,9 +135,9 @@ def integer_price_grid(model: ScoringModel, values: dict, price: Column, goal: C
         v["avg_reward_price"] = p.cast("double")
         return F.greatest(F.lit(0.0), model.predict(v)) * goal
 
-    exp = F.transform(grid, funding)
-    best_scan = F.array_max(exp)
-    opt_scan = F.when(F.size(grid) > 0, F.element_at(grid, F.array_position(exp, best_scan).cast("int")))
+    # One walk over the grid: the largest (funding, -price) is the greatest funding at its lowest price.
+    best_pair = F.array_max(F.transform(grid, lambda p: F.struct(funding(p).alias("funding"), (-p).alias("minus_price"))))
+    opt_scan, best_scan = -best_pair["minus_price"], best_pair["funding"]
     if float(model.coefs.get("avg_reward_price", 0.0)) <= 0.0:
         monotone = goal >= 0
         opt = F.when(size == 0, F.lit(None).cast("int")).when(monotone, lo).otherwise(opt_scan)
