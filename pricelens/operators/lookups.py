@@ -1,8 +1,8 @@
 """Lookups into an interest series and nearest neighbours.
 
-The interest series is a daily activity index derived from the ``events`` table (R3). Lookups go
-through a *calendar table* — one row per day of the covered range, so its size is bounded by the
-calendar, not by the data — that is broadcast-joined on the launch day.
+The interest series is a daily activity index derived from the ``events`` table (R3). Day lookups (J2, J4) merge
+the distinct days of both sides in buckets of days: no calendar is filled in, so a date far off costs one row, and
+the days are joined back through ``join_small``, which broadcasts them only after counting.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pricelens.operators.joins import join_small
+
 DEFAULT_TREND = 50
 
 
@@ -22,33 +24,40 @@ def daily_interest(events: DataFrame, ts: str = "ts") -> DataFrame:
     return d.select("day", F.floor(F.lit(100) * F.col("n") / mx["m"]).cast("int").alias("interest"))
 
 
-def calendar(rng: DataFrame) -> DataFrame:
-    """One row per day between the ``lo`` and ``hi`` dates of a one-row frame."""
-    return rng.select(F.explode(F.sequence(F.col("lo"), F.col("hi"))).alias("day"))
+#: Days in one bucket of the day merges.
+BUCKET_DAYS = 256
+
+
+def _days(df: DataFrame, ts: str) -> DataFrame:
+    return df.select(F.to_date(ts).alias("day")).where("day is not null").distinct()
+
+
+def _map_days(df: DataFrame, ts: str, table: DataFrame, out: str, default: int) -> DataFrame:
+    """``table`` (day, out) joined back to the rows on their day; rows without one get the default."""
+    j = join_small(df.withColumn("_day", F.to_date(ts)), table.withColumnRenamed("day", "_day"), "_day").drop("_day")
+    return j.withColumn(out, F.coalesce(F.col(out), F.lit(default)))
 
 
 def nearest_lookup(df: DataFrame, ts: str, series: DataFrame, value: str, out: str,
                    default: int = DEFAULT_TREND) -> DataFrame:
     """Value of the series point nearest in days to the row's date (tie → earlier), else default.
 
-    Built as a calendar table over [min, max] of both inputs (≤ one row per day), filled forward
-    and backward with ignore-nulls windows on that small table, then equi-joined on the day."""
-    days = df.select(F.to_date(ts).alias("day"))
-    rng = days.unionByName(series.select("day")).agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    cal = calendar(rng).join(series.select("day", F.col(value).alias("_v")), "day", "left")
-    w_prev = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    w_next = Window.orderBy("day").rowsBetween(0, Window.unboundedFollowing)
-    cal = (cal.withColumn("_pd", F.last(F.when(F.col("_v").isNotNull(), F.col("day")), True).over(w_prev))
-           .withColumn("_pv", F.last("_v", True).over(w_prev))
-           .withColumn("_nd", F.first(F.when(F.col("_v").isNotNull(), F.col("day")), True).over(w_next))
-           .withColumn("_nv", F.first("_v", True).over(w_next)))
-    dp, dn = F.datediff("day", "_pd"), F.datediff("_nd", "day")
-    pick = (F.when(F.col("_pv").isNull() & F.col("_nv").isNull(), F.lit(default))
-            .when(F.col("_nv").isNull(), F.col("_pv")).when(F.col("_pv").isNull(), F.col("_nv"))
-            .when(dp <= dn, F.col("_pv")).otherwise(F.col("_nv")))
-    table = F.broadcast(cal.select(F.col("day").alias("_day"), pick.alias(out)))  # bounded by calendar days
-    j = df.join(table, F.to_date(ts) == F.col("_day"), "left").drop("_day")
-    return j.withColumn(out, F.coalesce(F.col(out), F.lit(default)))
+    An as-of merge of two sorted sets of days: both are cut into buckets of days, each bucket is merged by itself, and
+    its first and last points are carried over the edges through a table of one row a bucket. Series points without a
+    value are no points; a null date and an empty series give the default. ``series`` has one row a day."""
+    points = series.where(F.col(value).isNotNull()).select("day", F.struct("day", F.col(value).alias("v")).alias("_p"))
+    merged = _days(df, ts).join(points, "day", "full").withColumn("_b", F.floor(F.unix_date("day") / F.lit(BUCKET_DAYS)))
+    edges = merged.groupBy("_b").agg(F.min("_p").alias("_first"), F.max("_p").alias("_last"))
+    over = Window.orderBy("_b")  # one row a bucket: dates of 10,000 years make 14,300 of them
+    edges = edges.select("_b", F.max("_last").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+                         F.min("_first").over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    inside = Window.partitionBy("_b").orderBy("day")
+    near = merged.join(edges, "_b").select(
+        "day", F.coalesce(F.last("_p", True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), "_before").alias("_l"),
+        F.coalesce(F.first("_p", True).over(inside.rowsBetween(0, Window.unboundedFollowing)), "_after").alias("_r"))
+    left, right = F.datediff("day", F.col("_l.day")), F.datediff(F.col("_r.day"), "day")
+    pick = F.when(F.col("_r").isNull() | (left <= right), F.col("_l.v")).otherwise(F.col("_r.v"))
+    return _map_days(df, ts, near.select("day", pick.alias(out)), out, default)
 
 
 def month_lookup(df: DataFrame, key: str, ts: str, monthly: DataFrame, out: str,
@@ -65,16 +74,15 @@ def window_mean_lookup(df: DataFrame, ts: str, series: DataFrame, value: str, ou
                        default: int = DEFAULT_TREND) -> DataFrame:
     """int(mean series value over [date − days, date + days]); default when no points.
 
-    A range window over the calendar table (one row per day, series values equi-joined on), so the
-    frame spans days, not rows; the result is broadcast back by day (bounded by the calendar)."""
-    dates = df.select(F.to_date(ts).alias("day"))
-    rng = dates.agg(F.date_sub(F.min("day"), days).alias("lo"), F.date_add(F.max("day"), days).alias("hi"))
-    cal = calendar(rng).join(series.select("day", F.col(value).alias("_v")), "day", "left")
-    w = Window.orderBy(F.unix_date("day")).rangeBetween(-days, days)
-    means = cal.withColumn("_m", F.avg("_v").over(w))
-    table = F.broadcast(means.select(F.col("day").alias("_day"),
-                                     F.coalesce(F.col("_m").cast("int"), F.lit(default)).alias(out)))
-    return df.join(table, F.to_date(ts) == F.col("_day"), "left").drop("_day")
+    Each series point is copied to the buckets of days its window reaches into; a range frame over the days of one
+    bucket then sees every point it needs. Null dates get the default."""
+    bucket = lambda d: F.floor(F.unix_date(d) / F.lit(BUCKET_DAYS))
+    asked = _days(df, ts).select("day", F.lit(None).cast("double").alias("_v"), bucket("day").alias("_b"), F.lit(True).alias("_asked"))
+    points = series.select("day", F.col(value).cast("double").alias("_v"), F.explode(F.sequence(
+        bucket(F.date_sub("day", days)), bucket(F.date_add("day", days)))).alias("_b"), F.lit(False).alias("_asked"))
+    w = Window.partitionBy("_b").orderBy(F.unix_date("day")).rangeBetween(-days, days)
+    means = asked.unionByName(points).withColumn("_m", F.avg("_v").over(w)).where("_asked")
+    return _map_days(df, ts, means.select("day", F.col("_m").cast("int").alias(out)), out, default)
 
 
 #: Query points of one block and history rows of one chunk: what one step of ``knn`` holds in memory.

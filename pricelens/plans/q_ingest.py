@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pricelens.plans.common import campaigns
 from pricelens.plans.registry import query
 from pricelens.plans.sql import r6 as s6
 from pricelens.plans.sql import with_views
-from pricelens.sources import derived, ingest
+from pricelens.sources import catalogue, derived, ingest
 from pricelens.sources.tables import read_table
 
 
@@ -368,7 +369,10 @@ def s15_epoch(spark, sf_dir):
 
 # --- S1 / S2 / S3 / S5: file scans ---------------------------------------------------------------
 
-@query("s1_s5_csv_scan")
+@query("s1_s5_csv_scan", with_views("""
+SELECT count(*) AS rows, count(DISTINCT id) AS distinct_ids, count(*) FILTER (WHERE id % 5 = 0) AS accented_names,
+       CAST(sum(length(name) + CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS name_chars,
+       0::BIGINT AS replacement_chars FROM _raw""", derived.RAW_SQL))
 def s1_s5_csv_scan(spark, sf_dir):
     """The raw dump written as header CSV files — UTF-8 in one folder, Latin-1 snapshots in a
     sub-folder — then read back recursively in one scan with the encoding fallback: accented names
@@ -386,7 +390,73 @@ def s1_s5_csv_scan(spark, sf_dir):
         f"{base}/dump/snapshots")
     back = ingest.normalise_columns(ingest.read_csv_with_fallback(spark, f"{base}/dump", recursive=True,
                                                                   glob="*.csv"))
-    return back.agg(F.countDistinct("_source_file").alias("files"), F.count(F.lit(1)).alias("rows"),
-                    F.countDistinct("id").alias("distinct_ids"),
+    return back.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("id").alias("distinct_ids"),
+                    F.coalesce(F.sum(F.length("name")), F.lit(0)).alias("name_chars"),
                     F.count_if(F.col("name").endswith("é")).alias("accented_names"),
                     F.count_if(F.col("name").contains("�")).alias("replacement_chars"))
+
+
+# --- S3 / S4 / S5 / K6: file catalogue ---------------------------------------------------------------
+
+def _dumps(spark, sf_dir, name):
+    from pricelens.session import scratch_path
+    camp = campaigns(spark, sf_dir).select("project_id", "status", "funding_goal")
+    return camp, scratch_path(spark, f"{name}-{uuid.uuid4().hex[:8]}")
+
+
+def _write_csv(df, path):
+    df.write.option("header", True).csv(path)
+
+
+@query("s3_s4_source_pick", with_views("""
+SELECT 'largest_first' AS step, CAST(r AS INTEGER) AS source_rank, count(*) AS n, CAST(sum(project_id) AS BIGINT) AS id_sum
+FROM (SELECT project_id, unnest(CASE WHEN project_id % 4 = 0 THEN [1, 3] ELSE [1, 2] END) AS r FROM campaign) GROUP BY ALL
+UNION ALL SELECT 'main_dump', 1, count(*), CAST(sum(project_id) AS BIGINT) FROM campaign WHERE project_id % 4 <> 0
+UNION ALL SELECT 'first_existing', 1, count(*), CAST(sum(project_id) AS BIGINT) FROM campaign WHERE project_id % 4 = 0"""))
+def s3_s4_source_pick(spark, sf_dir):
+    """Three dumps under two roots (a third root does not exist): all of them largest first with the rows of each, the
+    main dump by root, pattern and size, and the first path that exists."""
+    camp, base = _dumps(spark, sf_dir, "dumps")
+    fourth = F.pmod("project_id", F.lit(4)) == 0
+    _write_csv(camp.where(~fourth), f"{base}/raw/kickstarter-2021.csv")
+    _write_csv(camp.where(fourth), f"{base}/raw/kickstarter-small.csv")
+    _write_csv(camp, f"{base}/ks-projects-all.csv")
+    src = catalogue.sources(catalogue.file_catalogue(spark, [f"{base}/raw/kaggle", f"{base}/raw", base]))
+    schema = camp.schema
+
+    def tally(rows, step):
+        return rows.groupBy(F.lit(step).alias("step"), "source_rank").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("project_id").alias("id_sum"))
+
+    ranked = catalogue.read_ranked(spark, catalogue.largest_first(src), "source_rank", schema)
+    main = ingest.read_csv_dump(spark, catalogue.pick_dump(src), schema)
+    first = ingest.read_csv_dump(spark, catalogue.first_existing(
+        spark, [f"{base}/raw/kickstarter_raw.csv", f"{base}/raw/kickstarter-small.csv", f"{base}/ks-projects-all.csv"]), schema)
+    one = F.lit(1).alias("source_rank")
+    return tally(ranked, "largest_first").unionByName(tally(main.select("project_id", one), "main_dump")).unionByName(
+        tally(first.select("project_id", one), "first_existing"))
+
+
+# Months of the derived snapshots: two a year, so that "the first of each year" leaves some out.
+_SNAPSHOTS = ["2021-03", "2021-11", "2022-02", "2022-07", "2023-01"]
+
+
+@query("s5_k6_snapshots", with_views(f"""
+, _s AS (SELECT project_id, funding_goal * (1.0::DOUBLE + k / 10.0::DOUBLE) AS goal, k + 1 AS ordinal, s
+         FROM campaign, (SELECT unnest({_SNAPSHOTS}) AS s, unnest(range({len(_SNAPSHOTS)})) AS k) WHERE (project_id + k) % 3 <> 0),
+_u AS (SELECT 'all' AS scope, * FROM _s UNION ALL SELECT 'first_of_year', * FROM _s WHERE s IN ('2021-03', '2022-02', '2023-01'))
+SELECT scope, project_id, CAST(max(ordinal) AS INTEGER) AS ordinal, {s6('arg_max(goal, ordinal)')} AS goal FROM _u GROUP BY scope, project_id"""))
+def s5_k6_snapshots(spark, sf_dir):
+    """Five monthly snapshots, each with two thirds of the campaigns at other goals, found by the catalogue: the newest
+    copy of every campaign over all of them, and over the first snapshot of each year alone."""
+    camp, base = _dumps(spark, sf_dir, "snapshots")
+    for k, month in enumerate(_SNAPSHOTS):
+        _write_csv(camp.where(F.pmod(F.col("project_id") + k, F.lit(3)) != 0).select(
+            "project_id", (F.col("funding_goal") * (F.lit(1.0) + F.lit(k) / F.lit(10.0))).alias("goal")), f"{base}/Kickstarter_{month}.csv")
+    src = catalogue.sources(catalogue.file_catalogue(spark, [base]))
+    out = []
+    for scope, chosen in (("all", catalogue.snapshot_order(src)), ("first_of_year", catalogue.first_snapshots(src, 1))):
+        rows = catalogue.read_ranked(spark, chosen, "ordinal", "project_id long, goal double")
+        last = ingest.dedup_keep(rows, "project_id", ["ordinal"], "last")
+        out.append(last.select(F.lit(scope).alias("scope"), "project_id", "ordinal", r6("goal").alias("goal")))
+    return out[0].unionByName(out[1])

@@ -44,29 +44,39 @@ def r2_dedup(spark, sf_dir):
     """Keep-first across micro-batches: three copies per campaign (null ids are one group) arrive in three files, one
     after another; the copy of the first file stays."""
     p = inc.stream_paths(spark, f"r2-{uuid.uuid4().hex[:8]}")
-    cp = derived.copies(campaigns(spark, sf_dir)).withColumn(
-        "event_time", F.timestamp_seconds(F.col("row_in_file")).cast("timestamp"))
+    cp = derived.copies(campaigns(spark, sf_dir))
     for rank in (1, 2, 3):
         cp.where(F.col("file_rank") == rank).write.mode("append").parquet(p["source"])
-        out = inc.dedup_stream(spark, p["source"], cp.schema, "id", "event_time", p["sink"], p["checkpoint"], max_files_per_trigger=None)
+        out = inc.dedup_stream(spark, p["source"], cp.schema, "id", "row_in_file", p["sink"], p["checkpoint"], max_files_per_trigger=None)
     return out.agg(F.count(F.lit(1)).alias("rows_kept"), F.countDistinct(F.coalesce("id", F.lit(-1))).alias("distinct_ids"),
                    F.count(F.when(F.col("file_rank") == 1, 1)).alias("from_first_file"))
 
 
-@query("r3_activity")
+_ACTIVITY_SQL = with_views("""
+, _c AS (SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL)
+SELECT window_start, event_type, n,
+       CAST(floor(100 * n / max(n) OVER (PARTITION BY event_type)) AS INTEGER) AS activity_index FROM _c""")
+
+
+@query("r3_activity", _ACTIVITY_SQL)
 def r3_activity(spark, sf_dir):
-    """Windowed activity index from a file stream of events (watermarked, append mode)."""
-    p = inc.stream_paths(spark, "r3")
-    ev = read_table(spark, sf_dir, "events").select("ts", "event_type", "value")
-    ev = ev.withColumn("ts", F.col("ts").cast("timestamp"))
-    ev.repartition(4).write.mode("overwrite").parquet(p["source"])
-    return inc.activity_stream(spark, p["source"], ev.schema, p["sink"], p["checkpoint"])
+    """Windowed activity index from a file stream of events in update mode. The events arrive in four parts by time;
+    every other event of a part's last 12 hours comes with the next part, inside the watermark of a day."""
+    p = inc.stream_paths(spark, f"r3-{uuid.uuid4().hex[:8]}")
+    ev = read_table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value", "event_id")
+    span = ev.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).select(F.struct("lo", "hi")).scalar()
+    step = (F.unix_micros(span["hi"]) - F.unix_micros(span["lo"])) / F.lit(4) + F.lit(1)
+    at = (F.unix_micros("ts") - F.unix_micros(span["lo"])) / step
+    held = (F.pmod("event_id", F.lit(2)) == 0) & (F.floor(at + F.lit(12 * 3600 * 1_000_000) / step) > F.floor(at))
+    part = F.coalesce(F.least(F.floor(at) + held.cast("int"), F.lit(3)), F.lit(0))
+    schema = ev.schema
+    for i in range(4):
+        ev.where(part == i).write.mode("append").parquet(p["source"])
+        out = inc.activity_stream(spark, p["source"], schema, p["sink"], p["checkpoint"])
+    return out
 
 
-@query("r3_activity_batch", with_views("""
-, _c AS (SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL)
-SELECT window_start, event_type, n,
-       CAST(floor(100 * n / max(n) OVER (PARTITION BY event_type)) AS INTEGER) AS activity_index FROM _c"""))
+@query("r3_activity_batch", _ACTIVITY_SQL)
 def r3_activity_batch(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return inc.scale_activity(inc.activity_counts(ev))

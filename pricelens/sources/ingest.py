@@ -14,12 +14,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pricelens.operators.joins import join_small
 from pricelens.functions.exprs import c, flag, floor_days_between, hash_unit, round_to, safe_div
 
 # --- S1 / S2 / S3 / S5: file scans -----------------------------------------------------------
 
 
-def read_csv_dump(spark, path: str, schema=None, recursive: bool = False, glob: str | None = None,
+def read_csv_dump(spark, path: str | Sequence[str], schema=None, recursive: bool = False, glob: str | None = None,
                   encoding: str = "UTF-8") -> DataFrame:
     """Header CSV scan (many files or a folder tree at once), with the source file
     path and size kept so callers can rank sources (largest first) and snapshots (by name)."""
@@ -29,30 +30,34 @@ def read_csv_dump(spark, path: str, schema=None, recursive: bool = False, glob:
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    df = reader.csv(path)
+    df = reader.csv(path if isinstance(path, str) else list(path))
     return df.withColumn("_source_file", F.col("_metadata.file_path")).withColumn(
         "_source_size", F.col("_metadata.file_size"))
 
 
-def read_csv_with_fallback(spark, path: str, recursive: bool = False, glob: str | None = None) -> DataFrame:
-    """Read as UTF-8; files holding U+FFFD (undecodable bytes) are re-read as Latin-1.
+def read_csv_with_fallback(spark, path: str | Sequence[str], recursive: bool = False, glob: str | None = None) -> DataFrame:
+    """UTF-8, and Latin-1 for the files that hold bytes which are no UTF-8.
 
-    Latin-1 never fails, so the reference's third encoding is unreachable and omitted.
+    The files are scanned as Latin-1, which maps every byte to one character and back, so a text's bytes are at hand:
+    one pass finds, per file, whether all its texts are valid UTF-8; the files' verdicts are joined to the rows on the
+    path (a table of one row a file) and the texts of good files are decoded. One schema serves all files, a dump that
+    is Latin-1 throughout works, and no list of paths is built. Latin-1 never fails, so the reference's third encoding
+    is unreachable and omitted. Null texts stay null; a file without rows gives none.
     """
-    utf = read_csv_dump(spark, path, recursive=recursive, glob=glob)
-    text_cols = [f.name for f in utf.schema.fields if f.dataType.simpleString() == "string"
-                 and not f.name.startswith("_source")]
-    bad_cond = reduce(lambda a, b: a | b, [F.col(x).contains("�") for x in text_cols], F.lit(False))
-    bad_files = utf.where(bad_cond).select("_source_file").distinct()
-    good = utf.join(bad_files, "_source_file", "left_anti")
-    bad_paths = [r[0] for r in bad_files.collect()]  # file names only: metadata, one row per bad file
-    if not bad_paths:
-        return good
-    latin = spark.read.option("header", True).option("encoding", "ISO-8859-1").option(
-        "inferSchema", True).csv(bad_paths)
-    latin = latin.withColumn("_source_file", F.col("_metadata.file_path")).withColumn(
-        "_source_size", F.col("_metadata.file_size"))
-    return good.unionByName(latin, allowMissingColumns=True)
+    raw = read_csv_dump(spark, path, recursive=recursive, glob=glob, encoding="ISO-8859-1")
+    names = []
+    for n in raw.columns:  # the header line: a byte order mark goes
+        try:
+            names.append(n.encode("latin-1").decode("utf-8-sig"))
+        except UnicodeError:
+            names.append(n)
+    raw = raw.toDF(*names)
+    texts = [f.name for f in raw.schema.fields if f.dataType.simpleString() == "string" and not f.name.startswith("_source")]
+    bytes_of = {n: F.encode(c(n), "ISO-8859-1").cast("string") for n in texts}
+    valid = reduce(lambda a, b: a & b, [F.coalesce(F.is_valid_utf8(x), F.lit(True)) for x in bytes_of.values()], F.lit(True))
+    files = raw.groupBy("_source_file").agg(F.bool_and(valid).alias("_utf8"))
+    out = join_small(raw, files, "_source_file")
+    return out.select(*[F.when(F.col("_utf8"), bytes_of[n]).otherwise(c(n)).alias(n) if n in bytes_of else c(n) for n in names])
 
 
 # --- S6-S10: schema harmonisation --------------------------------------------------------------

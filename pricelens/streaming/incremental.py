@@ -2,9 +2,9 @@
 
 * R1 — exactly-once incremental ingestion of campaign files: a file-source stream with a
   checkpoint and ``trigger(availableNow=True)``; a second run finds no new files and adds nothing.
-* R2 — keep-first dedup across micro-batches: ``dropDuplicatesWithinWatermark`` on the id.
-* R3 — activity index per event type and day (watermarked; complete output through foreachBatch
-  so the open last window is included); the 0-100 scaling is applied when the aggregate is read.
+* R2 — keep-first dedup across micro-batches against the keys already in the sink; no streaming state.
+* R3 — activity index per event type and day: watermarked counts in update mode, one folder a
+  micro-batch, the newest count of a window wins on read, where the 0-100 scaling is applied.
 
 All state and checkpoints live under the shared checkpoint folder (``spark.checkpoint.dir``).
 """
@@ -30,18 +30,47 @@ def ingest_files(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint
     return spark.read.parquet(sink_dir).count()
 
 
-def dedup_stream(spark: SparkSession, source_dir: str, schema, key: str, event_time: str, sink_dir: str,
-                 checkpoint: str, delay: str = "3650 days", max_files_per_trigger: int | None = 1) -> DataFrame:
-    """R2: first copy of each key wins across micro-batches (null keys are one group; state bounded by the
-    watermark delay). Files read in one batch have no order: None takes all files that have arrived together."""
+def path_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def dedup_stream(spark: SparkSession, source_dir: str, schema, key: str, order: str, sink_dir: str,
+                 checkpoint: str, max_files_per_trigger: int | None = 1) -> DataFrame:
+    """R2: the first copy of each key wins, however much later another one arrives (null keys are one group).
+
+    Within a micro-batch the row smallest by ``order`` (ties: by a hash of the row) is the first; files read in one
+    batch have no other order, and ``max_files_per_trigger=None`` takes all files that have arrived together. Keys of
+    earlier batches are looked up in the sink itself, so nothing is kept in streaming state: the sink's key column is
+    first reduced to the batch's keys (a semi join that never shuffles the sink while the batch is small enough to
+    broadcast by size) and only those hits are joined to the batch. Each batch has a folder of its own and reads only
+    the folders of smaller batch numbers, so a repeated batch replaces what its first try left. ``batch`` names the
+    folders and can't be a column of the schema.
+    """
+    rest = [f.name for f in schema.fields if f.name != key]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        pick = F.struct(F.col(order), F.xxhash64(*[F.col(x) for x in rest]))
+        first = batch.groupBy(key).agg(F.min_by(F.struct(*rest), pick).alias("_r")).select(
+            key, *[F.col("_r")[x].alias(x) for x in rest])
+        if batch_id > 0 and path_exists(spark, sink_dir):
+            keys = first.select(F.col(key).alias("_k"))
+            known = spark.read.schema(f"`{key}` {schema[key].dataType.simpleString()}, batch long").parquet(sink_dir).where(
+                F.col("batch") < batch_id).select(F.col(key).alias("_known"))
+            hits = known.join(keys, F.col("_known").eqNullSafe(F.col("_k")), "left_semi")
+            first = first.join(hits, F.col(key).eqNullSafe(F.col("_known")), "left_anti")
+        first.select([f.name for f in schema.fields]).write.mode("overwrite").parquet(f"{sink_dir}/batch={batch_id}")
+
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    deduped = reader.parquet(source_dir).withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
-    q = (deduped.writeStream.format("parquet").option("path", sink_dir).option("checkpointLocation", checkpoint)
+    q = (reader.parquet(source_dir).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(sink_dir)
+    if not path_exists(spark, sink_dir):  # no file has arrived yet
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(sink_dir).select([f.name for f in schema.fields])
 
 
 def activity_counts(events: DataFrame, ts: str = "ts", kind: str = "event_type", window: str = "1 day",
@@ -60,20 +89,36 @@ def scale_activity(counts: DataFrame, kind: str = "event_type") -> DataFrame:
                                         F.floor(F.lit(100) * F.col("n") / F.col("_mx")).cast("int").alias("activity_index"))
 
 
-def activity_stream(spark: SparkSession, events_dir: str, schema, sink_dir: str, checkpoint: str) -> DataFrame:
-    """R3 streaming run: windowed counts kept in state (bounded by windows × types) and written as
-    the complete table after each micro-batch, so the final table equals the batch aggregate even
-    for the still-open last window; scaled on read."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(events_dir)
-    counts = activity_counts(stream)
+def activity_stream(spark: SparkSession, events_dir: str, schema, sink_dir: str, checkpoint: str,
+                    late: str = "1 day", max_files_per_trigger: int | None = None) -> DataFrame:
+    """R3 streaming run: windowed counts in update mode; only windows that the watermark still keeps open are in state.
+
+    Each micro-batch writes the new totals of the windows it touched to a folder of its own (overwritten when the batch
+    is repeated); on read the total of the newest batch stands, so the open last window is included and an event late
+    by less than ``late`` raises its window's total. Events later than that are dropped, as Spark defines it. A call
+    takes the files that have arrived since the last one; none at all gives an empty table.
+    """
+    stream = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        stream = stream.option("maxFilesPerTrigger", max_files_per_trigger)
+    counts = activity_counts(stream.parquet(events_dir), late=late)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(sink_dir)
+        batch.write.mode("overwrite").parquet(f"{sink_dir}/batch={batch_id}")
 
-    q = (counts.writeStream.outputMode("complete").foreachBatch(write)
+    q = (counts.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return scale_activity(spark.read.parquet(sink_dir))
+    return scale_activity(latest_windows(spark, sink_dir, counts.schema))
+
+
+def latest_windows(spark: SparkSession, sink_dir: str, schema, kind: str = "event_type") -> DataFrame:
+    """The newest total of every (window, type) over the batch folders of ``activity_stream``."""
+    if not path_exists(spark, sink_dir):
+        return spark.createDataFrame([], schema)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
+    updates = spark.read.schema(f"{fields}, batch long").parquet(sink_dir)
+    return updates.groupBy("window_start", kind).agg(F.max_by("n", "batch").alias("n"))
 
 
 def stream_paths(spark: SparkSession, name: str) -> dict:
