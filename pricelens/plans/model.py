@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import SparkSession
 
 from pricelens.operators import linear as L
+from pricelens.operators.bundle import Bundle
 from pricelens.operators.quantile_trees import QuantileModel, fit_quantiles
 from pricelens.operators.scenario import ScoringModel
 from pricelens.plans.common import features, staged
@@ -56,6 +57,18 @@ def quantile_model(spark: SparkSession, sf_dir: str, rounds: int = ROUNDS, depth
     return QuantileModel.from_table(trees, FEATURES, QUANTILES, rounds, depth, RATE)
 
 
+def fit_bundle(f, forest, quantiles: QuantileModel) -> Bundle:
+    """The whole predictor of a feature table: scaler, OLS and 2SLS from two Gram aggregations, with the given effect
+    forest (on the controls) and quantile model."""
+    gr = L.fit_gram(f, FEATURES + [TARGET])
+    iv_gr = L.fit_gram(f, [TREATMENT] + CONTROLS + INSTRUMENTS + [TARGET])
+    iv = L.tsls(iv_gr, TARGET, TREATMENT, INSTRUMENTS, CONTROLS)
+    scaler = {c: (float(gr.mean[i]), float(gr.sd[i]) or 1.0) for i, c in enumerate(FEATURES)}
+    linear = ScoringModel.from_fit(L.ols(gr, TARGET, FEATURES), iv.effect)
+    tsls = ScoringModel(float(iv.intercept), {n: float(b) for n, b in zip(iv.names, iv.coef)}, float(iv.effect), list(iv.names))
+    return Bundle(list(FEATURES), TREATMENT, TARGET, scaler, linear, tsls, list(CONTROLS), forest, quantiles)
+
+
 # --- the same estimators as DuckDB text ------------------------------------------------------------
 
 def gram_sql(name: str, source: str, cols: Sequence[str], group: str | None = None) -> str:
@@ -117,13 +130,24 @@ def tsls_sql(tag: str, source: str) -> str:
     s2, l2 = sweep_sql(l1, len(cols), range(w, w + z), f"{tag}_z")
     s2 = s2.replace(f"(SELECT *, {', '.join(f'a_{i}_{i} AS o_{i}' for i in range(len(cols)))} FROM {l1})", l1)
     used = " + ".join(f"CASE WHEN o_{i} > 0 THEN 1 ELSE 0 END" for i in range(w, w + z))
+    unused = ", ".join(f"CASE WHEN b.o_{w + i} = 0 THEN '{c}' END" for i, c in enumerate(INSTRUMENTS))
     names = ", ".join(f"CASE WHEN b.o_{w + i} > 0 THEN '{c}' END" for i, c in enumerate(INSTRUMENTS))
     return (f"{gram_sql(f'{tag}_g', source, cols)},\n{s1},\n{s2},\n{tag} AS (SELECT (a.a_{t}_{y} - b.a_{t}_{y}) / "
             f"(a.a_{t}_{t} - b.a_{t}_{t}) AS effect, 1.0::DOUBLE - b.a_{t}_{t} / b.o_{t} AS r2_first, b.n AS n, "
             f"a.a_{t}_{t} - b.a_{t}_{t} AS explained, b.a_{t}_{t} AS ssr_first, "
+            f"a.a_{y}_{y} AS ssr_controls, b.o_{y} AS sst_y, concat_ws(',', {unused}) AS dropped, "
             f"{used.replace('o_', 'b.o_')} AS k_iv, concat_ws(',', {names}) AS instruments FROM {l1} a, {l2} b)")
 
 
+def t_two_sided_sql(t: str, dof: str) -> str:
+    """Two-sided p-value of Student's t: Simpson's rule over the density from 0 to |t| (beyond 40 nothing is left)."""
+    n = 4000
+    top, d = f"least(abs({t}), 40.0::DOUBLE)", f"CAST({dof} AS DOUBLE)"
+    weight = f"(CASE WHEN i IN (0, {n}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+    density = f"exp(lgamma(({d} + 1) / 2) - lgamma({d} / 2)) / sqrt({d} * pi()) * pow(1 + pow(i * {top} / {n}, 2) / {d}, -({d} + 1) / 2)"
+    return f"greatest(0.0::DOUBLE, 1 - 2 * {top} / {3 * n} * list_sum(list_transform(range(0, {n + 1}), lambda i: {weight} * {density})))"
+
+
 def sig9(x: str) -> str:
     return f"CAST(format('{{:.8e}}', {x}) AS DOUBLE)"
 

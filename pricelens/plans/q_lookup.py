@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pricelens.functions.exprs import r6
@@ -9,6 +11,7 @@ from pricelens.operators import lookups as lk
 from pricelens.operators import ranking as rk
 from pricelens.operators.scenario import PRICE_MULTIPLIERS
 from pricelens.plans.common import campaigns, features
+from pricelens.plans.model import FEATURES, INSTRUMENTS, TARGET
 from pricelens.plans.registry import query
 from pricelens.plans.sql import r6 as s6
 from pricelens.plans.sql import with_views
@@ -133,29 +136,36 @@ def s20_sinks(spark, sf_dir):
             .unionByName(cs.agg(F.lit("csv").alias("format"), *counts)))
 
 
-@query("s22_model_persist")
+_BUNDLE_COLUMNS = [f"z_{c}" for c in FEATURES] + ["ols_prediction", "tsls_prediction", "treatment_effect", "q_10", "q_25", "q_50", "q_75", "q_90"]
+
+
+@query("s22_model_persist", with_views(
+    "\nUNION ALL\n".join(f"SELECT '{c}' AS part, count(*) AS n, 0::BIGINT AS differing, count(*) AS n_scored FROM features WHERE "
+                          + " AND ".join(f"{f} IS NOT NULL" for f in FEATURES) for c in _BUNDLE_COLUMNS), level="features"))
 def s22_model_persist(spark, sf_dir):
-    """Fitted-model save / load round trip: predictions of the reloaded pipeline equal the original."""
-    from pyspark.ml import Pipeline, PipelineModel
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    from pricelens.plans.q_model import FEATURES, TARGET
-    f = features(spark, sf_dir).select("project_id", TARGET, *FEATURES).na.drop()
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="v"),
-                            LinearRegression(featuresCol="v", labelCol=TARGET, solver="normal", regParam=0.0,
-                                             standardization=False)])
-    model = pipe.fit(f)
-    path = scratch_path(spark, f"model-{spark.sparkContext.applicationId}")
-    model.write().overwrite().save(path)
-    again = PipelineModel.load(path)
-    a = model.transform(f).select("project_id", F.col("prediction").alias("p1"))
-    b = again.transform(f).select("project_id", F.col("prediction").alias("p2"))
-    j = a.join(b, "project_id")
-    return j.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("p1") - F.col("p2"))).alias("max_abs_diff"))
-
-
-@query("s21_result_sinks")
+    """The whole fitted predictor saved, loaded and applied to every complete row beside the original: per part, rows
+    scored and rows whose score differs in any bit."""
+    from pricelens.operators import bundle as bu
+    from pricelens.plans.model import fit_bundle, quantile_model
+    from pricelens.plans.q_ml import campaign_effects
+    f = features(spark, sf_dir).select("project_id", *FEATURES, TARGET, *INSTRUMENTS)
+    fitted = fit_bundle(f, campaign_effects(spark, sf_dir)[2], quantile_model(spark, sf_dir))
+    path = scratch_path(spark, f"bundle-{uuid.uuid4().hex[:8]}")
+    loaded = bu.load(spark, path, bu.save(spark, path, fitted))
+    rows = f.select("project_id", *FEATURES).na.drop()
+    both = loaded.score(fitted.score(rows).withColumnsRenamed({c: f"_{c}" for c in _BUNDLE_COLUMNS}))
+    got = both.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(~F.col(c).eqNullSafe(F.col(f"_{c}"))).alias(f"d{i}") for i, c in enumerate(_BUNDLE_COLUMNS)],
+                   *[F.count(c).alias(f"k{i}") for i, c in enumerate(_BUNDLE_COLUMNS)])
+    parts = F.array(*[F.struct(F.lit(c).alias("part"), F.col("n").alias("n"), F.col(f"d{i}").alias("differing"), F.col(f"k{i}").alias("n_scored"))
+                      for i, c in enumerate(_BUNDLE_COLUMNS)])
+    return got.select(F.inline(parts))
+
+
+@query("s21_result_sinks", with_views("""
+SELECT 'effects' AS sink, count(*) AS rows, count(DISTINCT project_id) AS keys FROM features WHERE """
+    + " AND ".join(f"{c} IS NOT NULL" for c in FEATURES if c != "avg_reward_price")
+    + """
+UNION ALL SELECT 'validation_results', 6, 6""", level="features"))
 def s21_result_sinks(spark, sf_dir):
     """Per-campaign effects and the validation summary written as CSV to the shared folder and
     read back (test, metric, value, status / project_id, category, treatment_effect: one row a campaign)."""
@@ -167,5 +177,5 @@ def s21_result_sinks(spark, sf_dir):
     effects.write.mode("overwrite").option("header", True).csv(f"{base}/effects")
     v = spark.read.option("header", True).csv(f"{base}/validation_results")
     e = spark.read.option("header", True).csv(f"{base}/effects")
-    return (v.agg(F.lit("validation_results").alias("sink"), F.count(F.lit(1)).alias("rows"))
-            .unionByName(e.agg(F.lit("effects").alias("sink"), F.count(F.lit(1)).alias("rows"))))
+    return (v.agg(F.lit("validation_results").alias("sink"), F.count(F.lit(1)).alias("rows"), F.countDistinct("test").alias("keys"))
+            .unionByName(e.agg(F.lit("effects").alias("sink"), F.count(F.lit(1)).alias("rows"), F.countDistinct("project_id").alias("keys"))))

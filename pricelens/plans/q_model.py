@@ -11,7 +11,7 @@ from pricelens.operators import linear as L
 from pricelens.operators import ranking as rk
 from pricelens.operators.quantiles import exact_percentiles
 from pricelens.plans.common import features
-from pricelens.plans.model import CONTROLS, FEATURES, INSTRUMENTS, TARGET, TREATMENT, ols_sql, tsls_sql
+from pricelens.plans.model import CONTROLS, FEATURES, INSTRUMENTS, TARGET, TREATMENT, ols_sql, t_two_sided_sql, tsls_sql
 from pricelens.plans.registry import query
 from pricelens.plans.sql import r6 as s6
 from pricelens.plans.sql import with_views
@@ -110,16 +110,28 @@ def iv_fit(f, instruments=INSTRUMENTS, controls=CONTROLS):
     return gr, L.tsls(gr, TARGET, TREATMENT, instruments, controls)
 
 
-@query("m3_2sls")
+_K2 = 1 + len(CONTROLS)
+
+
+@query("m3_2sls", _fsql(f""",
+{tsls_sql('_iv', 'features')},
+_s AS (SELECT *, ssr_controls - effect * effect * explained AS ssr2, n - {_K2} - 1 AS dof2, k_iv + {len(CONTROLS)} AS k1 FROM _iv),
+_t AS (SELECT *, sqrt(ssr2 / dof2 / explained) AS se, (r2_first / k1) / ((1 - r2_first) / (n - k1 - 1)) AS f FROM _s)
+SELECT {s9('effect')} AS treatment_effect, {s9('se')} AS treatment_se, {s6('effect / se')} AS t_stat,
+       {s6(t_two_sided_sql('effect / se', 'dof2'))} AS p_value, {s6('f')} AS first_stage_f, {s9('r2_first')} AS first_stage_r2,
+       {s9('1 - ssr2 / sst_y')} AS second_stage_r2, CASE WHEN f > 10 THEN 'Strong' ELSE 'Weak' END AS instrument_strength,
+       n, dropped AS dropped_instruments FROM _t"""))
 def m3_2sls(spark, sf_dir):
     """Form A: effect, naive SE/t/p, both R², overall first-stage F and strength label."""
     f = features(spark, sf_dir)
     gr, r = iv_fit(f)
     rows = [(float(r.effect), float(r.se), float(r.t), float(r.p), float(r.first_stage_f), float(r.first_stage_r2),
              float(r.second_stage_r2), "Strong" if r.first_stage_f > 10 else "Weak", int(r.n), ",".join(r.dropped))]
-    return _table(spark, rows, "treatment_effect double, treatment_se double, t_stat double, p_value double, "
-                  "first_stage_f double, first_stage_r2 double, second_stage_r2 double, instrument_strength string, "
-                  "n bigint, dropped_instruments string")
+    out = _table(spark, rows, "treatment_effect double, treatment_se double, t_stat double, p_value double, "
+                 "first_stage_f double, first_stage_r2 double, second_stage_r2 double, instrument_strength string, "
+                 "n bigint, dropped_instruments string")
+    digits = {"treatment_effect": 9, "treatment_se": 9, "t_stat": 6, "p_value": 6, "first_stage_f": 6, "first_stage_r2": 9, "second_stage_r2": 9}
+    return out.select(*[round_to(c, digits[c]).alias(c) if c in digits else c for c in out.columns])
 
 
 @query("m3_iv_one_control", _fsql(f"""

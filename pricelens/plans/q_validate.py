@@ -14,7 +14,7 @@ from pricelens.operators import validate as va
 from pricelens.operators.aggregates import pooled_ttest, t_two_sided_p
 from pricelens.operators.quantiles import exact_percentiles
 from pricelens.plans.common import features
-from pricelens.plans.model import CONTROLS, FEATURES, INSTRUMENTS, MODEL_SQL, TARGET, TREATMENT, fitted_model, ols_sql, predict_sql, tsls_sql
+from pricelens.plans.model import CONTROLS, FEATURES, INSTRUMENTS, MODEL_SQL, TARGET, TREATMENT, fitted_model, ols_sql, predict_sql, t_two_sided_sql, tsls_sql
 from pricelens.plans.q_window import PAIRS_SQL, pairs_df
 from pricelens.plans.q_model import s9, v10_cv_summary
 from pricelens.plans.registry import ORACLES, query
@@ -298,13 +298,21 @@ def v12_instruments(spark, sf_dir):
         "strength", F.lit("Strong" if r.first_stage_f > 10 else "Weak"))
 
 
-@query("v13_selection_bias")
+@query("v13_selection_bias", _fsql(f"""
+, _g AS (SELECT count_if(success_binary = 1) AS n1, count_if(success_binary = 0) AS n0,
+                avg({TREATMENT}) FILTER (WHERE success_binary = 1) AS m1, avg({TREATMENT}) FILTER (WHERE success_binary = 0) AS m0,
+                var_samp({TREATMENT}) FILTER (WHERE success_binary = 1) AS v1, var_samp({TREATMENT}) FILTER (WHERE success_binary = 0) AS v0
+         FROM features),
+_t AS (SELECT *, n1 + n0 - 2 AS dof, {s6('(m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2) * (1.0::DOUBLE / n1 + 1.0::DOUBLE / n0))')} AS t_stat FROM _g),
+_p AS (SELECT *, {t_two_sided_sql('t_stat', 'dof')} AS p FROM _t)
+SELECT n1, n0, {s6('m1')} AS mean_1, {s6('m0')} AS mean_0, {s6('m1 - m0')} AS difference, t_stat, dof, {s6('p')} AS p_value,
+       CASE WHEN p < 0.05 THEN 'selection_bias' ELSE 'no_selection_bias' END AS verdict FROM _p"""))
 def v13_selection_bias(spark, sf_dir):
     """Pooled t-test of price between successful and failed campaigns, with its p-value."""
     t = pooled_ttest(features(spark, sf_dir), TREATMENT, "success_binary")
     row = t.first()
     p = t_two_sided_p(row["t_stat"], row["dof"]) if row["t_stat"] is not None else float("nan")
-    return t.withColumn("p_value", F.lit(float(p))).withColumn(
+    return t.withColumn("p_value", r6(F.lit(float(p)))).withColumn(
         "verdict", F.lit("selection_bias" if p < 0.05 else "no_selection_bias"))
 
 
