@@ -6,7 +6,7 @@ shuffles are the neighbour count (J1) and the small per-group statistic tables j
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelens.functions.exprs import (array_mean, flag, holiday_flag, positive_tiers, safe_div,
@@ -92,6 +92,16 @@ def group_medians(df: DataFrame, cols: dict, group_cols=()) -> DataFrame:
                                         for name in cols])
 
 
+def launch_weekday(df: DataFrame) -> Column:
+    """Weekday of the launch date (null for a null date); a table without any launch date takes the stored
+    ``day_of_week``, or 0 where there is none."""
+    stored = F.col("day_of_week") if "day_of_week" in df.columns else F.lit(0)
+    if "launch_date" not in df.columns:
+        return stored
+    dated = df.select(F.coalesce(F.max(F.col("launch_date").isNotNull()), F.lit(False))).scalar()
+    return F.when(dated, weekday("launch_date")).otherwise(stored)
+
+
 def causal_features(enriched: DataFrame, spike_threshold: float = 1.2) -> DataFrame:
     """``campaign_features``: outcomes, treatments, instruments, confounders and flags."""
     df = enriched
@@ -108,7 +118,7 @@ def causal_features(enriched: DataFrame, spike_threshold: float = 1.2) -> DataFr
           .withColumn("price_positioning", safe_div("avg_reward_price", "_med_price"))
           .withColumn("price_ambition", safe_div("avg_reward_price", F.col("funding_goal") / 100))
           .withColumn("goal_ambition", safe_div("funding_goal", "_med_goal"))
-          .withColumn("launch_day_of_week", weekday("launch_date"))
+          .withColumn("launch_day_of_week", launch_weekday(df))
           .withColumn("is_weekend_launch", flag(F.col("launch_day_of_week") >= 5))
           .withColumn("holiday_proximity", F.col("is_holiday_week"))
           .withColumn("trend_spike", flag(F.col("trend_index") > med_trend * spike_threshold))

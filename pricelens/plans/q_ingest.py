@@ -140,6 +140,28 @@ def p25_tiers(spark, sf_dir):
                       ingest.tiers_from_goal("goal", bad_default=True).alias("tiers_defaulted"))
 
 
+def _hash_sql(salt):
+    return f"((id + {salt}) % 2147483648 * 2654435761 % 4294967296)"
+
+
+_JITTER_SQL = ", ".join(f"greatest({low}, greatest(10, CAST(trunc(goal / 1000) AS BIGINT)) * {m} + {lo} + {_hash_sql(11 + i)} % {hi - lo})"
+                        for i, (low, m, lo, hi) in enumerate(ingest.JITTERED_TIERS))
+
+
+@query("p25_tier_variants", with_views(f"""
+, _b AS (SELECT id, goal, greatest(10, CAST(trunc(goal / 500) AS BIGINT)) AS b FROM _raw)
+SELECT id AS project_id,
+       CASE WHEN goal IS NULL OR goal <= 0 THEN [25.0, 50.0, 100.0]::DOUBLE[]
+            ELSE list_sort(list_distinct([greatest(10, b), greatest(20, b * 2), greatest(50, b * 4), greatest(100, b * 8)]))[:5]::DOUBLE[] END AS tiers_snapshot,
+       CASE WHEN goal IS NULL OR goal <= 0 THEN [25.0, 50.0, 100.0]::DOUBLE[]
+            ELSE list_sort(list_distinct([{_JITTER_SQL}]))[:3 + {_hash_sql(10)} % 5]::DOUBLE[] END AS tiers_jittered
+FROM _b""", derived.RAW_SQL))
+def p25_tier_variants(spark, sf_dir):
+    """The snapshot loader's and the jittered loader's tiers of every campaign."""
+    return _raw(spark, sf_dir).select(F.col("id").alias("project_id"), ingest.tiers_snapshot("goal").alias("tiers_snapshot"),
+                                      ingest.tiers_jittered("goal", "id").alias("tiers_jittered"))
+
+
 # --- S9 / S10 --------------------------------------------------------------------------------------
 
 _FRAMES_SQL = """

@@ -209,6 +209,34 @@ def tiers_from_goal(goal, bad_default: bool = True) -> "F.Column":
     return F.when(g.isNull() | (g <= 0), F.array(F.lit(25.0), F.lit(50.0), F.lit(100.0))).otherwise(tiers)
 
 
+def _sorted_tiers(tiers, most: "F.Column | int") -> "F.Column":
+    return F.slice(F.array_sort(F.array_distinct(tiers)), F.lit(1), most if not isinstance(most, int) else F.lit(most)).cast("array<double>")
+
+
+def tiers_snapshot(goal) -> "F.Column":
+    """P25, snapshot variant: the second floor is 20 instead of 25; sorted, without repeats, at most five. A null or
+    non-positive goal gives [25, 50, 100]."""
+    g = c(goal)
+    base = F.greatest(F.lit(10), (g / F.lit(500)).cast("long"))
+    tiers = F.array(*[F.greatest(F.lit(low), base * m) for low, m in ((10, 1), (20, 2), (50, 4), (100, 8))])
+    return F.when(g.isNull() | (g <= 0), F.array(F.lit(25.0), F.lit(50.0), F.lit(100.0))).otherwise(_sorted_tiers(tiers, 5))
+
+
+# Floor, multiple of the base and jitter range [from, to) of each tier of the jittered variant.
+JITTERED_TIERS = [(10, 1, -5, 10), (25, 2, -10, 20), (50, 4, -15, 30), (100, 8, -20, 50), (200, 15, -30, 100)]
+
+
+def tiers_jittered(goal, key) -> "F.Column":
+    """P25, jittered variant: base max(10, int(goal / 1000)), five tiers moved by whole numbers from the row's id hash,
+    sorted, without repeats, the first 3 to 7 of them. A null or non-positive goal gives [25, 50, 100]."""
+    g = c(goal)
+    base = F.greatest(F.lit(10), (g / F.lit(1000)).cast("long"))
+    moved = [F.greatest(F.lit(low), base * m + F.lit(lo) + F.pmod(hash_unit(key, 11 + i), F.lit(hi - lo)))
+             for i, (low, m, lo, hi) in enumerate(JITTERED_TIERS)]
+    count = (F.lit(3) + F.pmod(hash_unit(key, 10), F.lit(5))).cast("int")
+    return F.when(g.isNull() | (g <= 0), F.array(F.lit(25.0), F.lit(50.0), F.lit(100.0))).otherwise(_sorted_tiers(F.array(*moved), count))
+
+
 def harmonise(raw: DataFrame) -> DataFrame:
     """E1 step 1 over a raw dump: S6 → P1 → S8 → rename → P4 → P5 → P2 → P10/P11 → P24/P25."""
     df = normalise_columns(raw)

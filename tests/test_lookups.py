@@ -50,3 +50,26 @@ def test_window_mean(spark, case):
         want[i] = int(sum(near) / len(near)) if near else 50
     got = {r["id"]: r["out"] for r in lk.window_mean_lookup(df, "at", series, "v", "out").collect()}
     assert got == want
+
+
+def test_broadcast_is_bounded_by_rows_and_bytes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from pricelens.operators import joins
+    wide = spark.range(2000).select("id", F.repeat(F.sha2(F.col("id").cast("string"), 256), 4).alias("text")).persist()
+    assert wide.count() == 2000 and 2000 * 256 < joins.cached_bytes(wide) < 2000 * 1024
+    big = spark.range(10)
+    plan = lambda: joins.join_small(big, wide, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan()
+    monkeypatch.setattr(joins, "BROADCAST_BYTE_LIMIT", 1000)
+    assert "broadcast" not in plan()
+
+
+def test_weekday_is_the_stored_one_only_without_any_launch_date(spark):
+    from pricelens.operators.features import launch_weekday
+    some = spark.createDataFrame([(1, dt.datetime(2024, 1, 6), 2), (2, None, 3)], "id int, launch_date timestamp, day_of_week int")
+    got = lambda df: [r[0] for r in df.orderBy("id").select(launch_weekday(df)).collect()]
+    assert got(some) == [5, None]
+    none = some.selectExpr("id", "cast(null as timestamp) as launch_date", "day_of_week")
+    assert got(none) == got(none.drop("launch_date")) == [2, 3]
+    assert got(none.drop("day_of_week")) == got(none.select("id")) == [0, 0]
