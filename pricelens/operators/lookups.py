@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,75 +86,130 @@ def window_mean_lookup(df: DataFrame, ts: str, series: DataFrame, value: str, ou
     return _map_days(df, ts, means.select("day", F.col("_m").cast("int").alias(out)), out, default)
 
 
-#: Query points of one block and history rows of one chunk: what one step of ``knn`` holds in memory.
-KNN_QUERIES, KNN_ROWS = 256, 4096
+#: kNN index: points a cell aims at, the most cells, and the size of the sample of points that places the cuts.
+KNN_ROWS, KNN_CELLS, KNN_SAMPLE = 4096, 1 << 14, 1 << 17
 
 
-def _knn_chunks(width: int):
-    """mapInArrow body: a batch's rows as chunks of at most KNN_ROWS, ids and coordinates as bytes, sorted by id."""
+class Cells:
+    """A partition of space into boxes by median cuts of a sample, each along the side in which the points lie widest."""
 
-    def run(batches):
+    def __init__(self, sample, n_cells: int):
         import numpy as np
-        import pyarrow as pa
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            at = np.stack([batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(width)])
-            for b in range(0, len(ids), KNN_ROWS):
-                part = np.argsort(ids[b:b + KNN_ROWS], kind="stable") + b
-                yield pa.RecordBatch.from_arrays([pa.array([ids[part].tobytes()], pa.binary()),
-                                                  pa.array([at[:, part].tobytes()], pa.binary())], ["ids", "at"])
-
-    return run
+        width = sample.shape[1]
+        self.dim, self.cut, self.child, self.cell, lows, highs = [], [], [], [], [], []
+        todo = [(sample, n_cells, np.full(width, -np.inf), np.full(width, np.inf), None)]
+        while todo:
+            part, want, low, high, parent = todo.pop()
+            if parent is not None:
+                self.child[parent[0]][parent[1]] = len(self.dim)
+            spread = part.max(axis=0) - part.min(axis=0) if len(part) else np.zeros(width)
+            axis = int(spread.argmax())
+            leaf = want < 2 or len(part) < 2 or not spread[axis] > 0
+            at = 0.0
+            if not leaf:
+                values = np.sort(part[:, axis])
+                at = values[(len(values) - 1) // 2]
+                if at == values[-1]:  # the upper half is one value: cut below it
+                    at = values[values < at][-1]
+                left = part[:, axis] <= at
+                node = len(self.dim)
+                for side, mine in ((1, ~left), (0, left)):
+                    lo, hi = low.copy(), high.copy()
+                    (hi if side == 0 else lo)[axis] = at
+                    todo.append((part[mine], want // 2 if side else want - want // 2, lo, hi, (node, side)))
+            else:
+                lows.append(low)
+                highs.append(high)
+            self.dim.append(axis)
+            self.cut.append(at)
+            self.child.append([-1, -1])
+            self.cell.append(len(lows) - 1 if leaf else -1)
+        self.dim, self.cut, self.child, self.cell = (np.array(x) for x in (self.dim, self.cut, self.child, self.cell))
+        self.low, self.high = np.array(lows), np.array(highs)
+
+    def of(self, at):
+        """Cell of each point (rows of ``at``)."""
+        import numpy as np
+        node, rows = np.zeros(len(at), np.int64), np.arange(len(at))
+        while (inner := self.cell[node] < 0).any():
+            right = (at[rows, self.dim[node]] > self.cut[node]).astype(np.int64)
+            node = np.where(inner, self.child[node, right], node)
+        return self.cell[node]
+
+    def within(self, point, bound):
+        """Cells whose box comes as near to a point as ``bound``. The sum runs in the order of the distances' sum and each step
+        is monotonic, so rounding never hides a cell."""
+        import numpy as np
+        d = np.zeros(len(self.low))
+        for i, x in enumerate(point):
+            d += np.maximum(np.maximum(self.low[:, i] - x, x - self.high[:, i]), 0.0) ** 2
+        return np.flatnonzero(np.sqrt(d) <= bound)
 
 
-def _knn_scores(width: int, k: int):
-    """mapInArrow body: the k nearest rows of a chunk for each query of a block (ties by id)."""
+def _nearest_in_cell(xs: list[str], k: int):
+    """Cogroup body: for each query point of a cell its k nearest rows there, by distance, then id."""
 
-    def run(batches):
+    def run(rows, queries):
         import numpy as np
-        import pyarrow as pa
-        for batch in batches:
-            for ids, at, q_ids, q_at in zip(*[c.to_pylist() for c in batch.columns]):
-                ids, q_ids = np.frombuffer(ids, np.int64), np.array(q_ids, np.int64)
-                at = np.frombuffer(at, float).reshape(width, -1)
-                out = []
-                for q, point in zip(q_ids, np.array(q_at, float)):
-                    d = np.zeros(len(ids))
-                    for i in range(width):
-                        d += (at[i] - point[i]) ** 2
-                    d = np.sqrt(d)
-                    near = np.flatnonzero(ids != q)
-                    if len(near) > k:
-                        near = near[~(d[near] > np.partition(d[near], k - 1)[k - 1])]  # with the ties of the k-th
-                    near = near[np.argsort(d[near], kind="stable")][:k]
-                    out.append((np.full(len(near), q), ids[near], d[near]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)],
-                                                 ["query_id", "id", "distance"])
+        import pandas as pd
+        rows = rows.sort_values("_id", kind="stable")
+        ids, at = rows["_id"].to_numpy(), rows[xs].to_numpy(float)
+        out = []
+        for point in queries[xs].to_numpy(float):
+            d = np.zeros(len(ids))
+            for i, x in enumerate(point):
+                d += (at[:, i] - x) ** 2
+            d = np.sqrt(d)
+            near = np.arange(len(ids))
+            if len(near) > k:
+                near = np.flatnonzero(~(d > np.partition(d, k - 1)[k - 1]))  # with the ties of the k-th
+            near = near[np.argsort(d[near], kind="stable")][:k]
+            out.append((*point, ids[near], d[near]))
+        return pd.DataFrame(out, columns=[*xs, "ids", "ds"])
 
     return run
 
 
 def knn(history: DataFrame, queries: DataFrame, cols: Sequence[str], k: int = 10, key: str = "project_id") -> DataFrame:
-    """K nearest history rows (Euclidean, unscaled, nulls → 0) for every row of a query table.
-
-    The query table is split by id hash into blocks of about KNN_QUERIES points and the history into
-    chunks of at most KNN_ROWS rows; each chunk meets each block through an equi-join on the block
-    number. A pair yields at most k candidates per query, and ``row_number() <= k`` per query over
-    those is planned as a window group limit. Nothing but the number of queries reaches the driver."""
-    point = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_x{i}") for i, c in enumerate(cols)]
-    q = queries.select(F.col(key).cast("long").alias("_id"), *point)
-    n_blocks = max(1, -(-q.count() // KNN_QUERIES))
-    xs = [F.col(f"_x{i}") for i in range(len(cols))]
-    blocks = (q.groupBy(F.pmod(F.xxhash64("_id"), F.lit(n_blocks)).cast("int").alias("_block"))
-              .agg(F.collect_list(F.struct("_id", F.array(*xs).alias("_at"))).alias("_q"))
-              .select("_block", F.col("_q._id").alias("q_ids"), F.col("_q._at").alias("q_at")))
-    # A pair row carries a whole chunk, so Arrow batches are bounded by bytes.
-    history.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    chunks = history.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_id"), *point).mapInArrow(
-        _knn_chunks(len(cols)), "ids binary, at binary")
-    spread = chunks.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    pairs = spread.join(blocks, "_block").select("ids", "at", "q_ids", "q_at")
-    near = pairs.mapInArrow(_knn_scores(len(cols), k), "query_id long, id long, distance double")
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return (near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .withColumnRenamed("id", key))
+    """K nearest history rows (Euclidean, unscaled) for every row of a query table; ties by id.
+
+    Null and NaN coordinates count as 0. Rows without a key are neither history nor queries, a row is never its own
+    neighbour, and an id repeated at one point counts once; fewer than k other rows give fewer neighbours.
+
+    An exact index: points that many rows share keep their k + 1 smallest ids, space is cut into boxes of about
+    KNN_ROWS points (cuts from a hash sample of about KNN_SAMPLE points, all that the driver sees; every row is indexed), and
+    each query point first searches its own cell. The k + 1st distance found there bounds which other cells can hold a
+    nearer row, and only those are visited. The history is shuffled by point and by cell, never copied."""
+    point = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(0.0)).alias(f"_x{i}") for i, c in enumerate(cols)]
+    xs = [f"_x{i}" for i in range(len(cols))]
+    slim = lambda df: df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_id"), *point)
+    rows, asked = slim(history), slim(queries)
+    smallest = Window.partitionBy(*xs).orderBy("_id")
+    points = rows.withColumn("_r", F.dense_rank().over(smallest)).where(F.col("_r") <= k + 1).drop("_r").distinct()
+
+    n = rows.agg(F.approx_count_distinct(F.struct(*xs))).first()[0]
+    rare = F.pmod(F.xxhash64(*xs), F.lit(1 << 30)) < int(min(1.0, KNN_SAMPLE / max(n, 1)) * (1 << 30))
+    cells = Cells(rows.where(rare).select(*xs).distinct().toPandas().to_numpy(float), min(KNN_CELLS, -(-n // KNN_ROWS)))
+
+    @F.pandas_udf("int")
+    def cell_of(at: pd.DataFrame) -> pd.Series:
+        return pd.Series(cells.of(at.to_numpy(float)))
+
+    @F.pandas_udf("array<int>")
+    def others(at: pd.DataFrame, bound: pd.Series) -> pd.Series:
+        at = at.to_numpy(float)
+        return pd.Series([[c for c in cells.within(p, b).tolist() if c != own] for p, b, own in zip(at, bound, cells.of(at).tolist())])
+
+    search = lambda q: indexed.groupBy("_cell").cogroup(q.groupBy("_cell")).applyInPandas(
+        _nearest_in_cell(xs, k + 1), ", ".join(f"{x} double" for x in xs) + ", ids array<long>, ds array<double>")
+    at = F.struct(*xs)
+    indexed = points.withColumn("_cell", cell_of(at))
+    own = search(asked.select(*xs).distinct().withColumn("_cell", cell_of(at)))
+    bound = F.when(F.size("ds") > k, F.element_at("ds", -1)).otherwise(F.lit(float("inf")))
+    found = own.unionByName(search(own.select(*xs, F.explode(others(at, bound)).alias("_cell"))))
+    found = found.select(*xs, F.explode(F.arrays_zip("ds", "ids")).alias("_n"))
+    found = found.withColumn("_r", F.row_number().over(Window.partitionBy(*xs).orderBy("_n"))).where(F.col("_r") <= k + 1)
+    best = found.groupBy(*xs).agg(F.sort_array(F.collect_list("_n")).alias("_near"))  # k + 1 a point
+    mine = F.slice(F.filter("_near", lambda x: x["ids"] != F.col("_id")), 1, k)
+    near = asked.join(best, xs).select(F.col("_id").alias("query_id"), F.posexplode(mine).alias("_p", "_n"))
+    return near.select("query_id", F.col("_n.ids").alias(key), F.col("_n.ds").alias("distance"), (F.col("_p") + 1).alias("rank"))
