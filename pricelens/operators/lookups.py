@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelens.operators.joins import join_small
+from pricelens.session import ship_package
 
 DEFAULT_TREND = 50
 
@@ -183,6 +184,7 @@ def knn(history: DataFrame, queries: DataFrame, cols: Sequence[str], k: int = 10
     point = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(0.0)).alias(f"_x{i}") for i, c in enumerate(cols)]
     xs = [f"_x{i}" for i in range(len(cols))]
     slim = lambda df: df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_id"), *point)
+    ship_package(history.sparkSession)
     rows, asked = slim(history), slim(queries)
     smallest = Window.partitionBy(*xs).orderBy("_id")
     points = rows.withColumn("_r", F.dense_rank().over(smallest)).where(F.col("_r") <= k + 1).drop("_r").distinct()
