@@ -6,8 +6,9 @@ rarity in the corpus, has length one: its rarest shingle. The join therefore pro
 per window. Position and length bounds then fix the only place where the window can lie (occurrence minus
 the shingle's offset in the window, inside the document), and the words there are compared one by one.
 
-Items are split into blocks of bounded size. A block is written to the shared folder and a task reads one block
-at a time, so neither the driver nor a task ever holds the whole benchmark.
+A benchmark of at most `BLOCK_WORDS` words, counted first, is written to the shared folder as one block and each task
+probes its index in memory. A larger one is never loaded: its windows become a table keyed by prefix shingle, the
+documents' shingles that pass a bit filter of bounded size meet it in an equi-join, and the candidates are verified.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,8 +24,10 @@ from pricelens.llm import common
 
 WINDOW = 13
 SHINGLE = 3
-#: Benchmark words per block: bounds what a task holds of the benchmark (about 200 bytes a word).
+#: Most benchmark words that a task holds (about 200 bytes a word); beyond it the windows are joined as a table.
 BLOCK_WORDS = 200_000
+#: Bits of the join's shingle filter, at most (64 MB) and in one segment. A fuller filter lets more shingles through to the join.
+FILTER_BITS, SEGMENT_BITS = 1 << 29, 1 << 20
 
 #: A-Z to lower case; every byte but digits, letters and 0x80-0xFF to a blank.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -141,24 +144,19 @@ class Index:
         return np.concatenate([r for r, _ in found]), np.concatenate([s for _, s in found])
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> DataFrame:
-    """benchmark rows with the number of their block: running word counts, per partition."""
-    slim = benchmark.select(F.col(f"`{id_col}`").alias("item"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.col(f"`{id_col}`").alias("item"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+
+
+def _fits(items: DataFrame, block_words: int) -> bool:
+    """Whether the items have at most `block_words` words."""
 
     def run(batches):
         import pyarrow as pa
-        part, _ = common.attempt()
-        n = block = 0
         for batch in batches:
-            numbers = []
-            for text in batch.column(1).to_pylist():
-                n += len(words_of(text or b""))
-                numbers.append((part << 20) + block)
-                if n >= block_words:
-                    n, block = 0, block + 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], ["item", "text", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(words_of(t or b"")) for t in batch.column(0).to_pylist())], pa.int64())], ["n"])
 
-    return slim.mapInArrow(run, T.StructType([*slim.schema.fields, T.StructField("block", T.LongType())]))
+    return (items.select("text").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0) <= block_words
 
 
 _LOADED: dict[tuple, object] = {}
@@ -184,13 +182,12 @@ def _load(folder: str, block: int, window: int, shingle: int, counts_folder: str
     return _LOADED[key]
 
 
-def _prepare(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, window: int, shingle: int, block_words: int):
-    """Write the blocks and the corpus counts of their shingles; (blocks, folder, counts folder)."""
+def _prepare(docs: DataFrame, items: DataFrame, text_col: str, window: int, shingle: int):
+    """Write the block and the corpus counts of its shingles; (blocks, folder, counts folder)."""
     spark = docs.sparkSession
     folder, counts_folder = common.run_dir(spark, "bench-blocks"), common.run_dir(spark, "bench-counts")
-    _blocks(benchmark, item_col, item_text, block_words).repartition("block").write.partitionBy("block").parquet(folder)
-    # One number per block of 200,000 words: the list stays short however large the benchmark.
-    blocks = sorted(r[0] for r in spark.read.schema("block long").option("basePath", folder).parquet(folder).select("block").distinct().collect()) if benchmark.take(1) else []
+    items.withColumn("block", F.lit(0).cast("long")).repartition(1).write.partitionBy("block").parquet(folder)
+    blocks = [0] if items.take(1) else []
 
     def run(batches):
         import pyarrow as pa
@@ -232,6 +229,199 @@ def _judge(blocks, folder, counts_folder, window, shingle, texts: list[bytes]):
     return [(len(w), int((np.cumsum(c[:-1]) > 0).sum()), x) for w, c, x in zip(words, cover, items)]
 
 
+class _WordCodes(dict):
+    """64-bit code of a word; short words are remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+        code = xxhash.xxh64_intdigest(word, 42)
+        if len(word) <= 32:
+            if len(self) >= 1 << 18:
+                self.clear()
+            self[word] = code
+        return code
+
+
+def _gram_codes(codes: np.ndarray, size: int) -> np.ndarray:
+    """64-bit code of the shingle that begins at each place. Two shingles with one code cost a comparison, nothing else."""
+    n = max(0, len(codes) - size + 1)
+    out = np.full(n, size, np.uint64)
+    for k in range(size):
+        out = (out ^ codes[k:k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _word_codes(words: list[bytes], memo: _WordCodes) -> np.ndarray:
+    return np.fromiter((memo[w] for w in words), np.uint64, len(words))
+
+
+def _filter(codes: DataFrame, name: str) -> tuple[str, int]:
+    """Bit filter of a column `code`, written to the shared folder segment by segment; (folder, bits)."""
+    n = codes.agg(F.approx_count_distinct("code")).first()[0]
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
+    segment = min(bits, SEGMENT_BITS)
+    slot = F.col("code").bitwiseAND(F.lit(bits - 1))
+    slots = codes.select((slot / segment).cast("long").alias("segment"), (slot % segment).cast("int").alias("slot"))
+
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            rows = []
+            for slots in batch.column(1):
+                marks = np.zeros(segment, bool)
+                marks[slots.values.to_numpy()] = True
+                rows.append(np.packbits(marks, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["segment", "bits"])
+
+    folder = common.run_dir(codes.sparkSession, name)
+    slots.groupBy("segment").agg(F.collect_set("slot").alias("slots")).mapInArrow(run, "segment long, bits binary").write.parquet(folder)
+    return folder, bits
+
+
+def _passing(folder: str, bits: int, codes: np.ndarray) -> np.ndarray:
+    """Places of the codes that the filter lets through; the last filter used stays in the worker."""
+    if (folder, bits) not in _LOADED:
+        import pyarrow.parquet as pq
+        store, base = common.filesystem(folder)
+        marks, size = np.zeros(bits // 8, np.uint8), min(bits, SEGMENT_BITS) // 8
+        for row in pq.read_table(base, filesystem=store, partitioning=None).to_pylist():
+            marks[row["segment"] * size:(row["segment"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
+        _LOADED.clear()
+        _LOADED[folder, bits] = marks
+    slot = codes & np.uint64(bits - 1)
+    return np.flatnonzero(_LOADED[folder, bits][(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+
+
+#: Rows of one Arrow batch that the join's steps hand back.
+_ROWS = 4096
+
+
+def _batches(rows, schema):
+    """Tuples as Arrow batches of at most _ROWS rows."""
+    import itertools
+
+    import pyarrow as pa
+    rows = iter(rows)
+    while part := list(itertools.islice(rows, _ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), schema.types)], names=schema.names)
+
+
+def _joined(docs: DataFrame, items: DataFrame, text_col: str, window: int, shingle: int) -> DataFrame:
+    """digest, n_words, n_hit, items (sorted as strings) of each text in which a window occurs; copies share a row.
+
+    Windows, shingles and candidates stay tables. A window's prefix shingle is the rarest of its shingles in the corpus; one
+    that never occurs there drops the window. A frequent shingle on the documents' side of the join is split by AQE; it is
+    a prefix only of windows all of whose shingles are at least as frequent."""
+    spark = docs.sparkSession
+    item_type = items.schema["item"].dataType
+
+    def windows(batches):
+        import pyarrow as pa
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = words_of(text or b"")
+                yield from _batches(((item, b" ".join(words[at:at + window])) for at in range(max(1, len(words) - window + 1) if words else 0)),
+                                    pa.schema([("item", batch.schema.field(0).type), ("win", pa.binary())]))
+
+    key = F.unhex(F.sha2("win", 256)).alias("key")
+    owned = items.mapInArrow(windows, T.StructType([T.StructField("item", item_type), T.StructField("win", T.BinaryType())]))
+    owned = common.staged(owned.select("item", "win", key).distinct(), "bench-windows")
+
+    def shingles(batches):
+        import pyarrow as pa
+        memo, schema = _WordCodes(), pa.schema([("key", pa.binary()), ("size", pa.int32()), ("at", pa.int32()), ("code", pa.int64())])
+
+        def rows(batch):
+            for k, win in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = win.split(b" ")
+                size = min(len(words), shingle)
+                for at, code in enumerate(_gram_codes(_word_codes(words, memo), size).view(np.int64).tolist()):
+                    yield k, size, at, code
+
+        for batch in batches:
+            yield from _batches(rows(batch), schema)
+
+    grams = owned.select("key", "win").distinct().mapInArrow(shingles, "key binary, size int, at int, code long")
+    grams = common.staged(grams, "bench-shingles")
+    sizes = [r[0] for r in grams.select("size").distinct().collect()]  # at most `shingle` numbers
+    every = _filter(grams.select("code"), "bench-filter")
+
+    def count(batches):
+        import pyarrow as pa
+        memo = _WordCodes()
+        for batch in batches:
+            found = [np.zeros(0, np.int64)]
+            for text in common.text_bytes(batch.column(0)):
+                words = _word_codes(words_of(text), memo)
+                for size in sizes:
+                    codes = _gram_codes(words, size)
+                    found.append(codes[_passing(*every, codes)].view(np.int64))
+            codes, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(n, pa.int64())], ["code", "n"])
+
+    text = F.col(f"`{text_col}`")
+    counts = docs.select(text.alias("text")).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    rarest = grams.join(counts, "code", "left").groupBy("key").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "code", "at")).alias("p"))
+    prefix = rarest.where("p.n > 0").select("key", "p.code", F.col("p.at").alias("offset")).join(owned.select("key", "win").distinct(), "key")
+    prefix = common.staged(prefix, "bench-prefix")
+    chosen = _filter(prefix.select("code"), "bench-prefix-filter")
+
+    def probe(batches):
+        import pyarrow as pa
+        memo = _WordCodes()
+        schema = pa.schema([("digest", pa.string()), ("n_words", pa.int64()), ("code", pa.int64()), ("place", pa.int64()), ("lead", pa.int32()), ("near", pa.binary())])
+
+        def rows(digest, text):
+            words = words_of(text)
+            known = _word_codes(words, memo)
+            for size in sizes:
+                codes = _gram_codes(known, size)
+                for place in _passing(*chosen, codes).tolist():
+                    low = max(0, place - window + size)
+                    yield digest, len(words), int(codes[place].view(np.int64)), place, place - low, b" ".join(words[low:place + window])
+
+        for batch in batches:
+            for digest, text in zip(batch.column(0).to_pylist(), common.text_bytes(batch.column(1))):
+                yield from _batches(rows(digest, text), schema)
+
+    found = docs.select(_digest(text).alias("digest"), text.alias("text")).mapInArrow(
+        probe, "digest string, n_words long, code long, place long, lead int, near binary").dropDuplicates(["digest", "code", "place"])
+
+    def verify(batches):
+        import pyarrow as pa
+        schema = pa.schema([("digest", pa.string()), ("n_words", pa.int64()), ("key", pa.binary()), ("start", pa.int64()), ("stop", pa.int64())])
+
+        def rows(batch):
+            for digest, n, place, lead, near, k, offset, win in zip(*(c.to_pylist() for c in batch.columns)):
+                win, at = win.split(b" "), lead - offset
+                if at >= 0 and near.split(b" ")[at:at + len(win)] == win:
+                    yield digest, n, k, place - offset, place - offset + len(win)
+
+        for batch in batches:
+            yield from _batches(rows(batch), schema)
+
+    hits = found.join(prefix, "code").select("digest", "n_words", "place", "lead", "near", "key", "offset", "win")
+    hits = common.staged(hits.mapInArrow(verify, "digest string, n_words long, key binary, start long, stop long"), "bench-hits")
+    before = F.max("stop").over(Window.partitionBy("digest").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    spans = hits.groupBy("digest", "n_words", "start").agg(F.max("stop").alias("stop")).withColumn("before", F.coalesce(before, F.lit(0)))
+    cover = spans.groupBy("digest", "n_words").agg(F.sum(F.greatest(F.lit(0), F.col("stop") - F.greatest("start", "before"))).alias("n_hit"))
+    names = hits.select("digest", "key").distinct().join(owned.select("key", "item"), "key").select("digest", "item").distinct()
+    names = names.groupBy("digest").agg(F.sort_array(F.collect_list(F.coalesce(F.col("item").cast("string"), F.lit("")))).alias("items"))
+    return cover.join(names, "digest")
+
+
+def _digest(text: Column) -> Column:
+    return F.sha2(F.coalesce(text.cast("binary"), F.lit(b"")), 256)
+
+
+def _count_words(batches):
+    import pyarrow as pa
+    for batch in batches:
+        n = [len(words_of(t)) for t in common.text_bytes(batch.column(2))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["doc_id", "digest", "n_words"])
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                   item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, percent: int = 5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items (sorted as strings), contaminated.
@@ -242,7 +432,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     repeated items count once per id. Extra columns are ignored; an empty benchmark leaves all clean.
     """
     common.arrow_batches(docs.sparkSession)
-    plan = _prepare(docs, benchmark, text_col, item_col, item_text, window, shingle, block_words)
+    bench = _items(benchmark, item_col, item_text)
+    if not _fits(bench, block_words):
+        found = _joined(docs, bench, text_col, window, shingle).drop("n_words")
+        slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), _digest(F.col(f"`{text_col}`")).alias("digest"), F.col(f"`{text_col}`").alias("text"))
+        counted = slim.mapInArrow(_count_words, T.StructType([slim.schema["doc_id"], T.StructField("digest", T.StringType()), T.StructField("n_words", T.LongType())]))
+        names, n_hit = F.coalesce("items", F.array().cast("array<string>")), F.coalesce("n_hit", F.lit(0).cast("long"))
+        return counted.join(found, "digest", "left").select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), names.alias("items"),
+                                                            contaminated(n_hit, F.col("n_words"), percent).alias("contaminated"))
+    plan = _prepare(docs, bench, text_col, window, shingle)
     slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     out = T.StructType([slim.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("n_words", "n_hit", "n_items")), T.StructField("items", T.ArrayType(T.StringType()))])
 
@@ -259,9 +457,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
                window: int = WINDOW, shingle: int = SHINGLE, percent: int = 5, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of `docs` that `decontaminate` finds clean, with all their columns, in one pass after the counts."""
+    """The rows of `docs` that `decontaminate` finds clean, with all their columns; nulls, ties, repeats and empty tables as there."""
     common.arrow_batches(docs.sparkSession)
-    plan = _prepare(docs, benchmark, text_col, item_col, item_text, window, shingle, block_words)
+    bench = _items(benchmark, item_col, item_text)
+    if not _fits(bench, block_words):
+        bad = _joined(docs, bench, text_col, window, shingle).where(contaminated(F.col("n_hit"), F.col("n_words"), percent)).select("digest")
+        judged = docs.select(common.row_struct(docs).alias("row"), _digest(F.col(f"`{text_col}`")).alias("digest"))
+        return judged.join(bad, "digest", "left_anti").select("row.*")
+    plan = _prepare(docs, bench, text_col, window, shingle)
 
     def run(batches):
         import pyarrow as pa

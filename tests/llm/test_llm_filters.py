@@ -70,6 +70,29 @@ def test_decontaminate(spark, tainted, block_words):
     assert sorted((str(r.doc_id) for r in kept.collect())) == sorted(str(w[0]) for w in want if not w[-1])
 
 
+def test_decontaminate_by_join(spark):
+    """A benchmark beyond one block: shared and hot windows, a passage in a third of the documents, copies, a long text, text ids."""
+    hot, rare = sentence(30), sentence(13)
+    items = [(f"i{k}", hot if k % 3 == 0 else sentence(RND.randint(1, 30))) for k in range(60)] + [("long", sentence(5000)), ("r", rare), (None, rare + " " + hot), ("é", "Über é日本")]
+    docs = [(k, (hot if k % 3 == 0 else items[k % 60][1]) + " " + sentence(RND.choice([0, 3, 300]))) for k in range(200)]
+    docs += [(1000 + k, "same " + rare + " end") for k in range(100)] + [(2000, sentence(60_000) + " " + rare + " " + items[60][1][:4000]), (2001, "über É日本 über é日本!"), (2002, "x" * 300_000), (2003, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'q' as digest", "1 as key").repartition(5)
+    b = spark.createDataFrame(items, "item_id string, text string")
+    want = brute_judge(docs, items)
+    got = decontam.decontaminate(d, b, block_words=1000)
+    assert not decontam._fits(decontam._items(b, "item_id", "text"), 1000)
+    assert sorted(map(tuple, got.collect()), key=str) == want
+    kept = decontam.keep_clean(d, b, block_words=1000)
+    assert kept.columns == d.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(w[0]) for w in want if not w[-1])
+
+
+def test_a_full_filter_only_costs_candidates(spark, tainted, monkeypatch):
+    monkeypatch.setattr(decontam, "FILTER_BITS", 64)
+    items = spark.createDataFrame([(i, t) for i, t in ITEMS], "item_id long, text string")
+    got = decontam.decontaminate(tainted, items, block_words=10)
+    assert sorted(map(tuple, got.collect()), key=str) == brute_judge([(r.doc_id, r.text) for r in tainted.collect()], ITEMS)
+
+
 def test_decontaminate_empty_tables(spark, tainted):
     items = spark.createDataFrame([(1, "x")], "item_id long, text string")
     assert decontam.decontaminate(tainted.limit(0), items).count() == 0
