@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as E
 from pricelens.sources.tables import TABLES
 
-SLOW_ROWS_ONLY = {"m7_forest", "m7_forest_cv", "m8_boost", "m9_effects", "m10_rlearner", "m12_quantiles",
+SLOW_ROWS_ONLY = {"m7_forest", "m7_forest_cv", "m8_boost", "m9_effects", "m10_rlearner", "m10_orthogonal_forest", "m12_quantiles",
                   "m16_model_compare", "m17_effect_extremes", "r1_ingest", "r2_dedup", "r3_activity"}
 
 

@@ -3,7 +3,7 @@
 import __spark_entry__ as E
 
 # ML / streaming / sink queries run their jobs while being built; they are covered elsewhere.
-EAGER = {"m7_forest", "m7_forest_cv", "m8_boost", "m9_effects", "m10_rlearner", "m12_quantiles",
+EAGER = {"m7_forest", "m7_forest_cv", "m8_boost", "m9_effects", "m10_rlearner", "m10_orthogonal_forest", "m12_quantiles",
          "m16_model_compare", "m17_effect_extremes", "r1_ingest", "r2_dedup", "r3_activity", "s20_sinks",
          "s21_result_sinks", "s22_model_persist", "s1_s5_csv_scan", "v15_summary", "s19_resumable_ingest"}
 
