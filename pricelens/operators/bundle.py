@@ -1,6 +1,6 @@
 """The whole fitted predictor as one versioned folder, written by Spark and read back into a scorer.
 
-``<path>/version=N`` holds the effect forest (Spark ML's own format), the quantile trees (a Parquet table) and, written
+``<path>/version=N`` holds the effect forest and the quantile trees (Parquet tables) and, written
 last, ``parts``: one row with the column roles, the scaler, the OLS and 2SLS coefficients. A version without a complete
 ``parts`` table is not there for readers, so a writer that dies leaves the versions before it in force.
 """
@@ -11,10 +11,10 @@ import json
 from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricelens.operators.histtrees import TreeModel
 from pricelens.operators.quantile_trees import QuantileModel
 from pricelens.operators.scenario import ScoringModel
 
@@ -30,7 +30,7 @@ class Bundle:
     linear: ScoringModel
     tsls: ScoringModel
     effect_features: list[str]
-    forest: RandomForestRegressionModel
+    forest: TreeModel
     quantiles: QuantileModel
 
     def score(self, df: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def save(spark: SparkSession, path: str, bundle: Bundle) -> int:
     JSON, whose doubles read back to the same bits."""
     version = max(versions(spark, path), default=0) + 1
     here = f"{path}/version={version}"
-    bundle.forest.write().overwrite().save(f"{here}/forest")
+    bundle.forest.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{here}/forest")
     bundle.quantiles.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{here}/quantiles")
     q = bundle.quantiles
     parts = {"features": bundle.features, "treatment": bundle.treatment, "outcome": bundle.outcome, "scaler": bundle.scaler,
@@ -96,4 +96,4 @@ def load(spark: SparkSession, path: str, version: int | None = None) -> Bundle:
     p = json.loads(spark.read.parquet(f"{here}/parts").first()["parts"])
     trees = QuantileModel.from_table(spark.read.parquet(f"{here}/quantiles"), **p["quantiles"])
     return Bundle(p["features"], p["treatment"], p["outcome"], {f: tuple(v) for f, v in p["scaler"].items()}, ScoringModel(**p["linear"]),
-                  ScoringModel(**p["tsls"]), p["effect_features"], RandomForestRegressionModel.load(f"{here}/forest"), trees)
+                  ScoringModel(**p["tsls"]), p["effect_features"], TreeModel.from_table(spark.read.parquet(f"{here}/forest")), trees)
