@@ -7,7 +7,7 @@ aggregations over all rows reduce the table to what histogram trees can see of i
 2. rows are counted per (cell of feature bins, outcome level), with map-side combine.
 
 The result has at most n_bins ** features * n_levels rows whatever the size of the table (10 million for five features in
-10 bins and 100 levels, about 120 MB), so one task can grow all trees over it. Every row of the table is
+10 bins and 100 levels, about 120 MB), so one task can grow a quantile's trees over it. Every row of the table is
 counted; what is given up is the resolution of thresholds (tenths of the rows) and outcomes (hundredths).
 """
 
@@ -160,6 +160,38 @@ def weighted_ranks(values: np.ndarray, weights: np.ndarray, group: np.ndarray, n
     return np.where(total > 0, values[np.minimum(at, len(values) - 1)], 0.0)
 
 
+def cell_ranks(y: np.ndarray, f: np.ndarray, upto: np.ndarray, group: np.ndarray, n_groups: int, q: float) -> np.ndarray:
+    """Per group of cells the ceil(q * n)-th smallest y[level] - f[cell], counted by rows; 0 if empty.
+
+    ``y`` ascends, so a cell's values ascend too and ``upto`` (rows of a cell below each level) counts them: the rank is found
+    by bisecting the bits of the doubles, at most 64 steps over the cells, without sorting cells x levels values."""
+    total = np.bincount(group, upto[:, -1], n_groups)
+    rank = np.maximum(1, np.ceil(q * total - 1e-9)) - 0.5
+    cells, top = np.arange(len(f)), len(y) - 1
+
+    def value(key):  # doubles in the order of their keys
+        return np.where(key < 0, np.int64(-1) ^ key | np.int64(-1 << 63), key).view(np.float64)
+
+    def key(v):
+        bits = (v + 0.0).view(np.int64)
+        return np.where(bits < 0, np.int64(-1) ^ bits | np.int64(-1 << 63), bits)
+
+    low = np.full(n_groups, key(np.array([y[0] - f.max()]))[0]) - 1  # below every value
+    high = np.full(n_groups, key(np.array([y[-1] - f.min()]))[0])
+    while (low + 1 < high).any():
+        middle = (low >> 1) + (high >> 1) + (low & high & 1)
+        t = value(middle)[group]
+        at = np.searchsorted(y, f + t, "right")
+        # The sum rounds otherwise than the difference that is ranked: step to the level where the latter crosses t.
+        while (back := (at > 0) & (y[np.maximum(at - 1, 0)] - f > t)).any():
+            at -= back
+        while (on := (at <= top) & (y[np.minimum(at, top)] - f <= t)).any():
+            at += on
+        enough = np.bincount(group, upto[cells, at], n_groups) > rank
+        high, low = np.where(enough, middle, high), np.where(enough, low, middle)
+    return np.where(total > 0, value(high), 0.0)
+
+
 def boost(cell: np.ndarray, level: np.ndarray, n: np.ndarray, edges: list[list[float]], levels: Sequence[float], quantiles: Sequence[float], rounds: int,
           depth: int, rate: float, min_leaf: int, n_bins: int):
     """(init, feature, threshold, value) of all quantiles from the counted table; arrays by quantile, round and node.
@@ -205,7 +237,7 @@ def boost(cell: np.ndarray, level: np.ndarray, n: np.ndarray, edges: list[list[f
                 j = moves[0][node]
                 split = np.flatnonzero(j >= 0)
                 node[split] = 2 * node[split] + 1 + (bins[j[split], split] > moves[1][node[split]])
-            found = weighted_ranks(y[level] - f[row], n, node[row], nodes, q)
+            found = cell_ranks(y, f, upto, node, nodes, q)
             leaf = feature[c, r] < 0
             value[c, r, leaf] = found[leaf]
             f = f + rate * value[c, r, node]
@@ -220,16 +252,18 @@ def fit_quantiles(df: DataFrame, xs: Sequence[str], y: str, quantiles: Sequence[
     xs, quantiles = list(xs), [float(q) for q in quantiles]
     edges, levels, counted = summarise(df, xs, y, n_bins, n_levels)
 
-    def run(batches):
+    def run(table):
         import pyarrow as pa
-        parts = [[c.to_numpy() for c in b.columns] for b in batches]
-        if parts:
-            found = boost(*[np.concatenate(c).astype(np.int64) for c in zip(*parts)], edges, levels, quantiles, rounds, depth, rate, min_leaf, n_bins)
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(found, 5)], pa.binary())], ["model"])
+        i = table.column("i")[0].as_py()
+        parts = [table.column(c).to_numpy().astype(np.int64) for c in ("cell", "level", "n")]
+        found = boost(*parts, edges, levels, quantiles[i:i + 1], rounds, depth, rate, min_leaf, n_bins)
+        return pa.table({"i": pa.array([i], pa.int32()), "model": pa.array([pickle.dumps(found, 5)], pa.binary())})
 
-    # One row with quantiles x rounds x 2^(depth + 1) nodes, whatever the table.
-    got = counted.repartition(1).mapInArrow(run, "model binary").collect()
+    # A task a quantile, each with the bounded table; a row of rounds x 2^(depth + 1) nodes comes back, whatever the table.
+    every = F.explode(F.array(*[F.lit(i) for i in range(len(quantiles))])).alias("i")
+    counted = counted.select(every, "cell", "level", "n").repartition(max(len(quantiles), 1), "i")
+    got = {r["i"]: pickle.loads(r["model"]) for r in counted.groupBy("i").applyInArrow(run, "i int, model binary").collect()}
     shape = (len(quantiles), rounds, (2 << depth) - 1)
     empty = (np.zeros(0), np.full(shape, -1, np.int32), np.zeros(shape), np.zeros(shape))
-    init, feature, threshold, value = pickle.loads(got[0].model) if got else empty
+    init, feature, threshold, value = (np.concatenate([got[i][j] for i in range(len(quantiles))]) for j in range(4)) if got else empty
     return QuantileModel(xs, quantiles, init, feature, threshold, value, rate)
