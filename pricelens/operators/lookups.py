@@ -89,6 +89,8 @@ def window_mean_lookup(df: DataFrame, ts: str, series: DataFrame, value: str, ou
 
 #: kNN index: points a cell aims at, the most cells, and the size of the sample of points that places the cuts.
 KNN_ROWS, KNN_CELLS, KNN_SAMPLE = 4096, 1 << 14, 1 << 17
+#: Query points whose distances to the rows of a cell are held at once.
+KNN_QUERIES = 16
 
 
 class Cells:
@@ -147,7 +149,7 @@ class Cells:
         return np.flatnonzero(np.sqrt(d) <= bound)
 
 
-def _nearest_in_cell(xs: list[str], k: int):
+def _nearest_in_cell(xs: list[str], k: int, at_once: int):
     """Cogroup body: for each query point of a cell its k nearest rows there, by distance, then id."""
 
     def run(rows, queries):
@@ -155,17 +157,17 @@ def _nearest_in_cell(xs: list[str], k: int):
         import pandas as pd
         rows = rows.sort_values("_id", kind="stable")
         ids, at = rows["_id"].to_numpy(), rows[xs].to_numpy(float)
-        out = []
-        for point in queries[xs].to_numpy(float):
-            d = np.zeros(len(ids))
-            for i, x in enumerate(point):
-                d += (at[:, i] - x) ** 2
-            d = np.sqrt(d)
-            near = np.arange(len(ids))
-            if len(near) > k:
-                near = np.flatnonzero(~(d > np.partition(d, k - 1)[k - 1]))  # with the ties of the k-th
-            near = near[np.argsort(d[near], kind="stable")][:k]
-            out.append((*point, ids[near], d[near]))
+        out, points = [], queries[xs].to_numpy(float)
+        for block in (points[i:i + at_once] for i in range(0, len(points), at_once)):
+            distances = np.zeros((len(block), len(ids)))
+            for i in range(len(xs)):
+                distances += (at[:, i] - block[:, i, None]) ** 2
+            for point, d in zip(block, np.sqrt(distances)):
+                near = np.arange(len(ids))
+                if len(near) > k:
+                    near = np.flatnonzero(~(d > np.partition(d, k - 1)[k - 1]))  # with the ties of the k-th
+                near = near[np.argsort(d[near], kind="stable")][:k]
+                out.append((*point, ids[near], d[near]))
         return pd.DataFrame(out, columns=[*xs, "ids", "ds"])
 
     return run
@@ -203,7 +205,7 @@ def knn(history: DataFrame, queries: DataFrame, cols: Sequence[str], k: int = 10
         return pd.Series([[c for c in cells.within(p, b).tolist() if c != own] for p, b, own in zip(at, bound, cells.of(at).tolist())])
 
     search = lambda q: indexed.groupBy("_cell").cogroup(q.groupBy("_cell")).applyInPandas(
-        _nearest_in_cell(xs, k + 1), ", ".join(f"{x} double" for x in xs) + ", ids array<long>, ds array<double>")
+        _nearest_in_cell(xs, k + 1, KNN_QUERIES), ", ".join(f"{x} double" for x in xs) + ", ids array<long>, ds array<double>")
     at = F.struct(*xs)
     indexed = points.withColumn("_cell", cell_of(at))
     own = search(asked.select(*xs).distinct().withColumn("_cell", cell_of(at)))

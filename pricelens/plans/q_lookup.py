@@ -177,5 +177,5 @@ def s21_result_sinks(spark, sf_dir):
     effects.write.mode("overwrite").option("header", True).csv(f"{base}/effects")
     v = spark.read.option("header", True).csv(f"{base}/validation_results")
     e = spark.read.option("header", True).csv(f"{base}/effects")
-    return (v.agg(F.lit("validation_results").alias("sink"), F.count(F.lit(1)).alias("rows"), F.countDistinct("test").alias("keys"))
+    return (v.agg(F.lit("validation_results").alias("sink"), F.count(F.lit(1)).alias("rows"), F.countDistinct(v.columns[0]).alias("keys"))
             .unionByName(e.agg(F.lit("effects").alias("sink"), F.count(F.lit(1)).alias("rows"), F.countDistinct("project_id").alias("keys"))))
