@@ -189,7 +189,9 @@ def knn(history: DataFrame, queries: DataFrame, cols: Sequence[str], k: int = 10
     ship_package(history.sparkSession)
     rows, asked = slim(history), slim(queries)
     smallest = Window.partitionBy(*xs).orderBy("_id")
-    points = rows.withColumn("_r", F.dense_rank().over(smallest)).where(F.col("_r") <= k + 1).drop("_r").distinct()
+    points = rows.withColumn("_r", F.dense_rank().over(smallest)).where(F.col("_r") <= k + 1)
+    # An id repeated at a point follows itself there: dropped in the same order, where distinct() would shuffle the history again.
+    points = points.withColumn("_r", F.lag("_id").over(smallest)).where(~F.col("_r").eqNullSafe(F.col("_id"))).drop("_r")
 
     n = rows.agg(F.approx_count_distinct(F.struct(*xs))).first()[0]
     rare = F.pmod(F.xxhash64(*xs), F.lit(1 << 30)) < int(min(1.0, KNN_SAMPLE / max(n, 1)) * (1 << 30))
